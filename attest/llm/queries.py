@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, quality, simhash, substring
+from . import langid, packing, quality, secrets, simhash, substring
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.query(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.query(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -35,6 +39,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": op3_packing,
     "op6_substring": op6_substring,
+    "op7_secrets": op7_secrets,
     "op8_simhash": op8_simhash,
     "op9_quality": op9_quality,
     "op10_langid": op10_langid,
