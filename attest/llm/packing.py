@@ -26,6 +26,8 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -34,71 +36,123 @@ from .common import written
 
 SIZE = 4096
 END = 1
-#: Words whose ids a worker remembers; beyond it, it starts anew.
-CACHE = 300_000
+#: UTF-8 bytes of text that are split together.
+TOGETHER = 16 << 20
+#: Runs of characters whose ids a worker remembers; beyond it, it starts anew.
+CACHE = 400_000
 #: Bins of the patterns, and most documents in one.
 BINS, PARTS = 64, 4
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-_cached: dict[str, dict[str, bytes]] = {}
+#: Between words that are encoded together; a word that holds it is encoded alone.
+_GAP = "\x01"
+_TAIL = ".,;:!?%$&*#|)"
 
 
-@lru_cache(maxsize=4)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    return Tokenizer.from_file(path)
-
+class Encoder:
+    """A tokenizer whose words are encoded once and remembered.
 
-def token_bytes(texts: list[str | None], path: str) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit numbers.
-
-    No token of this vocabulary holds white space, so each run of other characters is encoded once and remembered.
-    Texts with its special tokens, or with the four characters that only Python takes for white space, are encoded
-    whole.
+    No token of this vocabulary holds white space, so a text's ids are those of its runs of other characters.  A run of
+    plain Latin letters and the signs after it are looked up apart, which makes for far fewer different runs.  Texts
+    with the vocabulary's special tokens, or with the four signs that some take for white space, are encoded whole.
     """
-    tok = _tokenizer(path)
-    special = [a.content for a in tok.get_added_tokens_decoder().values()]
-    whole = re.compile("|".join([*map(re.escape, special), "[\x1c-\x1f]"]))
-    known = _cached.setdefault(path, {})
-    split = [None if t is None or whole.search(t) else t.split() for t in texts]
-    if new := list({w for ws in split if ws for w in ws if w not in known}):
-        if len(known) + len(new) > CACHE:
-            known.clear()
-            new = list({w for ws in split if ws for w in ws})
-        for w, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-    of = known.__getitem__
-    return [b"".join(map(of, ws)) if ws is not None else np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if t else b"" for t, ws in zip(texts, split)]
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tok = Tokenizer.from_file(path)
+        self.special = re.compile("|".join(re.escape(a.content) for a in self.tok.get_added_tokens_decoder().values()))
+        self.gap = self.tok.encode(_GAP, add_special_tokens=False).ids
+        self.runs: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _encode(self, new: list[str]) -> None:
+        if len(self.parts) > CACHE:
+            self.older, self.parts = self.parts, {}
+        plain = [w for w in new if _GAP not in w] if len(self.gap) == 1 else []
+        for w in set(new).difference(plain):
+            self.parts[w] = self._ids(w)
+        for at in range(0, len(plain), 1000):
+            some = plain[at : at + 1000]
+            ids = np.array(self.tok.encode_batch_fast([f" {_GAP} ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cut = np.flatnonzero(ids == self.gap[0])
+            blob = ids.tobytes()
+            starts, ends = [0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), len(blob)]
+            self.parts.update((w, blob[s:e]) for w, s, e in zip(some, starts, ends, strict=True))
+
+    def _learn(self, new: set[str], held: list[str]) -> None:
+        split: dict[str, tuple[str, str]] = {}
+        if len(self.runs) > CACHE:
+            self.runs = {w: self.runs[w] for w in held if w in self.runs}
+        for w in new:
+            word = w.rstrip(_TAIL)
+            low = word.lower()
+            split[w] = (low, w[len(word) :]) if low.isalpha() and max(low) < "\u0250" else (w, "")
+        parts, older = self.parts, self.older
+        want = {p for pair in split.values() for p in pair if p and p not in parts}
+        parts.update((p, older[p]) for p in want if p in older)
+        self._encode([p for p in want if p not in older])
+        parts, older = self.parts, self.older  # a generation may have passed
+        for w, (word, tail) in split.items():
+            ids = parts[word] if word in parts else older[word]
+            self.runs[w] = ids + (parts[tail] if tail in parts else older[tail]) if tail else ids
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some texts, end to end, and where each text's begin and end."""
+        alone = {i: self._ids(t) for i, t in enumerate(texts.to_pylist()) if t and ("<|" in t and self.special.search(t) or any(c in t for c in "\x1c\x1d\x1e\x1f"))}
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.values.dictionary_encode()
+        runs = coded.dictionary.to_pylist()
+        self._learn({w for w in runs if w not in self.runs}, runs)
+        blobs = [self.runs[w] for w in runs]
+        size = np.array([len(b) // 4 for b in blobs], np.int64)
+        start = np.cumsum(size) - size
+        at = coded.indices.to_numpy()
+        each = size[at]
+        ends = np.concatenate(([0], np.cumsum(each)))
+        ids = np.frombuffer(b"".join(blobs), "<u4")[np.repeat(start[at] - ends[:-1], each) + np.arange(ends[-1])]
+        offsets = ends[split.offsets.to_numpy()]
+        if alone:
+            parts = [np.frombuffer(alone[i], "<u4") if i in alone else ids[offsets[i] : offsets[i + 1]] for i in range(len(texts))]
+            ids, offsets = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
+        return ids, offsets
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """The worker's own encoder, kept from task to task."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, end: int = END) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
-    last = np.array([end], "<u4").tobytes()
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts, ids = pdf["text"].tolist(), pdf["doc_id"].tolist()
-            for at in range(0, len(texts), 256):
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bytes_to = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()) // TOGETHER
+            edges = [0, *(np.flatnonzero(np.diff(bytes_to)) + 1).tolist(), batch.num_rows]
+            for first, last in zip(edges, edges[1:]):
+                if last == first:
+                    continue
+                rows = batch.slice(first, last - first)
+                ids, offsets = encoder(tokenizer).encode(rows.column("text"))
                 out = []
-                for doc, blob in zip(ids[at : at + 256], token_bytes(texts[at : at + 256], tokenizer)):
-                    blob += last
-                    for k, s in enumerate(range(0, len(blob), 4 * size)):
-                        part = blob[s : s + 4 * size]
-                        out.append((doc, k, s // 4, len(part) // 4, zlib.crc32(part)))
-                got = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
-                got["doc_id"] = got["doc_id"].astype("Int64")
-                yield got
-
-    # Int64 with nulls arrives as float, which would lose large ids; so it travels as text.
-    source = docs.select(F.col(doc_id).cast("long").cast("string").alias("doc_id"), F.col(text).cast("string").alias("text"))
-
-    def typed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield from cut([pdf.assign(doc_id=[None if x is None else int(x) for x in pdf["doc_id"]])])
-
-    return source.mapInPandas(typed, PIECES)
+                for i in range(rows.num_rows):
+                    mine = np.append(ids[offsets[i] : offsets[i + 1]], np.uint32(end)).astype("<u4")
+                    for k, s in enumerate(range(0, len(mine), size)):
+                        part = mine[s : s + size]
+                        out.append((i, k, s, len(part), zlib.crc32(part)))
+                row, *columns = np.array(out, np.int64).T
+                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
+                arrays = [rows.column("doc_id").take(pa.array(row)), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])]
+                yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, PIECES)
 
 
 # --- the plan --------------------------------------------------------------------------------------------------
