@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, packing, quality, secrets, simhash, substring
+from . import html, langid, packing, quality, secrets, simhash, substring, urls
 from .common import table
 
 
@@ -22,6 +22,14 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.query(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op1_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.query(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.query(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,6 +45,8 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html": op1_html,
+    "op2_urls": op2_urls,
     "op3_packing": op3_packing,
     "op6_substring": op6_substring,
     "op7_secrets": op7_secrets,
@@ -45,4 +55,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_langid": op10_langid,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_urls": urls.ORACLE}
