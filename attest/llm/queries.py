@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, langid, packing, quality, secrets, simhash, substring, urls
+from . import ann, html, langid, packing, quality, secrets, simhash, substring, urls
 from .common import table
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.query(table(spark, sf_dir, "embeddings", "vec_id", "embedding"))
+
+
 def op6_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.query(table(spark, sf_dir, "documents", "doc_id", "text"))
 
@@ -48,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html": op1_html,
     "op2_urls": op2_urls,
     "op3_packing": op3_packing,
+    "op5_ann": op5_ann,
     "op6_substring": op6_substring,
     "op7_secrets": op7_secrets,
     "op8_simhash": op8_simhash,
