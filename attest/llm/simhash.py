@@ -249,15 +249,35 @@ def _forest(pairs: np.ndarray) -> np.ndarray:
 
 
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tau: int = TAU) -> DataFrame:
-    """Every row's (doc_id, fp, component_id); see the module's text for the cases."""
+    """Every row's (doc_id, fp, component_id, root), root being the component's least fingerprint; see the module's text
+    for the cases."""
     each = written(docs.select(F.col(doc_id).cast("long").alias("doc_id"), fingerprints(docs, text).alias("fp")))
     classes = written(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
     found = min_components(link_edges(classes, tau))
     # Vertices are fingerprints; a component's id is the least doc_id over its fingerprints.
     rooted = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    names = rooted.join(ids, "root").select("fp", "component_id")
-    return each.join(names, "fp").select("doc_id", "fp", "component_id")
+    names = rooted.join(ids, "root").select("fp", "component_id", "root")
+    return each.join(names, "fp").select("doc_id", "fp", "component_id", "root")
+
+
+def representatives(docs: DataFrame) -> DataFrame:
+    """One row of docs for each component, that of the smallest doc_id.
+
+    Where rows share a doc_id or have none, the fingerprint tells them apart, and of a component's rows that still tie
+    the least (as a struct of all columns) stays.
+    """
+    found = written(components(docs))
+    least = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(least).alias("stays")).filter("stays")
+    stay = docs.join(ids.filter("n = 1 and doc_id is not null").select("doc_id"), "doc_id", "left_semi").select(docs.columns)
+    unclear = ids.filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("_id"))
+    if not unclear.head(1):
+        return stay
+    names = found.filter(least).select(F.col("doc_id").alias("_id"), F.col("fp").alias("_fp"), "root").distinct()
+    rows = docs.join(unclear, docs["doc_id"].eqNullSafe(unclear["_id"]), "left_semi").select(F.struct(*docs.columns).alias("row"), fingerprints(docs).alias("_fp"))
+    rows = rows.join(names, (rows["_fp"] == names["_fp"]) & rows["row.doc_id"].eqNullSafe(names["_id"])).groupBy("root").agg(F.min("row").alias("row"))
+    return stay.unionByName(rows.select("row.*"))
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -105,8 +105,8 @@ class Parsed:
         self.phrase_end = np.concatenate((self.phrase[1:], [len(at)])).astype(np.int64) if len(at) else self.phrase
         self.phrase_hash = _spans(self.hash, self.phrase, self.phrase_end, _C) if len(at) else self.hash
 
-    def kept(self, flagged: np.ndarray) -> list[tuple[int, str]]:
-        """Words removed and the SHA-256 of the rest, by text, if the flagged windows go."""
+    def kept(self, flagged: np.ndarray) -> list[tuple[int, bytes]]:
+        """Words removed and the rest, by text, if the flagged windows go."""
         n = int(self.first[-1])
         edge = np.zeros(n + 1, np.int64)
         np.add.at(edge, self.start[flagged], 1)
@@ -116,12 +116,12 @@ class Parsed:
         for i, joined in enumerate(self.joined):
             mine = gone[self.first[i] : self.first[i + 1]]
             if not mine.any():
-                out.append((0, hashlib.sha256(joined).hexdigest()))
+                out.append((0, joined))
             elif mine.all():
-                out.append((len(mine), hashlib.sha256(b"").hexdigest()))
+                out.append((len(mine), b""))
             else:
                 left = b" ".join([w for w, g in zip(joined.split(b" "), mine.tolist()) if not g])
-                out.append((int(mine.sum()), hashlib.sha256(left).hexdigest()))
+                out.append((int(mine.sum()), left))
         return out
 
 
@@ -164,7 +164,7 @@ def _listed(**columns) -> pd.DataFrame:
     return pd.DataFrame({c.split()[0]: columns.get(c.split()[0], [None] * n) for c in _LISTED.split(", ")})
 
 
-def _list_phrases(docs: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
+def _list_phrases(docs: pd.DataFrame, shared: pd.DataFrame, with_text: bool) -> pd.DataFrame:
     """One block: finished rows, texts that hold a shared anchor, and those texts' different phrases."""
     among = np.unique(shared["anchor"].to_numpy().astype(np.int64).view(np.uint64))
     out, anchors, phrases, hashes = [], [], [], []
@@ -180,9 +180,10 @@ def _list_phrases(docs: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
         ids = pdf["doc_id"].tolist()
         done, rest = np.flatnonzero(~open_docs), np.flatnonzero(open_docs)
         if len(done):
-            out.append(_listed(kind=["done"] * len(done), doc_id=[ids[i] for i in done], n_words=p.n_words[done], kept_sha256=[hashlib.sha256(p.joined[i]).hexdigest() for i in done]))
+            texts = [pdf["text"].iloc[i] for i in done] if with_text else [None] * len(done)
+            out.append(_listed(kind=["done"] * len(done), doc_id=[ids[i] for i in done], text=texts, n_words=p.n_words[done], kept_sha256=[hashlib.sha256(p.joined[i]).hexdigest() for i in done]))
         if len(rest):
-            out.append(_listed(kind=["open"] * len(rest), block=[int(pdf["block"].iloc[0])] * len(rest), doc_id=[ids[i] for i in rest], text=[p.joined[i].decode("utf-8", "surrogatepass") for i in rest]))
+            out.append(_listed(kind=["open"] * len(rest), block=[int(pdf["block"].iloc[0])] * len(rest), doc_id=[ids[i] for i in rest], text=[pdf["text"].iloc[i] if with_text else p.joined[i].decode("utf-8", "surrogatepass") for i in rest]))
     if hashes:
         phrase, first, count = np.unique(np.concatenate(phrases), return_index=True, return_counts=True)
         anchor = np.concatenate(anchors)[first]
@@ -214,7 +215,7 @@ def _mark(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame({"block": pdf["block"].to_numpy()[at].astype(np.int32), "phrase": pdf["phrase"].to_numpy()[at], "bits": bits})
 
 
-def _finish(docs: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+def _finish(docs: pd.DataFrame, marks: pd.DataFrame, with_text: bool) -> pd.DataFrame:
     """One block: cover and remove the words of marked windows."""
     of = dict(zip(marks["phrase"].to_numpy().astype(np.int64).view(np.uint64).tolist(), marks["bits"]))
     out = []
@@ -226,9 +227,9 @@ def _finish(docs: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
                 bits = of.get(h)
                 if bits is not None:
                     flagged[s:e] = np.unpackbits(np.frombuffer(bits, np.uint8), count=e - s).astype(bool) if bits else True
-        for doc, n, (removed, sha) in zip(pdf["doc_id"].tolist(), p.n_words.tolist(), p.kept(flagged)):
-            out.append((doc, n, removed, sha))
-    got = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256"])
+        for doc, text, n, (gone, left) in zip(pdf["doc_id"].tolist(), pdf["text"].tolist(), p.n_words.tolist(), p.kept(flagged)):
+            out.append((doc, n, gone, hashlib.sha256(left).hexdigest(), *((left.decode("utf-8", "surrogatepass") if gone else text,) if with_text else ())))
+    got = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "text"][: 4 + with_text])
     got["doc_id"] = got["doc_id"].astype("string")
     return got
 
@@ -240,28 +241,43 @@ def dealt(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text", F.expr(f"cast(pmod(xxhash64(doc_id, text), {n}) as int)").alias("block"))
 
 
-def removed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 of every row."""
-    rows = dealt(docs)
+def _removed(rows: DataFrame, with_text: bool) -> DataFrame:
     anchors = written(rows.select("text", "block").mapInPandas(_anchors, "anchor long, block int, n tinyint"))
     twice = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).filter("n >= 2").select("anchor")
     shared = anchors.join(twice, "anchor").select("block", "anchor")
     listed = _LISTED.replace("doc_id long", "doc_id string")
-    found = written(rows.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(_list_phrases_or_none, listed))
+
+    def listing(docs: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
+        return _list_phrases(docs, shared, with_text) if len(docs) else _listed(kind=[])
+
+    def finishing(docs: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
+        return _finish(docs, marks, with_text)
+
+    found = written(rows.groupBy("block").cogroup(shared.groupBy("block")).applyInPandas(listing, listed))
     phrases = found.filter("kind = 'phrase'").select("block", "anchor", "phrase", "n", "hashes")
     marks = phrases.repartition("anchor").mapInPandas(_mark, "block int, phrase long, bits binary")
-    texts = found.filter("kind = 'open'").select("block", "doc_id", "text")
-    done = found.filter("kind = 'done'").selectExpr("doc_id", "n_words", "0L as n_removed", "kept_sha256")
-    rest = texts.groupBy("block").cogroup(marks.groupBy("block")).applyInPandas(_finish_or_none, "doc_id string, n_words long, n_removed long, kept_sha256 string")
-    return done.unionByName(rest).withColumn("doc_id", F.col("doc_id").cast("long"))
+    columns = ["doc_id", "n_words", "n_removed", "kept_sha256", "text"][: 4 + with_text]
+    done = found.filter("kind = 'done'").withColumn("n_removed", F.lit(0).cast("long")).select(columns)
+    schema = "doc_id string, n_words long, n_removed long, kept_sha256 string" + ", text string" * with_text
+    rest = found.filter("kind = 'open'").select("block", "doc_id", "text").groupBy("block").cogroup(marks.groupBy("block")).applyInPandas(finishing, schema)
+    return done.unionByName(rest)
 
 
-def _list_phrases_or_none(docs: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
-    return _list_phrases(docs, shared) if len(docs) else _listed(kind=[])
+def removed(docs: DataFrame) -> DataFrame:
+    """doc_id, n_words, n_removed and kept_sha256 of every row."""
+    return _removed(dealt(docs), False).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
-def _finish_or_none(docs: pd.DataFrame, marks: pd.DataFrame) -> pd.DataFrame:
-    return _finish(docs, marks)
+def cleaned(docs: DataFrame) -> DataFrame:
+    """docs with the duplicate windows' words gone from ``text``; a text that loses none stays as it is, another becomes
+    its kept words joined by one space.  The other columns go along as JSON, so no join is needed."""
+    others = [c for c in docs.columns if c != "text"]
+    packed = docs.select(F.to_json(F.struct(*others)).alias("doc_id"), "text")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // BLOCK))
+    rows = packed.withColumn("block", F.expr(f"cast(pmod(xxhash64(doc_id, text), {n}) as int)"))
+    kinds = docs.select(*others).schema
+    return _removed(rows, True).select(F.from_json("doc_id", kinds).alias("_o"), "text").select(*[F.col("text") if c == "text" else F.col(f"_o.{c}") for c in docs.columns])
 
 
 query = removed
