@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import AttestError
+from .durable import settled
 from .estimators import Estimator
 
 REPLICATES, SEED, LEVEL = 2000, 20260815, 0.95
@@ -31,27 +32,32 @@ SENT_ROWS = 2_000_000
 _SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 
 
-def moments(pairs: DataFrame) -> DataFrame:
+def moments(pairs: DataFrame, means: DataFrame | None = None) -> DataFrame:
     """claim, unit, first row, least and greatest x and y, and sums of centred x and y, one row per claim and unit.
 
-    Units are hashed after a partial sum in each task, so a unit with most rows is no hot key.
+    Units are hashed after a partial sum in each task, so a unit with most rows is no hot key.  Where a pair's unit is
+    null each row is a unit of its own, and nothing is shuffled.  means: (claim, mean_x, mean_y), if known.
     """
-    means = pairs.groupBy("claim").agg(F.avg("x").alias("_mx"), F.avg("y").alias("_my"))
-    x, y = F.col("x") - F.col("_mx"), F.col("y") - F.col("_my")
-    return (
-        pairs.join(F.broadcast(means), "claim")
+    if means is None:
+        means = pairs.groupBy("claim").agg(F.avg("x").alias("mean_x"), F.avg("y").alias("mean_y"))
+    centred = pairs.join(F.broadcast(means), "claim").withColumns({"_x": F.col("x") - F.col("mean_x"), "_y": F.col("y") - F.col("mean_y")})
+    x, y = F.col("_x"), F.col("_y")
+    products = {"sx": x, "sy": y, "sxx": x * x, "syy": y * y, "sxy": x * y}
+    ends = {f"{name}_{c}": (f, F.col(c)) for name, f in (("lo", F.min), ("hi", F.max)) for c in ("x", "y")}
+    grouped = (
+        centred.filter("unit is not null")
         .groupBy("claim", "unit")
         .agg(
             F.min("row").alias("row"),
             F.count(F.lit(1)).cast("double").alias("n"),
-            F.sum(x).alias("sx"),
-            F.sum(y).alias("sy"),
-            F.sum(x * x).alias("sxx"),
-            F.sum(y * y).alias("syy"),
-            F.sum(x * y).alias("sxy"),
-            *[f(c).alias(f"{name}_{c}") for name, f in (("lo", F.min), ("hi", F.max)) for c in ("x", "y")],
+            *[F.sum(c).alias(k) for k, c in products.items()],
+            *[f(c).alias(k) for k, (f, c) in ends.items()],
         )
     )
+    alone = centred.filter("unit is null").select(
+        "claim", F.col("row").cast("string").alias("unit"), "row", F.lit(1.0).alias("n"), *[c.alias(k) for k, c in products.items()], *[c.alias(k) for k, (_, c) in ends.items()]
+    )
+    return grouped.unionByName(alone)
 
 
 def hash_draws(units: DataFrame, replicates: int, seed: int) -> DataFrame:
@@ -103,10 +109,12 @@ def _from_sums(weighted: DataFrame) -> DataFrame:
     return sums.selectExpr("claim", "rep", f"{r} as r")
 
 
-def replicates_of(pairs: DataFrame, estimator: Estimator, mode: str = "auto", replicates: int = REPLICATES, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def replicates_of(
+    pairs: DataFrame, estimator: Estimator, mode: str = "auto", replicates: int = REPLICATES, seed: int = SEED, means: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
     """(claim, rep, r) of pairs(claim, x, y, unit, row), and (claim, g, mode)."""
     spark = pairs.sparkSession
-    units = moments(pairs)
+    units = settled(moments(pairs, means))
     sizes = {r.claim: r.g for r in units.groupBy("claim").agg(F.count(F.lit(1)).alias("g")).collect()}  # one row a claim
     modes = {c: mode if mode != "auto" else "hash" if g <= HASH_UNITS else "poisson" for c, g in sizes.items()}
     if any(m == "hash" and sizes[c] > HASH_UNITS for c, m in modes.items()):
@@ -140,7 +148,7 @@ def _from_rows(pairs: DataFrame, weights: DataFrame, estimator: Estimator) -> Da
     n = pairs.count()
     if n > SENT_ROWS:
         raise AttestError(f"{estimator.name} intervals need all {n} pairs on each executor; the limit is {SENT_ROWS}")
-    rows = pairs.select("claim", "x", "y", "unit").toPandas()
+    rows = pairs.select("claim", "x", "y", F.coalesce("unit", F.col("row").cast("string")).alias("unit")).toPandas()
     held = pairs.sparkSession.sparkContext.broadcast({c: (p["x"].to_numpy(), p["y"].to_numpy(), p["unit"].to_numpy()) for c, p in rows.groupby("claim")})
 
     def of(key: tuple, drawn: pd.DataFrame) -> pd.DataFrame:

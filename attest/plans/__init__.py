@@ -1 +1 @@
-"""Declared projects: from a context file to a frame of verdicts."""
+"""Planners: from declarations to fused DataFrame jobs."""

@@ -1 +1 @@
-"""Publication: triples, JSON-LD, captions, scaffolds."""
+"""Writers: reports, dataset cards, catalogue records, graphs, crates, project scaffolds."""

@@ -1 +1 @@
-"""Readers that verify what they read."""
+"""Readers: tables with verified digests, job logs, run-record stores, folders."""

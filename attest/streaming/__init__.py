@@ -1 +1 @@
-"""Claims kept current over a growing table."""
+"""The append-only job log as a stream."""
