@@ -13,11 +13,11 @@ from ..functions.text import is_timestamp
 from ..operators.jobs import with_derived
 from ..sources.joblog import JobLog
 from .project import Project
-from .triples import BASE, PREFIXES, iri, link, made, say, turtle
+from .triples import BASE, PREFIXES, escaped, iri, link, made, say, turtle
 
 
 def _id(kind: str, name: Column, tail: str = "") -> Column:
-    return F.concat(F.lit(f"{BASE}{kind}/"), name, F.lit(tail))
+    return F.concat(F.lit(f"{BASE}{kind}/"), escaped(name), F.lit(tail))
 
 
 def _when(s: Column, p: str, value: Column) -> tuple[Column, Column]:

@@ -48,7 +48,15 @@ def iri(name: str) -> str:
 
 def here(path: str) -> str:
     """An identifier of our own; characters that no IRI may hold are escaped."""
-    return BASE + re.sub(r"[\x00-\x20<>\"{}|\\^`]", lambda m: f"%{ord(m[0]):02X}", path)
+    return BASE + re.sub(r"[\x00-\x20<>\"{}|\\^`%]", lambda m: f"%{ord(m[0]):02X}", path)
+
+
+def escaped(name: Column) -> Column:
+    """The same for names on the executors; line ends and other control characters become spaces' escapes."""
+    out = F.regexp_replace(F.replace(name, F.lit("%"), F.lit("%25")), r"[\x00-\x20]", "%20")
+    for c in '<>"{}|\\^`':
+        out = F.replace(out, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    return out
 
 
 class Statements:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
+from collections.abc import Iterator
 from pathlib import Path
 from urllib.parse import unquote, urlparse
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,38 +28,71 @@ def plain(path: Column) -> Column:
     return F.url_decode(F.replace(F.regexp_replace(path, r"^file:(//)?(?=/)", ""), F.lit("+"), F.lit("%2B")))
 
 
+def is_local(path: str) -> bool:
+    return "://" not in path or path.startswith("file:")
+
+
+def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        rows = []
+        for path in pdf["path"]:
+            with open(path, "rb") as f:
+                rows.append((path, os.fstat(f.fileno()).st_size, os.fstat(f.fileno()).st_mtime, hashlib.file_digest(f, "sha256").hexdigest()))
+        yield pd.DataFrame(rows, columns=["path", "bytes", "modified", "sha256"])
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for path in pdf["path"]:
+            with open(path, "rb") as f:
+                yield pd.DataFrame({"path": [path], "content": [f.read()]})
+
+
+def _paths(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """(path) of local files, dealt over the cores; folders are listed with all below them, empty and hidden files too."""
+    found: set[str] = set()
+    for p in [paths] if isinstance(paths, str) else paths:
+        top = Path(local(p))
+        found.update(str(f) for f in ([top] if top.is_file() else top.rglob("*")) if f.is_file())
+    rows = spark.createDataFrame([(f,) for f in sorted(found)], "path string")
+    return rows.repartition(max(1, min(len(found), spark.sparkContext.defaultParallelism)))
+
+
 def digests(spark: SparkSession, paths: list[str] | str) -> DataFrame:
     """path, bytes, modified (epoch seconds) and sha256 of each file; folders are read with all below them.
 
-    Files are hashed where they are read, one task for each handful of files.  A single file must fit Spark's binary
-    reader (2 GB); larger tables are given as folders of part files.
+    Files on a path that all executors see are hashed there piece by piece, whatever their size.  Those in another
+    store go through Spark's reader, which takes files of up to 2 GB and leaves out empty and hidden ones.
     """
+    if all(map(is_local, [paths] if isinstance(paths, str) else paths)):
+        return _paths(spark, paths).mapInPandas(_hashed, SCHEMA)
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
+    modified = F.unix_millis("modificationTime") / 1000.0
+    return read.select(plain(F.col("path")).alias("path"), F.col("length").alias("bytes"), modified.alias("modified"), F.sha2("content", 256).alias("sha256"))
+
+
+def contents(spark: SparkSession, paths: list[str] | str) -> DataFrame:
+    """path and content (binary) of files that are small, as metadata is."""
+    if all(map(is_local, [paths] if isinstance(paths, str) else paths)):
+        return _paths(spark, paths).mapInPandas(_read, "path string, content binary")
     read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    return read.select(
-        plain(F.col("path")).alias("path"),
-        F.col("length").alias("bytes"),
-        # Milliseconds, so that a record's end and a file's time compare on one scale.
-        (F.unix_millis("modificationTime") / 1000.0).alias("modified"),
-        F.sha2("content", 256).alias("sha256"),
-    )
+    return read.select(plain(F.col("path")).alias("path"), "content")
 
 
 def digest_of(spark: SparkSession, path: str) -> str | None:
-    """One file's digest; null where there is no such file."""
-    if "://" not in path and not os.path.isfile(path):
+    """One file's digest (or one for a folder's files, by their names); null where there is nothing."""
+    if is_local(path) and not os.path.exists(local(path)):
         return None
-    row = digests(spark, path).select("sha256").first()
-    return row.sha256 if row else None
+    rows = digests(spark, path).select("path", "sha256").orderBy("path").collect()
+    if len(rows) == 1:
+        return rows[0].sha256
+    return hashlib.sha256("".join(f"{os.path.basename(r.path)}:{r.sha256}\n" for r in rows).encode()).hexdigest() if rows else None
 
 
 def under(spark: SparkSession, root: str) -> DataFrame:
     """``digests`` of all files in a folder with their paths relative to it, machinery left out."""
-    top = local(root).rstrip("/")
-    if "://" not in top:
-        top = os.path.abspath(top)
-        if not any(p.is_file() for p in Path(top).rglob("*")):
-            return spark.createDataFrame([], SCHEMA)
-    found = digests(spark, root).withColumn("path", F.expr(f"substring(path, {len(top) + 2})"))
+    top = os.path.abspath(local(root)) if is_local(root) else root.rstrip("/")
+    found = digests(spark, top).withColumn("path", F.expr(f"substring(path, {len(top) + 2})"))
     machinery = F.arrays_overlap(F.split("path", "/"), F.array(*[F.lit(x) for x in SKIPPED]))
     return found.filter(~machinery)
 

@@ -7,13 +7,12 @@ system's limit is cut into folders marked by @.
 from __future__ import annotations
 
 import os
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import store_key
-from .files import plain
+from .files import contents, is_local, local
 
 STORE = ".snakemake"
 RECORD = (
@@ -32,35 +31,31 @@ def key_of(path: Column, top: str) -> Column:
     return F.when(good, store_key(name))
 
 
-def _listed(spark: SparkSession, folder: str, content: bool) -> DataFrame | None:
-    if "://" not in folder:
-        folder = os.path.abspath(folder)
-        if not any(p.is_file() for p in Path(folder).rglob("*")):
-            return None
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    top = folder if "://" not in folder else folder.split("://", 1)[1]
-    at = plain(F.col("path"))
-    columns = [key_of(at, top).alias("key")] + ([F.decode("content", "UTF-8").alias("json")] if content else [])
-    return read.select(*columns).filter("key is not null")
+def _listed(spark: SparkSession, folder: str) -> tuple[DataFrame, str]:
+    """path and content of a store's files, and the folder in full."""
+    top = os.path.abspath(local(folder)) if is_local(folder) else folder
+    return contents(spark, top), top
 
 
 def records(spark: SparkSession, root: str, store: str = STORE) -> DataFrame:
     """Every readable record by its key; one that is no JSON object is no record."""
-    found = _listed(spark, f"{root.rstrip('/')}/{store}/metadata", True)
-    if found is None:
-        return spark.createDataFrame([], RECORDS)
+    files, top = _listed(spark, f"{root.rstrip('/')}/{store}/metadata")
+    found = files.select(key_of(F.col("path"), top).alias("key"), F.decode("content", "UTF-8").alias("json")).filter("key is not null")
     parsed = found.select("key", F.from_json("json", RECORD + ", _bad string", {"columnNameOfCorruptRecord": "_bad"}).alias("r"), "json")
     fine = parsed.filter("r is not null and r._bad is null and ltrim(json) like '{%' and trim(json) <> '{}'")
     return fine.select("key", "r.*").drop("_bad").dropDuplicates(["key"])
 
 
+def _keys(spark: SparkSession, folder: str) -> DataFrame:
+    files, top = _listed(spark, folder)
+    return files.select(key_of(F.col("path"), top).alias("key")).filter("key is not null").distinct()
+
+
 def recorded_outputs(spark: SparkSession, root: str, store: str = STORE) -> DataFrame:
     """(key): every output that the store has a file for, decoded from the names alone."""
-    found = _listed(spark, f"{root.rstrip('/')}/{store}/metadata", False)
-    return spark.createDataFrame([], "key string") if found is None else found.distinct().orderBy("key")
+    return _keys(spark, f"{root.rstrip('/')}/{store}/metadata").orderBy("key")
 
 
 def unfinished(spark: SparkSession, root: str, store: str = STORE) -> DataFrame:
     """(key): outputs whose run began and did not end."""
-    found = _listed(spark, f"{root.rstrip('/')}/{store}/incomplete", False)
-    return spark.createDataFrame([], "key string") if found is None else found.distinct()
+    return _keys(spark, f"{root.rstrip('/')}/{store}/incomplete")
