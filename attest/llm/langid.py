@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ GRAMS = 20_000
 MAX_N = 4
 SHARPNESS = 1.0
 #: Words whose scores a worker remembers; beyond it, it starts anew.
-CACHE = 400_000
+CACHE = 100_000
 FOLD = "pmod(crc32(cast(coalesce(cast(doc_id as string), '') as binary)), 5) = 0"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -50,13 +51,36 @@ def _grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
+def _keys(texts: list[str]) -> np.ndarray:
+    return np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64)
+
+
+class Table:
+    """Rows of log frequencies by 64-bit hashes of their words or n-grams, in order of hash."""
+
+    def __init__(self, rows: dict[str, np.ndarray], width: int):
+        keys = _keys(list(rows))
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.rows = np.array(list(rows.values()), np.float64).reshape(len(rows), width)[order]
+
+    def find(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Where each text is, and whether it is there."""
+        keys = _keys(texts)
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return at, self.keys[at] == keys
+
+
 class Model:
     """Per-language log frequencies of words and of character n-grams."""
 
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray]):
+    def __init__(self, langs: list[str], words: Table, grams: Table):
         self.langs, self.words, self.grams = langs, words, grams
         self._known: dict[str, int] = {}
-        self._rows = np.zeros((CACHE + 1, len(langs)))
+        self._rows = np.zeros((CACHE, len(langs)))
 
     def __getstate__(self):
         return (self.langs, self.words, self.grams)
@@ -64,30 +88,42 @@ class Model:
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def word(self, w: str) -> np.ndarray:
-        if (v := self.words.get(w)) is not None:
-            return v
+    def score(self, words: list[str]) -> np.ndarray:
+        """A row for each word: its own, or the mean over its longest known n-grams."""
+        out = np.zeros((len(words), len(self.langs)))
+        at, there = self.words.find(words)
+        out[there] = self.words.rows[at[there]]
+        rest = np.flatnonzero(~there)
         for n in range(MAX_N, 0, -1):
-            found = [v for g in _grams(w[:64], n) if (v := self.grams.get(g)) is not None]
-            if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs))
+            if not len(rest):
+                break
+            grams = [_grams(words[i][:64], n) for i in rest.tolist()]
+            owner = np.repeat(np.arange(len(rest)), [len(g) for g in grams])
+            at, there = self.grams.find([g for gs in grams for g in gs])
+            found = np.bincount(owner[there], minlength=len(rest))
+            sums = np.zeros((len(rest), len(self.langs)))
+            np.add.at(sums, owner[there], self.grams.rows[at[there]])
+            hit = found > 0
+            out[rest[hit]] = sums[hit] / found[hit, None]
+            rest = rest[~hit]
+        return out
 
     def predict(self, text: str | None) -> tuple[str, float]:
         ws = letters(text)
         if not ws or not self.langs:
             return UND, 0.0
         known, rows = self._known, self._rows
-        if new := {w for w in ws if w not in known}:
+        if new := [w for w in dict.fromkeys(ws) if w not in known]:
             if len(known) + len(new) > CACHE:
                 known.clear()
-                new = set(ws)
+                new = list(dict.fromkeys(ws))
             if len(new) > CACHE:  # one text with more different words than the memory has room for
-                total = sum(n * self.word(w) for w, n in Counter(ws).items())
+                counts = Counter(ws)
+                total = sum((np.array(list(counts.values())[i : i + CACHE]) @ self.score(new[i : i + CACHE]) for i in range(0, len(new), CACHE)), np.zeros(len(self.langs)))
                 return self._decide(total / len(ws))
-            for w in new:
-                known[w] = at = len(known)
-                rows[at] = self.word(w)
+            first = len(known)
+            rows[first : first + len(new)] = self.score(new)
+            known.update(zip(new, range(first, first + len(new))))
         at = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
         return self._decide(rows[at].sum(0) / len(ws))
 
@@ -127,7 +163,7 @@ def fit(rows: Iterator[tuple[str, str]], words: int = WORDS, grams: int = GRAMS)
     merged: dict[str, np.ndarray] = {}
     for t in tables[1:]:
         merged |= t
-    return Model(langs, tables[0], merged)
+    return Model(langs, Table(tables[0], len(langs)), Table(merged, len(langs)))
 
 
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
