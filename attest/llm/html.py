@@ -229,7 +229,8 @@ def extracted(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> Dat
             out = [Page(s).text(set(h.tolist()) if h is not None else None) for s, h in zip(pdf["html"], pdf["hashes"])]
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": out, "n_chars": [len(t) for t in out]})
 
-    found = pages.join(templates(pages, share, least), "host", "left").select("page_id", "url", "html", "hashes")
+    # Templates are written first, so that both sides of the join are shuffled for it and a large host can be split.
+    found = pages.join(written(templates(pages, share, least)), "host", "left").select("page_id", "url", "html", "hashes")
     done = found.mapInPandas(texts, "page_id string, url string, text string, n_chars long")
     return done.withColumn("page_id", F.col("page_id").cast("long"))
 
