@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import UnitError
+from ..session import small_table
 
 #: symbol -> quantity
 UNITS = {
@@ -52,12 +53,12 @@ def convert(value: Column, source: str, target: str) -> Column:
 
 
 def units_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(sorted(UNITS.items()), "symbol string, quantity string")
+    return small_table(spark, sorted(UNITS.items()), "symbol string, quantity string")
 
 
 def factors_table(spark: SparkSession) -> DataFrame:
     rows = [(s, t, f) for (s, t), f in FACTORS.items()] + [(u, u, 1.0) for u in UNITS]
-    return spark.createDataFrame(sorted(rows), "source string, target string, factor double")
+    return small_table(spark, sorted(rows), "source string, target string, factor double")
 
 
 def converted(df: DataFrame, value: str, source: str, target: str, out: str = "converted") -> DataFrame:

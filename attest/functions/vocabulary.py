@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import small_table
+
 #: status: (evidence_required, open_question, carries_caveat)
 STATUSES = {
     "measured": (True, False, False),
@@ -37,12 +39,12 @@ VERDICT_STATUS = {"agrees": "measured", "refuted": "falsified", "unverifiable":
 
 
 def statuses(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, *v) for k, v in STATUSES.items()], "status string, evidence_required boolean, open_question boolean, carries_caveat boolean")
+    return small_table(spark, [(k, *v) for k, v in STATUSES.items()], "status string, evidence_required boolean, open_question boolean, carries_caveat boolean")
 
 
 def predicates(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k, *v) for k, v in PREDICATES.items()], "predicate string, stale string, doubt string, meaning string")
+    return small_table(spark, [(k, *v) for k, v in PREDICATES.items()], "predicate string, stale string, doubt string, meaning string")
 
 
 def node_kinds(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(k,) for k in NODE_KINDS], "kind string")
+    return small_table(spark, [(k,) for k in NODE_KINDS], "kind string")

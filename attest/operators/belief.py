@@ -18,7 +18,9 @@ from pyspark.sql import functions as F
 
 from ..errors import BeliefError
 from ..functions import vocabulary
+from ..session import small_table
 from .closure import DRIVER_EDGES, closure
+from .durable import compact
 
 NODES = "id string, kind string, label string"
 CLAIMS = "idx int, subject string, predicate string, object string, status string, evidence string, tested_by string, defined_in string, note string"
@@ -58,7 +60,7 @@ def peer_edges(claims: DataFrame) -> DataFrame:
 
 def doubt_reach(claims: DataFrame, starts: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     """(src, dst) for starts(src): all that src rests on, and the peers of that and of src."""
-    starts = starts.select("src").distinct()
+    claims, starts = compact(claims, driver_edges), compact(starts.select("src").distinct(), driver_edges)
     rests = closure(rest_edges(claims), starts, driver_edges)
     base = rests.union(starts.select("src", F.col("src").alias("dst")))
     peers = peer_edges(claims).select(F.col("src").alias("dst"), F.col("dst").alias("peer"))
@@ -75,7 +77,8 @@ def bearers(claims: DataFrame) -> DataFrame:
 def caveats(claims: DataFrame, rests_on: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     """artefact, idx, claim, status, via: each claim that carries a caveat and bears on what an artefact rests on, with
     the roots that it came by, in order."""
-    roots = rests_on.select("artefact", F.col("node").alias("src")).distinct()
+    claims = compact(claims, driver_edges)
+    roots = compact(rests_on.select("artefact", F.col("node").alias("src")).distinct(), driver_edges)
     starts = roots.select("src").distinct()
     reach = doubt_reach(claims, starts, driver_edges).union(starts.select("src", F.col("src").alias("dst")))
     carrying = described(claims).filter("carries_caveat").select("idx", display().alias("claim"), "status", "evidence", "note", "tested_by", "open_question")
@@ -96,24 +99,23 @@ def contradictions(claims: DataFrame) -> DataFrame:
 
 def violations(nodes: DataFrame, claims: DataFrame, rests_on: DataFrame) -> DataFrame:
     """(idx, rule, message) of everything that can't be closed over; idx is -1 for nodes and roots."""
-    spark = claims.sparkSession
-    at = described(claims)
     evidence = F.trim(F.coalesce("evidence", F.lit(""))) != ""
-
-    def claim(rule: str, when: Column, words: Column) -> DataFrame:
-        return at.filter(F.coalesce(when, F.lit(False))).select("idx", F.lit(rule).alias("rule"), F.concat(display(), F.lit(": "), words).alias("message"))
-
+    named = lambda c: F.coalesce(F.col(c), F.lit("null"))
+    broken = {
+        "predicate": (F.col("doubt").isNull(), F.concat(F.lit("no predicate is called "), named("predicate"))),
+        "status": (F.col("carries_caveat").isNull(), F.concat(F.lit("no status is called "), named("status"))),
+        "evidence_missing": (F.col("evidence_required") & ~evidence, F.concat(F.col("status"), F.lit(" needs evidence"))),
+        "evidence_forbidden": ((F.col("status") == "untested") & evidence, F.lit("an untested claim can have no evidence")),
+    }
+    said = [F.when(when, F.struct(F.lit(rule).alias("rule"), F.concat(display(), F.lit(": "), words).alias("message"))) for rule, (when, words) in broken.items()]
     ids = nodes.select(F.col("id").alias("_id")).distinct()
     ends = claims.select("idx", F.explode(F.array("subject", "object")).alias("_id")).distinct().join(ids, "_id", "left_anti")
     found = [
-        claim("predicate", F.col("doubt").isNull(), F.concat(F.lit("no predicate is called "), F.coalesce("predicate", F.lit("null")))),
-        claim("status", F.col("carries_caveat").isNull(), F.concat(F.lit("no status is called "), F.coalesce("status", F.lit("null")))),
-        claim("evidence_missing", F.col("evidence_required") & ~evidence, F.concat(F.col("status"), F.lit(" needs evidence"))),
-        claim("evidence_forbidden", (F.col("status") == "untested") & evidence, F.lit("an untested claim can have no evidence")),
-        ends.select("idx", F.lit("node").alias("rule"), F.concat(F.lit("no node is called "), F.coalesce("_id", F.lit("null"))).alias("message")),
-        nodes.join(F.broadcast(vocabulary.node_kinds(spark)), "kind", "left_anti").select(F.lit(-1).alias("idx"), F.lit("kind").alias("rule"), F.concat(F.lit("node "), F.col("id"), F.lit(" is of no known kind: "), F.coalesce("kind", F.lit("null"))).alias("message")),
+        described(claims).select("idx", F.inline(F.filter(F.array(*said), lambda x: x.isNotNull()))),
+        ends.select("idx", F.lit("node"), F.concat(F.lit("no node is called "), named("_id"))),
+        nodes.filter(~F.coalesce(F.col("kind").isin(*vocabulary.NODE_KINDS), F.lit(False))).select(F.lit(-1), F.lit("kind"), F.concat(F.lit("node "), F.col("id"), F.lit(" is of no known kind: "), named("kind"))),
         nodes.groupBy("id").count().filter("count > 1").select(F.lit(-1), F.lit("duplicate_node"), F.concat(F.lit("two nodes are called "), F.col("id"))),
-        rests_on.join(ids, rests_on["node"] == ids["_id"], "left_anti").select(F.lit(-1), F.lit("root"), F.concat(F.col("artefact"), F.lit(" rests on "), F.coalesce("node", F.lit("null")), F.lit(", which is no node"))),
+        rests_on.join(ids, rests_on["node"] == ids["_id"], "left_anti").select(F.lit(-1), F.lit("root"), F.concat(F.col("artefact"), F.lit(" rests on "), named("node"), F.lit(", which is no node"))),
         duplicates(claims).select("idx", F.lit("duplicate_claim"), F.concat(F.lit("claims "), F.col("before").cast("string"), F.lit(" and "), F.col("idx").cast("string"), F.lit(" are the same"))),
     ]
     out = found[0]
@@ -164,6 +166,7 @@ class BeliefGraph:
     driver_edges: int = DRIVER_EDGES
 
     def __post_init__(self) -> None:
+        self.nodes, self.claims, self.rests_on = (compact(t, self.driver_edges) for t in (self.nodes, self.claims, self.rests_on))
         if first := violations(self.nodes, self.claims, self.rests_on).first():
             raise BeliefError(f"claim {first.idx}: {first.message}" if first.idx >= 0 else first.message)
 
@@ -177,7 +180,7 @@ class BeliefGraph:
 
     def stale_if(self, node: str) -> list[str]:
         self._known(node)
-        seeds = self.nodes.sparkSession.createDataFrame([(node,)], "src string")
+        seeds = small_table(self.nodes.sparkSession, [(node,)], "src string")
         return [r.dst for r in closure(stale_edges(self.claims), seeds, self.driver_edges).orderBy("dst").collect()]
 
     def stale_table(self) -> DataFrame:
@@ -187,7 +190,7 @@ class BeliefGraph:
     def in_doubt(self, node: str) -> list[str]:
         """What a node rests on, which doubt about it would come from."""
         self._known(node)
-        start = self.nodes.sparkSession.createDataFrame([(node,)], "src string")
+        start = small_table(self.nodes.sparkSession, [(node,)], "src string")
         return [r.dst for r in doubt_reach(self.claims, start, self.driver_edges).orderBy("dst").collect()]
 
     def doubt_table(self) -> DataFrame:
@@ -249,4 +252,4 @@ class BeliefGraph:
 
 
 def empty(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return spark.createDataFrame([], NODES), spark.createDataFrame([], CLAIMS), spark.createDataFrame([], RESTS_ON)
+    return small_table(spark, [], NODES), small_table(spark, [], CLAIMS), small_table(spark, [], RESTS_ON)

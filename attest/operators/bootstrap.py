@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import AttestError
+from ..session import small_table
 from .durable import settled
 from .estimators import Estimator
 
@@ -119,7 +120,7 @@ def replicates_of(
     modes = {c: mode if mode != "auto" else "hash" if g <= HASH_UNITS else "poisson" for c, g in sizes.items()}
     if any(m == "hash" and sizes[c] > HASH_UNITS for c, m in modes.items()):
         raise AttestError(f"the hash mode is kept below {HASH_UNITS} units; use poisson")
-    info = spark.createDataFrame([(c, sizes[c], modes[c]) for c in sorted(sizes)], "claim int, g long, mode string")
+    info = small_table(spark, [(c, sizes[c], modes[c]) for c in sorted(sizes)], "claim int, g long, mode string")
     by_sums, by_rows = [], []
     for m in sorted(set(modes.values())):
         mine = [c for c in modes if modes[c] == m]
@@ -136,7 +137,7 @@ def replicates_of(
             by_rows.append(_from_rows(pairs.filter(F.col("claim").isin(mine)), weights.select("claim", "rep", "unit", "w"), estimator))
     parts = by_sums + by_rows
     if not parts:
-        return spark.createDataFrame([], "claim int, rep int, r double"), info
+        return small_table(spark, [], "claim int, rep int, r double"), info
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

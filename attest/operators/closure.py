@@ -13,6 +13,7 @@ from collections import defaultdict
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import small_table
 from .durable import settled
 
 DRIVER_EDGES = 2_000
@@ -49,7 +50,7 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, driver_edges: int
         after: dict[str, set[str]] = defaultdict(set)
         for a, b in small:
             after[a].add(b)
-        found = spark.createDataFrame([(a, b) for a in sorted(after) for b in sorted(_walk(after, a))], PAIRS)
+        found = small_table(spark, [(a, b) for a in sorted(after) for b in sorted(_walk(after, a))], PAIRS)
         return found if seeds is None else found.join(seeds.select("src").distinct(), "src", "left_semi")
     edges = settled(edges)
     step = edges.select(F.col("src").alias("via"), F.col("dst").alias("next"))
@@ -65,5 +66,5 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, driver_edges: int
 
 def reachable(edges: DataFrame, start: str, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     """(dst): what one node reaches, itself left out."""
-    seeds = edges.sparkSession.createDataFrame([(start,)], "src string")
+    seeds = small_table(edges.sparkSession, [(start,)], "src string")
     return closure(edges, seeds, driver_edges).select("dst").orderBy("dst")

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..catalog import Catalog, read
 from ..errors import BeliefError, CatalogError
 from ..operators.belief import CLAIMS, NODES, RESTS_ON, BeliefGraph, display, judged_claims
+from ..session import small_table
 
 VERDICTS = "id string, x string, y string, status string, why string"
 RESULTS = "results/claims.json"
@@ -18,7 +19,7 @@ RESULTS = "results/claims.json"
 
 def verdict_rows(spark: SparkSession, report: dict[str, Any]) -> DataFrame:
     """A published report's verdicts, as ``judged_claims`` takes them."""
-    return spark.createDataFrame([(r.get("id"), r["x"], r["y"], r["status"], r.get("why", "")) for r in report["relationships"]], VERDICTS)
+    return small_table(spark, [(r.get("id"), r["x"], r["y"], r["status"], r.get("why", "")) for r in report["relationships"]], VERDICTS)
 
 
 def tables(spark: SparkSession, declared: dict[str, Any]) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -36,7 +37,7 @@ def tables(spark: SparkSession, declared: dict[str, Any]) -> tuple[DataFrame, Da
     rests = declared.get("rests_on", {})
     roots = [(k, n) for k, v in rests.items() for n in ([v] if isinstance(v, str) else v)]
     nodes = [(n.get("id"), n.get("kind"), n.get("label", "")) for n in declared.get("nodes", [])]
-    return spark.createDataFrame(nodes, NODES), spark.createDataFrame(claims, CLAIMS), spark.createDataFrame(roots, RESTS_ON)
+    return small_table(spark, nodes, NODES), small_table(spark, claims, CLAIMS), small_table(spark, roots, RESTS_ON)
 
 
 def _imported(spark: SparkSession, claims: DataFrame, siblings: Path) -> DataFrame:
@@ -62,7 +63,7 @@ def _imported(spark: SparkSession, claims: DataFrame, siblings: Path) -> DataFra
                 raise BeliefError(f"{owner!r} makes the claim {name} with several statuses")
             owned[c.idx] = sorted(hits, key=str)[0]
     rows = [(*c[:4], *owned[c.idx], c.defined_in, c.note) if c.idx in owned else tuple(c) for c in claims.collect()]
-    return spark.createDataFrame(rows, CLAIMS)
+    return small_table(spark, rows, CLAIMS)
 
 
 def load(spark: SparkSession, catalog: Catalog | str, verdicts: dict[str, Any] | None = None) -> BeliefGraph:

@@ -19,6 +19,7 @@ from ..operators import bootstrap, pairs
 from ..operators.estimators import ESTIMATORS
 from ..operators.joins import JoinReport, checked_join
 from ..operators.verdicts import REFUTED, UNVERIFIABLE, decided
+from ..session import small_table
 from ..sources.tables import ROW, Dataset, column, load_all, numeric
 
 PLAN = (
@@ -162,7 +163,7 @@ def check_loaded(
         rows = frames[source[0]] if source[2] is None else _flattened(joined[source][0], columns[source[0]], columns[source[1]])
         long = pairs.long(rows, [_wanted(p, rows, columns, frames) for p in claims])
         # One row per claim, which later passes and the verdicts share.
-        seen = spark.createDataFrame(pairs.counted(long).collect(), "claim int, n_rows long, dropped long, all_blank boolean, mean_x double, mean_y double, pearson double")
+        seen = small_table(spark, pairs.counted(long).collect(), "claim int, n_rows long, dropped long, all_blank boolean, mean_x double, mean_y double, pearson double")
         counts.append(seen)
         kept = pairs.usable(long)
         for method in sorted({p.what.method for p in claims}):
@@ -174,7 +175,7 @@ def check_loaded(
             spreads.append(bootstrap.intervals(reps, info, replicates, level))
 
     def together(parts: list[DataFrame], schema: str) -> DataFrame:
-        out = spark.createDataFrame([], schema)
+        out = small_table(spark, [], schema)
         for part in parts:
             out = out.unionByName(part.select(*out.columns))
         return out
@@ -186,7 +187,7 @@ def check_loaded(
         )
         for p in planned
     ]
-    table = spark.createDataFrame(listed, PLAN)
+    table = small_table(spark, listed, PLAN)
     for parts, schema in ((counts, "claim int, n_rows long, dropped long, all_blank boolean"), (points, "claim int, estimate double"), (spreads, "claim int, ci_lo double, ci_hi double, n_units long, mode string")):
         table = table.join(F.broadcast(together(parts, schema)), "claim", "left")
     table = table.withColumn("all_blank", F.coalesce("all_blank", F.lit(False))).withColumn("ci_level", F.when(F.col("ci_lo").isNotNull(), F.lit(level)))
@@ -201,7 +202,7 @@ def check_loaded(
         if claim in report:
             row["join"] = report[claim].as_dict()
         rows.append(row)
-    settled = spark.createDataFrame([tuple(r) for r in found], verdicts.schema)
+    settled = small_table(spark, [tuple(r) for r in found], verdicts.schema)
     return Report(catalog, datasets, [j for _, j in joined.values()], settled, rows)
 
 

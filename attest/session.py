@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from collections.abc import Iterable
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 
 def session(master: str | None = None, **settings: str) -> SparkSession:
@@ -19,3 +24,12 @@ def session(master: str | None = None, **settings: str) -> SparkSession:
     }.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def small_table(spark: SparkSession, rows: Iterable[tuple], schema: str | StructType) -> DataFrame:
+    """Rows that the plan itself carries, so that steps over them alone take no job.  For declarations and the like."""
+    kind = _parse_datatype_string(schema) if isinstance(schema, str) else schema
+    rows = list(rows)
+    arrow = to_arrow_schema(kind)
+    columns = list(zip(*rows)) if rows else [()] * len(kind)
+    return spark.createDataFrame(pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow), kind)

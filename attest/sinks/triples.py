@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.closure import DRIVER_EDGES, closure
+from ..session import small_table
 
 SCHEMA = "s string, p string, o string, kind string, datatype string"
 
@@ -77,7 +78,7 @@ class Statements:
         return list(self._rows)
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows(), SCHEMA)
+        return small_table(spark, self.rows(), SCHEMA)
 
 
 def link(s: Column, p: str, o: Column | str) -> Column:
