@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_words, mix, written
+from .common import blocks, byte_words, spans, written
 
 WINDOW = 35
 GRAM = 8
@@ -38,24 +38,10 @@ BLOCK = 4 << 20
 #: Texts are hashed together up to about so many bytes.
 CHUNK = 1 << 20
 
+#: Odd bases of the hashes of words, of word sequences and of windows.
 _B, _C, _D = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64, for i < n."""
-    up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
-    up[:1] = down[:1] = 1
-    return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
-
-
-def _spans(values: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int) -> np.ndarray:
-    """A hash of values[starts:ends] for each span, by prefix sums."""
-    up, down = _powers(base, len(values) + 1)
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * up[:-1], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
-
 def _sliding(a: np.ndarray, n: int, pick) -> np.ndarray:
     """pick (minimum or maximum) over each n consecutive values."""
     k = 1
@@ -77,7 +63,7 @@ class Parsed:
         starts = np.concatenate([p[1] + s for p, s in zip(parts, at)]) if parts else np.zeros(0, np.int64)
         ends = np.concatenate([p[2] + s for p, s in zip(parts, at)]) if parts else np.zeros(0, np.int64)
         raw = np.frombuffer(b"".join(self.joined), np.uint8).astype(np.uint64) + np.uint64(1)
-        word = _spans(raw, starts, ends, _B)
+        word = spans(raw, starts, ends, _B)
         n = len(word)
         #: Text of each window, the window's first word, hash and anchor.
         self.doc = self.start = np.zeros(0, np.int64)
@@ -87,7 +73,7 @@ class Parsed:
         if n < window:
             return
         doc = np.repeat(np.arange(len(texts)), self.n_words)
-        grams = _spans(word, np.arange(n - gram + 1), np.arange(gram, n + 1), _C)
+        grams = spans(word, np.arange(n - gram + 1), np.arange(gram, n + 1), _C)
         reach = window - gram + 1
         least = _sliding(grams, reach, np.minimum)
         ok = doc[: n - window + 1] == doc[window - 1 :]
@@ -97,13 +83,13 @@ class Parsed:
         self.places, self.place_doc = grams[is_place], doc[: len(grams)][is_place]
         at = np.flatnonzero(ok)
         self.doc, self.start, self.anchor = doc[at], at, least[at]
-        self.hash = _spans(word, at, at + window, _D)
+        self.hash = spans(word, at, at + window, _D)
         new = np.ones(len(at), bool)
         new[1:] = (self.anchor[1:] != self.anchor[:-1]) | (self.doc[1:] != self.doc[:-1])
         #: Phrases: where each one's windows begin and end, and a hash of them all.
         self.phrase = np.flatnonzero(new)
         self.phrase_end = np.concatenate((self.phrase[1:], [len(at)])).astype(np.int64) if len(at) else self.phrase
-        self.phrase_hash = _spans(self.hash, self.phrase, self.phrase_end, _C) if len(at) else self.hash
+        self.phrase_hash = spans(self.hash, self.phrase, self.phrase_end, _C) if len(at) else self.hash
 
     def kept(self, flagged: np.ndarray) -> list[tuple[int, bytes]]:
         """Words removed and the rest, by text, if the flagged windows go."""

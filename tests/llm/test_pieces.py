@@ -41,6 +41,28 @@ def test_any_text_and_the_way_back(spark, library):
         assert own.decode_bytes(ids[s:e]).decode() == t.replace("▁", " ")
 
 
+def test_compatible_pairs_are_those_that_merging_leaves_alone():
+    own = pieces.coder(PATH)
+    r = np.random.default_rng(1)
+    a, b = r.integers(0, len(own.usable), 4000), r.integers(0, len(own.usable), 4000)
+    # Pairs that share an edge, so that many merge.
+    a[:2000], b[:2000] = r.integers(0, 3000, 2000), r.integers(0, 3000, 2000)
+    got = own._compatible(a, b)
+    want = [own._merge(own.usable[i] + own.usable[j])[0] == [own.usable[i], own.usable[j]] for i, j in zip(a, b)]
+    assert got.tolist() == want and 0 < got.sum() < len(got)
+
+
+def test_slices_and_a_small_memory(monkeypatch, library):
+    texts = [f"número {i} ça et {i * 7} là." for i in range(300)] + [None, ""] * 3
+    own = pieces.Coder(PATH)
+    monkeypatch.setattr(pieces, "CACHE", 50)
+    monkeypatch.setattr(pieces, "INDEXED", 64)
+    for s in (0, 100, 290):
+        ids, offsets = own.encode(pa.array(texts).slice(s, 100))
+        for t, i, j in zip(texts[s : s + 100], offsets[:-1].tolist(), offsets[1:].tolist()):
+            assert ids[i:j].tolist() == library.encode(t or "")
+
+
 def test_round_trip_in_tables(spark):
     rows = [(1, "some words, and more"), (2, None), (3, ""), (None, "漢字 and   spaces "), (4, "a\nb")]
     coded = pieces.encoded(documents(spark, rows), PATH, with_ids=True)
