@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import small_table
 
@@ -16,6 +17,15 @@ STATUSES = {
     "falsified": (True, False, True),
     "untested": (False, True, True),
 }
+STATUS_MEANINGS = {
+    "measured": "somebody tested it, and it held",
+    "published": "a source outside says so",
+    "by_construction": "it was made that way",
+    "assumed": "it is taken for granted, and nobody has tested it here",
+    "contested": "sources disagree about it",
+    "falsified": "somebody tested it, and it did not hold",
+    "untested": "nobody has looked",
+}
 NODE_KINDS = ("method", "reference", "parameter", "condition", "quantity", "representation", "strategy")
 #: Where a doubt about a claim lands.
 DOUBT_KINDS = ("to_subject", "to_object", "both_ways", "nowhere")
@@ -38,6 +48,11 @@ PREDICATES = {
 VERDICT_STATUS = {"agrees": "measured", "refuted": "falsified", "unverifiable": "untested"}
 
 
+def status_meaning(status: Column) -> Column:
+    known = F.create_map(*[F.lit(v) for kv in STATUS_MEANINGS.items() for v in kv])
+    return F.try_element_at(known, status)
+
+
 def statuses(spark: SparkSession) -> DataFrame:
     return small_table(spark, [(k, *v) for k, v in STATUSES.items()], "status string, evidence_required boolean, open_question boolean, carries_caveat boolean")
 

@@ -83,12 +83,12 @@ def caveats(claims: DataFrame, rests_on: DataFrame, driver_edges: int = DRIVER_E
     reach = doubt_reach(claims, starts, driver_edges).union(starts.select("src", F.col("src").alias("dst")))
     carrying = described(claims).filter("carries_caveat").select("idx", display().alias("claim"), "status", "evidence", "note", "tested_by", "open_question")
     found = roots.join(reach, "src").join(bearers(claims).withColumnRenamed("node", "dst"), "dst").groupBy("artefact", "idx").agg(F.array_sort(F.collect_set("src")).alias("via"))
-    return found.join(carrying, "idx").select("artefact", "idx", "claim", "status", "via", "evidence", "note", F.col("tested_by").alias("recomputed_from"), "open_question").orderBy("artefact", "status", "claim", "idx")
+    return found.join(carrying, "idx").select("artefact", "idx", "claim", "status", "via", "evidence", "note", F.col("tested_by").alias("recomputed_from"), "open_question", vocabulary.status_meaning(F.col("status")).alias("why")).orderBy("artefact", "status", "claim", "idx")
 
 
 def open_questions(claims: DataFrame) -> DataFrame:
     """Claims that nobody has settled, in the order of declaration, with their predicate's meaning."""
-    return described(claims).filter("open_question").select("idx", display().alias("claim"), "status", F.col("meaning").alias("predicate_means"), "note", F.col("tested_by").alias("recomputed_from"), "defined_in").orderBy("idx")
+    return described(claims).filter("open_question").select("idx", display().alias("claim"), "status", F.col("meaning").alias("predicate_means"), vocabulary.status_meaning(F.col("status")).alias("why_open"), "note", F.col("tested_by").alias("recomputed_from"), "defined_in").orderBy("idx")
 
 
 def contradictions(claims: DataFrame) -> DataFrame:
@@ -242,9 +242,13 @@ class BeliefGraph:
         found: dict[str, list] = {}
         for r in self.all_caveats.collect():
             found.setdefault(r.artefact, []).append({k: v for k, v in r.asDict().items() if k not in ("artefact", "idx")})
-        names = [r.artefact for r in self.rests_on.select("artefact").distinct().orderBy("artefact").collect()]
+        rests = self.rests_on.distinct().collect()
+        names = sorted({r.artefact for r in rests})
         return {
             "summary": self.summary().first().asDict() | {"by_status": {r.status: r.n for r in self.by_status().orderBy("status").collect()}},
+            "nodes": [r.asDict() for r in self.nodes.orderBy("id").collect()],
+            "claims": [r.asDict() for r in self.claims.orderBy("idx").collect()],
+            "rests_on": {n: sorted(r.node for r in rests if r.artefact == n) for n in names},
             "caveats": {n: found.get(n, []) for n in names},
             "open_questions": [r.asDict() for r in self.open_questions().collect()],
             "contradictions": [r.asDict() for r in self.contradictions().collect()],

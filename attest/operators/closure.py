@@ -9,6 +9,7 @@ themselves, never assumed.
 from __future__ import annotations
 
 from collections import defaultdict
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +19,8 @@ from .durable import settled
 
 DRIVER_EDGES = 2_000
 PAIRS = "src string, dst string"
+#: Rounds whose pairs are kept apart.
+PARTS = 8
 
 
 def _small(edges: DataFrame, limit: int) -> list[tuple[str, str]] | None:
@@ -56,12 +59,14 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, driver_edges: int
     step = edges.select(F.col("src").alias("via"), F.col("dst").alias("next"))
     new = edges if seeds is None else edges.join(seeds.select("src").distinct(), "src", "left_semi")
     new = settled(new.filter("src <> dst"))
-    known = new
+    parts = [new]
     while not new.isEmpty():
         further = new.join(step, new["dst"] == step["via"]).select("src", F.col("next").alias("dst")).filter("src <> dst").distinct()
-        new = settled(further.join(known, ["src", "dst"], "left_anti"))
-        known = settled(known.union(new))
-    return known
+        new = settled(further.join(reduce(DataFrame.union, parts), ["src", "dst"], "left_anti"))
+        parts.append(new)
+        if len(parts) > PARTS:  # each round writes what it found; all of it is written anew only now and then
+            parts = [settled(reduce(DataFrame.union, parts))]
+    return reduce(DataFrame.union, parts)
 
 
 def reachable(edges: DataFrame, start: str, driver_edges: int = DRIVER_EDGES) -> DataFrame:

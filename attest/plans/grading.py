@@ -22,14 +22,15 @@ def _relative(keys: DataFrame, root: str, column: str = "key") -> DataFrame:
 
 def grade_project(spark: SparkSession, root: str, paths: list[str] | None = None, reproduced: list[str] = ()) -> DataFrame:
     """The grades of the named files, or of all in results/ and all declared, in order of path."""
-    declared = [f for d in read(root).datasets.values() for f in d.files] if (Path(root) / CONTEXT).is_file() else []
+    catalog = read(root) if (Path(root) / CONTEXT).is_file() else None
+    declared = [f for d in catalog.datasets.values() for f in d.files] if catalog else []
     there = files.under(spark, root)
     records = _relative(store.records(spark, root), root)
     records = records.withColumn("input_checksums", F.transform_keys("input_checksums", lambda k, v: F.regexp_replace(k, "^" + re.escape(os.path.abspath(root).rstrip("/") + "/"), "")))
     if paths is not None:
         targets = spark.createDataFrame([(p,) for p in paths], "path string")
     else:
-        targets = files.targets(spark, root, declared).filter("sha256 is not null").select("path")
+        targets = files.targets(spark, root, declared, catalog.project.get("results", "results") if catalog else "results").filter("sha256 is not null").select("path")
     again = spark.createDataFrame([(p,) for p in reproduced], "path string")
     return provenance.grades(targets, there, records, _relative(store.unfinished(spark, root), root), again).orderBy("path")
 

@@ -105,9 +105,9 @@ def with_suffix(files: DataFrame, suffixes: tuple[str, ...]) -> DataFrame:
     return files.filter(keep)
 
 
-def targets(spark: SparkSession, root: str, declared: list[str]) -> DataFrame:
-    """What a project's statements rest on: all files in results/ and each declared file, in order of path, with nulls
+def targets(spark: SparkSession, root: str, declared: list[str], results: str = "results") -> DataFrame:
+    """What a project's statements rest on: all files in its results folder and each declared file, in order of path, with nulls
     where a declared file is missing."""
     named = spark.createDataFrame([(p,) for p in sorted(set(declared))], "path string")
     there = under(spark, root)
-    return named.union(there.filter(F.startswith("path", F.lit("results/"))).select("path")).distinct().join(there, "path", "left").orderBy("path")
+    return named.union(there.filter(F.startswith("path", F.lit(results.rstrip("/") + "/"))).select("path")).distinct().join(there, "path", "left").orderBy("path")

@@ -46,6 +46,14 @@ def records(spark: SparkSession, root: str, store: str = STORE) -> DataFrame:
     return fine.select("key", "r.*").drop("_bad").dropDuplicates(["key"])
 
 
+def run_record(spark: SparkSession, root: str, path: str, store: str = STORE) -> dict | None:
+    """One output's record, filed under its path in the project or in full; None if there is none."""
+    full = path if os.path.isabs(path) else os.path.join(os.path.abspath(root), path)
+    keys = [os.path.relpath(full, os.path.abspath(root)), full]
+    rows = {r.key: r.asDict() for r in records(spark, root, store).filter(F.col("key").isin(keys)).collect()}
+    return next((rows[k] for k in keys if k in rows), None)
+
+
 def _keys(spark: SparkSession, folder: str) -> DataFrame:
     files, top = _listed(spark, folder)
     return files.select(key_of(F.col("path"), top).alias("key")).filter("key is not null").distinct()

@@ -110,5 +110,6 @@ def test_the_vocabulary_is_closed_and_consistent(spark):
     assert vocabulary.statuses(spark).count() == 7 and vocabulary.node_kinds(spark).count() == 7
     for stale, doubt, meaning in vocabulary.PREDICATES.values():
         assert stale in ("backward", "forward", None) and doubt in vocabulary.DOUBT_KINDS and meaning
+    assert set(vocabulary.STATUS_MEANINGS) == set(vocabulary.STATUSES)
     differ = [k for k, (_, is_open, carries) in vocabulary.STATUSES.items() if is_open != carries]
     assert differ == ["falsified"]

@@ -128,6 +128,8 @@ def test_the_ladder(spark, tmp_path):
     gone, n = grading.vanished(spark, str(tmp_path))
     assert {r.path: r.regenerate for r in gone.collect()} == {"results/gone": "snakemake results/gone", long: f"snakemake {long}"}
     assert n == 11
+    assert store.run_record(spark, str(tmp_path), "results/done")["rule"] == "r" and store.run_record(spark, str(tmp_path), "results/absolute")
+    assert store.run_record(spark, str(tmp_path), "results/none") is None
     report = grading.report(spark, str(tmp_path))
     assert report["files"] == 10 and report["quotable"] == 2 and report["by_grade"]["EXECUTED"] == 6
 
