@@ -37,9 +37,9 @@ from .common import written
 SIZE = 4096
 END = 1
 #: UTF-8 bytes of text that are split together.
-TOGETHER = 16 << 20
+TOGETHER = 8 << 20
 #: Runs of characters whose ids a worker remembers; beyond it, it starts anew.
-CACHE = 400_000
+CACHE = 150_000
 #: Bins of the patterns, and most documents in one.
 BINS, PARTS = 64, 4
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -88,7 +88,7 @@ class Encoder:
     def _learn(self, new: set[str], held: list[str]) -> None:
         split: dict[str, tuple[str, str]] = {}
         if len(self.runs) > CACHE:
-            self.runs = {w: self.runs[w] for w in held if w in self.runs}
+            self.runs = {w: self.runs[w] for w in ("", *held) if w in self.runs}
         for w in new:
             word = w.rstrip(_TAIL)
             low = word.lower()

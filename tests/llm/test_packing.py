@@ -51,6 +51,17 @@ def test_documents(spark, sf, tokenizer):
     assert n <= 1.03 * least + 1
 
 
+def test_a_small_memory_changes_nothing(monkeypatch, tokenizer):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "CACHE", 5)
+    own = packing.Encoder(PATH)
+    for texts in (["one two three, four five six. seven"], [""], ["", "  eight nine", "one... ten eleven twelve"], [None, "   "], ["thirteen fourteen"]):
+        ids, offsets = own.encode(pa.array(texts, pa.string()))
+        for t, s, e in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist()):
+            assert ids[s:e].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
 def test_an_empty_table(spark):
     assert packing.query(documents(spark, []), PATH).count() == 0
 
