@@ -30,8 +30,8 @@ CENTRES = 16
 #: The inner product from which errors matter, as a share of the largest.
 AIM = 0.2
 ROUNDS = 4
-#: Rows of a block of queries and of candidates.
-QUERIES, ROWS = 4096, 4096
+#: Rows of a block of queries and of candidates.  A candidate is sent and coded once for each block of queries.
+QUERIES, ROWS = 32768, 4096
 #: A block passes one in so many of its rows on, and at least LEAST.
 KEEP, LEAST = 32, 40
 
