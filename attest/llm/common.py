@@ -13,12 +13,23 @@ from pyspark.sql import functions as F
 #: A word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of an Arrow batch.  Texts and pages are long, and a batch is what Spark buffers and a worker holds at once.
+BATCH = 1000
+
 _SPACES = str.maketrans({chr(c): " " for c in range(9, 14)})
 _own_dir: str | None = None
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to BATCH rows, unless they are smaller."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a parquet table, by Spark's reader only."""
+    small_batches(spark)
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     return df.select(*columns) if columns else df
 
@@ -41,6 +52,7 @@ def written(df: DataFrame) -> DataFrame:
     The folder goes when the driver's JVM ends.
     """
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/attest-{uuid.uuid4().hex}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
@@ -65,6 +77,19 @@ def byte_words(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
     return joined, np.concatenate(([0], gaps + 1)), np.concatenate((gaps, [len(joined)]))
 
 
+def release() -> None:
+    """Give memory that is free back to the system; a worker lives through many tasks of other sizes."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another system's library
+        pass
+
+
 def blocks(batches: Iterator, column: str, size: int = 16 << 20) -> Iterator:
     """Join Arrow batches (as pandas) until their texts in ``column`` hold about ``size`` characters."""
     import pandas as pd

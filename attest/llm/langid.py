@@ -26,6 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release, small_batches
+
 UND = "und"
 TRAIN_ROWS = 6_000
 WORDS = 30_000
@@ -168,6 +170,7 @@ def fit(rows: Iterator[tuple[str, str]], words: int = WORDS, grams: int = GRAMS)
 
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
     """Fit on the labelled rows of least hash outside the held-out fold."""
+    small_batches(docs.sparkSession)
     source = docs.filter(f"lang is not null and text is not null and not ({FOLD})").select("lang", "text", F.xxhash64("doc_id", "text").alias("_h"))
     n = source.count()
     if n > train_rows:
@@ -182,7 +185,9 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def of(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([held.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+        out = pd.DataFrame([held.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+        release()
+        return out
 
     return docs.withColumn("_at", F.pandas_udf(of, "lang_pred string, score double")("text"))
 

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import written
+from .common import release, written
 
 SIZE = 4096
 END = 1
@@ -151,6 +151,7 @@ def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str =
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]
                 arrays = [rows.column("doc_id").take(pa.array(row)), pa.array(columns[0], pa.int32()), *(pa.array(c, pa.int64()) for c in columns[1:])]
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
+            release()
 
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(cut, PIECES)
 

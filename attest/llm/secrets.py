@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import release, small_batches
+
 KINDS = ("assign", "access", "hex", "learned")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -184,6 +186,7 @@ class Network:
 
 def train(docs: DataFrame) -> Network:
     """Fit on the examples of a bounded sample of texts, by least hash."""
+    small_batches(docs.sparkSession)
     source = docs.filter("text is not null").select("text", F.xxhash64("doc_id", "text").alias("_h"))
     n = source.count()
     if n > TRAIN_DOCS:
@@ -244,6 +247,7 @@ def scanned(text: Column, network: Network) -> Column:
         for t, (b, a) in zip(rows, scan(rows, held.value)):
             n = [sum(k == i for _, k, _ in b) for i in range(3)]
             out.append((*n, hashlib.sha256(joined(b).encode()).hexdigest(), joined(a), redacted(t, a)))
+        release()
         return pd.DataFrame(out, columns=["n_assign", "n_access", "n_hex", "base_sha256", "spans", "redacted"])
 
     return F.pandas_udf(of, "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, redacted string")(text)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import byte_words, min_components, written
+from .common import byte_words, min_components, release, written
 
 SHINGLE = 4
 TAU = 4
@@ -62,7 +62,9 @@ def fingerprints(docs: DataFrame, text: str = "text") -> Column:
     """A long column with the bits of each text's fingerprint."""
 
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+        out = pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64))
+        release()
+        return out
 
     return F.pandas_udf(of, T.LongType())(docs[text])
 

@@ -29,7 +29,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, byte_words, spans, written
+from .common import blocks, byte_words, release, spans, written
 
 WINDOW = 35
 GRAM = 8
@@ -139,6 +139,7 @@ def _anchors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
             first = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]).any(1))))
             count = np.diff(np.concatenate((first, [len(rows)])))
+            release()
             yield pd.DataFrame({"anchor": rows[first, 0].view(np.int64), "block": rows[first, 1].astype(np.int32), "n": np.minimum(count, 2).astype(np.int8)})
 
 
@@ -174,6 +175,7 @@ def _list_phrases(docs: pd.DataFrame, shared: pd.DataFrame, with_text: bool) ->
         phrase, first, count = np.unique(np.concatenate(phrases), return_index=True, return_counts=True)
         anchor = np.concatenate(anchors)[first]
         out.append(_listed(kind=["phrase"] * len(phrase), block=[int(docs["block"].iloc[0])] * len(phrase), anchor=anchor.view(np.int64), phrase=phrase.view(np.int64), n=np.minimum(count, 2), hashes=[hashes[i] for i in first.tolist()]))
+    release()
     return pd.concat(out, ignore_index=True) if out else _listed(kind=[])
 
 
@@ -217,6 +219,7 @@ def _finish(docs: pd.DataFrame, marks: pd.DataFrame, with_text: bool) -> pd.Data
             out.append((doc, n, gone, hashlib.sha256(left).hexdigest(), *((left.decode("utf-8", "surrogatepass") if gone else text,) if with_text else ())))
     got = pd.DataFrame(out, columns=["doc_id", "n_words", "n_removed", "kept_sha256", "text"][: 4 + with_text])
     got["doc_id"] = got["doc_id"].astype("string")
+    release()
     return got
 
 
