@@ -39,7 +39,7 @@ END = 1
 #: UTF-8 bytes of text that are split together.
 TOGETHER = 8 << 20
 #: Runs of characters whose ids a worker remembers; beyond it, it starts anew.
-CACHE = 150_000
+CACHE = 250_000
 #: Bins of the patterns, and most documents in one.
 BINS, PARTS = 64, 4
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -129,11 +129,23 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together up to TOGETHER bytes, as words are looked up once for each."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= TOGETHER:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held = []
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def pieces(docs: DataFrame, tokenizer: str, doc_id: str = "doc_id", text: str = "text", size: int = SIZE, end: int = END) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _joined(batches):
             bytes_to = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()) // TOGETHER
             edges = [0, *(np.flatnonzero(np.diff(bytes_to)) + 1).tolist(), batch.num_rows]
             for first, last in zip(edges, edges[1:]):

@@ -106,7 +106,8 @@ def weights(docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS, trusted_
 
 def score(h: Column, weight: list[float]) -> Column:
     """The mean weight of a text's n-grams; zero without any."""
-    w = F.lit(weight)
+    # One literal, folded from text: an array of so many literals takes seconds to plan.
+    w = F.split(F.lit(",".join(map(repr, weight))), ",").cast("array<double>")
     sums = let(h, lambda h: F.aggregate(grams(h, len(weight)), F.lit(0.0), lambda a, b: a + F.get(w, b)))
     return F.round(sums / F.greatest(2 * F.size(h) - 1, F.lit(1)), 9)
 
