@@ -6,9 +6,10 @@ because it is what changes a large inner product.  Centres are fitted on at most
 hash); every vector is coded and scanned.
 
 Queries and candidates are dealt into blocks of fixed size, and each pair of blocks meets in one group: the two halves
-of a byte of code share one 256-entry table, a block's tables are added up for all its candidates, the best
-``KEEP`` of a block go on and are reranked by the cosine of the original vectors in double precision, and the best k of
-all blocks are taken.  A block passes on a fixed share of its rows, so recall does not sink as the table grows.
+of a byte of code share one 256-entry table, a block's tables are added up for all its candidates, and the best of a
+block are reranked by the cosine of the original vectors in double precision.  Their k-th best cosine is a bound, and
+every other row whose table score leaves it a chance to reach that bound (``Quantiser.least``) is reranked too, so a
+block loses no neighbour, however many near or scaled copies it holds.  The best k of all blocks are taken.
 
 Cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part,
 as queries or candidates; of equal vectors the smaller ids come first, and a block looks at k + 1 of them, which is
@@ -32,7 +33,7 @@ AIM = 0.2
 ROUNDS = 4
 #: Rows of a block of queries and of candidates.  A candidate is sent and coded once for each block of queries.
 QUERIES, ROWS = 32768, 4096
-#: A block passes one in so many of its rows on, and at least LEAST.
+#: One in so many of a block's rows, and at least LEAST, are reranked to find the bound for all others.
 KEEP, LEAST = 32, 40
 
 
@@ -92,6 +93,26 @@ class Quantiser:
         found = np.linalg.solve(a, b + 1e-6 * old)
         self.centres = [found[first[i] : first[i + 1]].reshape(CENTRES, -1) for i in range(len(self.spaces))]
 
+    def residuals(self, x: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What coding loses of each unit vector: its residual along the vector, and the length of the rest of it."""
+        off = np.empty_like(x)
+        for i, s in enumerate(self.spaces):
+            off[:, s] = x[:, s] - self.centres[i][codes[:, i]]
+        along = (off * x).sum(1)
+        return along, np.sqrt(np.maximum((off * off).sum(1) - along * along, 0))
+
+    @staticmethod
+    def least(cosine: np.ndarray, along: np.ndarray, across: np.ndarray) -> np.ndarray:
+        """The least table score of rows of such residuals whose cosine to a unit query is not below the given one.
+
+        A query at cosine c to a row x is c x + sqrt(1 - c^2) u with a unit u orthogonal to x, so its product with the
+        coded row is at least c (1 - along) - sqrt(1 - c^2) across; this is least at the smallest c, or where it turns.
+        """
+        a = 1 - along
+        turn = -a / np.maximum(np.sqrt(a * a + across * across), 1e-300)
+        c = np.clip(np.maximum(cosine[:, None], turn), -1, 1)
+        return c * a - np.sqrt(1 - c * c) * across
+
     def packed(self, codes: np.ndarray) -> np.ndarray:
         """Two four-bit codes a byte."""
         if codes.shape[1] % 2:
@@ -126,8 +147,10 @@ def search_block(quantiser: Quantiser, query_ids: np.ndarray, queries: np.ndarra
     copies = [np.unique(ids[by_group[s:e]])[: k + 1] for s, e in zip(bounds[:-1], bounds[1:])]
     rows = rows[first]
     unit = rows / np.sqrt((rows * rows).sum(1))[:, None]
-    codes = quantiser.packed(quantiser.code(unit)).T.copy()
-    keep = min(len(rows), max(LEAST, -(-len(rows) // KEEP)))
+    codes = quantiser.code(unit)
+    along, across = quantiser.residuals(unit, codes)
+    codes = quantiser.packed(codes).T.copy()
+    keep = min(len(rows), max(LEAST, k + 1, -(-len(rows) // KEEP)))
     out = []
     for at in range(0, len(queries), 64):
         part = queries[at : at + 64]
@@ -137,8 +160,21 @@ def search_block(quantiser: Quantiser, query_ids: np.ndarray, queries: np.ndarra
             score += tables[:, j][:, code]
         best = np.argpartition(-score, keep - 1, axis=1)[:, :keep]
         exact = _cosine(part[:, None, :], rows[best])
+        if keep < len(rows):
+            # A query may be one of the rows, so of different rows the k + 1 best are the bound.
+            bound = np.partition(exact, keep - k - 1, axis=1)[:, keep - k - 1]
+            # Single precision rounds every table entry and every addition.
+            slack = 1e-9 + (len(codes) + 2) * 2.0**-23 * np.abs(tables).max(2).sum(1, dtype=np.float64)
+            more = ~(score < quantiser.least(bound - 1e-9, along, across) - slack[:, None])
+            np.put_along_axis(more, best, False, axis=1)
         for i in range(len(part)):
-            found = sorted((-s, v) for s, g in zip(exact[i].tolist(), best[i].tolist()) for v in copies[g].tolist() if v != query_ids[at + i])[:k]
+            scored, at_rows = exact[i], best[i]
+            if keep < len(rows) and len(rest := np.flatnonzero(more[i])):
+                scored, at_rows = np.concatenate((scored, _cosine(part[i][None], rows[rest]))), np.concatenate((at_rows, rest))
+            if len(scored) > k + 1:  # all that tie with the k + 1 best
+                top = scored >= np.partition(scored, len(scored) - k - 1)[len(scored) - k - 1]
+                scored, at_rows = scored[top], at_rows[top]
+            found = sorted((-s, v) for s, g in zip(scored.tolist(), at_rows.tolist()) for v in copies[g].tolist() if v != query_ids[at + i])[:k]
             out += [(int(query_ids[at + i]), v, -s) for s, v in found]
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 

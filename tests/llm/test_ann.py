@@ -90,3 +90,25 @@ def test_parallel_error_is_what_the_quantiser_avoids():
         return float((((back - x) * x).sum(1) ** 2).mean())
 
     assert parallel(0.5) < parallel(0.0)
+
+
+def test_near_and_scaled_copies_of_a_third_of_a_block_lose_nothing():
+    r = np.random.default_rng(4)
+    n, d = 4096, 64
+    x = r.normal(size=(n, d))
+    crowd = r.permutation(n)[: n // 3]
+    centre = r.normal(size=d)
+    near, scaled = crowd[::2], crowd[1::2]
+    x[near] = centre + 0.1 * r.normal(size=(len(near), d))
+    x[scaled] = centre * 2.0 ** r.integers(-3, 4, len(scaled))[:, None]
+    x = x.astype(np.float32).astype(np.float64)
+    x[scaled] = x[scaled[0]] * 2.0 ** r.integers(-3, 4, len(scaled))[:, None]
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    ids = np.arange(n)
+    asked = np.concatenate((near[:20], scaled[:20], np.setdiff1d(ids, crowd)[:20]))
+    found = ann.search_block(ann.Quantiser(unit), asked, x[asked], ids, x)
+    for q in asked.tolist():
+        s = ann._cosine(x[q][None], x)
+        want = sorted((-v, i) for i, v in enumerate(s.tolist()) if i != q)[:5]
+        part = found[found["query_id"] == q]
+        assert list(zip((-part["score"]).tolist(), part["vec_id"].tolist())) == want
