@@ -2,9 +2,11 @@
 
 Every page is parsed once for hashes and once for text.  A subtree's hash covers its tags and its text.  Hashes are
 counted per host over all pages, each different page content of a host counting once, so that copies of an article
-don't make it a template.  Subtrees on at least ``SHARE`` of a host's contents, and on ``LEAST`` of them, are deleted.
-A host has at most (elements of a mean page / SHARE) such hashes, so the table that meets the pages is small; a host
-with a third of all pages is split by AQE, as the join is a plain one.
+don't make it a template.  A subtree goes if it is on ``LEAST`` of a host's contents and on ``RARE`` of them, so that
+templates of one section of a large host go too; on a smaller host half of its contents suffice, but ``FEWEST`` at
+least.  A paragraph, heading, list item or table cell inside an article or main element may be prose that recurs, and
+goes only if it is on ``SHARE`` of the contents too.  Templates meet the pages that hold them by host and hash, so their
+number is not bounded; a hash that is on very many pages is split by AQE, as the join is a plain one.
 
 Whatever its host, a page loses navigation, page headers, footers, sidebars, notices, adverts, forms, scripts, styles
 and reader comments by their tags, roles, classes and ids.  Where a page has an article or main element, only text in
@@ -28,8 +30,10 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-SHARE = 0.5
-LEAST = 20
+#: Of a host's different contents: for prose in articles, and for all else.
+SHARE, RARE = 0.5, 0.01
+#: Contents of a host: for hosts of any size, and for small ones.
+LEAST, FEWEST = 20, 6
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
 _ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -44,6 +48,8 @@ _JUNK_ROLES = set("navigation banner contentinfo complementary search form dialo
 _JUNK_WORDS = set(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription paywall sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments commentlist disqus reply replies respond share sharing social login signin signup search toolbar pagination pager form related recommended skip".split()
 )
+#: Of an article's own text, when they stand in one.
+_PROSE = set("p li dt dd h1 h2 h3 h4 h5 h6 blockquote pre td th tr caption figcaption summary".split())
 #: Of a page, but not of an article.
 _JUNK_OUTSIDE = {"header", "banner", "alert", "topbar", "widget"}
 #: An opening tag ends an open element of its own kind, as HTML allows them to stay unclosed.
@@ -85,7 +91,7 @@ class Page:
     def __init__(self, source: str | None):
         #: (text, kept by the element rules, in an article)
         self.blocks: list[tuple[str, bool, bool]] = []
-        #: (hash, first block, block after the last)
+        #: (hash, first block, block after the last); a hash is odd for prose in an article
         self.trees: list[tuple[int, int, int]] = []
         self._open: list[str] = []
         self._state = (True, False)
@@ -123,6 +129,7 @@ class Page:
             up.parts.append(f"{h:x}")
             up.text = True
             if node.tag in _BLOCK and node.tag not in ("html", "body", "main", "article") and len(self.blocks) > node.first:
+                h = h & ~1 | (node.article and node.tag in _PROSE)
                 self.trees.append((h - (1 << 64) if h >> 63 else h, node.first, len(self.blocks)))
 
     def _parse(self, source: str) -> None:
@@ -183,6 +190,13 @@ class Page:
             self._close(stack)
         self._flush()
 
+    def shown(self) -> list[int]:
+        """The hashes of subtrees that hold some text which the element rules keep."""
+        kept = [ok for _, ok, _ in self.blocks]
+        if any(a for _, ok, a in self.blocks if ok):
+            kept = [ok and a for _, ok, a in self.blocks]
+        return sorted({h for h, first, last in self.trees if any(kept[first:last])})
+
     def text(self, templates: set[int] | None = None) -> str:
         gone: set[int] = set()
         for h, first, last in self.trees if templates else ():
@@ -202,35 +216,39 @@ def host_of(url: Column) -> Column:
 def _hashes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         rows = []
-        for host, source in zip(pdf["host"], pdf["html"]):
+        for host, key, source in zip(pdf["host"], pdf["key"], pdf["html"]):
             page = Page(source)
             content = xxhash.xxh64_intdigest(page.text().encode("utf-8", "surrogatepass"))
-            rows.append((host, content - (1 << 64) if content >> 63 else content, sorted({h for h, _, _ in page.trees})))
-        yield pd.DataFrame(rows, columns=["host", "content", "hashes"])
+            rows.append((host, key, content - (1 << 64) if content >> 63 else content, sorted({h for h, _, _ in page.trees}), page.shown()))
+        yield pd.DataFrame(rows, columns=["host", "key", "content", "hashes", "shown"])
 
 
-def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
-    """host, and an array of the hashes of its templates."""
-    each = written(pages.select("host", "html").mapInPandas(_hashes, "host string, content long, hashes array<long>"))
+def templates(pages: DataFrame, share: float = SHARE, least: int = LEAST, rare: float = RARE, fewest: int = FEWEST) -> DataFrame:
+    """host, key and an array of the hashes of its templates, for each different page that holds any."""
+    each = written(pages.select("host", "key", "html").mapInPandas(_hashes, "host string, key binary, content long, hashes array<long>, shown array<long>"))
     # One row for each different content of a host; any of its rows' hashes will do, so take the least.
     contents = each.groupBy("host", "content").agg(F.min("hashes").alias("hashes"))
-    counts = contents.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    counts = contents.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min(least, fewest))
     totals = each.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("total"))
-    often = counts.join(totals, "host").filter(F.col("n") >= share * F.col("total"))
-    return often.groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+    n, total, prose = F.col("n"), F.col("total"), F.col("hash").bitwiseAND(F.lit(1)) == 1
+    floor = F.greatest(F.least(F.lit(float(least)), F.greatest(F.lit(float(fewest)), total / 2)), rare * total)
+    often = written(counts.join(totals, "host").filter((n >= floor) & (~prose | (n >= share * total))).select("host", "hash"))
+    held = each.dropDuplicates(["host", "key"]).select("host", "key", F.explode("shown").alias("hash")).join(often, ["host", "hash"])
+    return held.groupBy("host", "key").agg(F.collect_list("hash").alias("hashes"))
 
 
 def extracted(pages: DataFrame, share: float = SHARE, least: int = LEAST) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    pages = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"))
+    key = F.unhex(F.md5("html")).alias("key")
+    pages = pages.select(F.col("page_id").cast("string").alias("page_id"), "url", "html", host_of(F.col("url")).alias("host"), key)
 
     def texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = [Page(s).text(set(h.tolist()) if h is not None else None) for s, h in zip(pdf["html"], pdf["hashes"])]
             yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": out, "n_chars": [len(t) for t in out]})
 
-    # Templates are written first, so that both sides of the join are shuffled for it and a large host can be split.
-    found = pages.join(written(templates(pages, share, least)), "host", "left").select("page_id", "url", "html", "hashes")
+    # What pages hold is written first, so that both sides of the join are shuffled for it and a page of many copies can be split.
+    found = pages.join(written(templates(pages, share, least)), ["host", "key"], "left").select("page_id", "url", "html", "hashes")
     done = found.mapInPandas(texts, "page_id string, url string, text string, n_chars long")
     return done.withColumn("page_id", F.col("page_id").cast("long"))
 

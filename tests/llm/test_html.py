@@ -64,3 +64,18 @@ def test_every_page_of_the_tables_is_answered(spark, sf):
     found = html.query(df).collect()
     assert len(found) == df.count() and sum(r.n_chars > 0 for r in found) > 0.9 * len(found)
     assert all("<p>" not in r.text and r.n_chars == len(r.text) and "\n\n" not in r.text for r in found)
+
+
+def test_templates_of_a_section_and_of_small_hosts_go_and_prose_stays(spark):
+    rows = []
+    for i in range(400):  # a hot host: a menu on 10% of its pages, a notice on 40%, and a sentence that many articles end with
+        menu = "<div><ul><li>All of sport</li><li>Results</li></ul></div>" if i % 10 == 0 else ""
+        notice = "<section><p>Our terms have changed</p></section>" if i % 5 < 2 else ""
+        last = "<p>More next week.</p>" if i % 4 == 0 else ""
+        body = f"{menu}{notice}<p>Own text number {i}.</p>{last}"
+        rows.append((i, f"https://hot.example/{i}", f"<body><main>{body}</main></body>" if i % 3 else f"<body>{menu}{notice}<p>Own text number {i}.</p></body>"))
+    rows += [(1000 + i, f"https://small.example/{i}", f"<body><div><p>Small but loud</p></div><p>Text {i}</p></body>") for i in range(8)]
+    found = {r.page_id: r.text for r in html.query(pages(spark, rows)).collect()}
+    for i in range(400):
+        assert found[i] == f"Own text number {i}." + ("\nMore next week." if i % 4 == 0 and i % 3 else "")
+    assert all(found[1000 + i] == f"Text {i}" for i in range(8))
