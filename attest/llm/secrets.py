@@ -6,7 +6,7 @@ The network is trained in numpy on labelled findings: the base patterns' values
 negatives, from at most ``TRAIN_DOCS`` texts and ``TRAIN_EXAMPLES`` examples (those of least hash).  Half of the
 positives lose their context, so that the network can't lean on the word before the value.  Its output is calibrated
 on examples it did not train on, and the threshold is the highest at which ``RECALL`` of those positives are found,
-but 0.5 at least.  Every row is scanned, over its whole text.
+however low that is; the recall and precision on them are kept with the network and logged.  Every row is scanned, over its whole text.
 
 Cases: a null or empty text has no spans; without positives or negatives to learn from there are only base spans;
 repeated rows give repeated result rows; a null doc_id is kept; an empty table gives an empty result; other columns
@@ -16,6 +16,7 @@ are not read.
 from __future__ import annotations
 
 import hashlib
+import logging
 import re
 from collections.abc import Iterator
 
@@ -109,6 +110,8 @@ class Network:
             "b3": np.zeros(1),
         }
         self.scale, self.shift, self.threshold = 1.0, 0.0, 1.1
+        #: On held-out examples, at the threshold.
+        self.recall = self.precision = float("nan")
 
     def codes(self, views: list[str]) -> np.ndarray:
         return np.array([[min(ord(c), 127) for c in v] for v in views], np.int64).reshape(-1, self.WIDTH)
@@ -170,8 +173,11 @@ class Network:
             q = 1 / (1 + np.exp(-np.clip(self.scale * logit + self.shift, -30, 30)))
             self.scale -= 0.05 * (((q - y) * logit).mean() + 0.01 * (self.scale - 1))
             self.shift -= 0.05 * ((q - y).mean() + 0.01 * self.shift)
-        hits = np.sort(self.predict_codes(x[test][y == 1]))
-        self.threshold = max(0.5, float(hits[int((1 - RECALL) * len(hits))]))
+        p = self.predict_codes(x[test])
+        hits = np.sort(p[y == 1])
+        self.threshold = float(hits[int((1 - RECALL) * len(hits))])
+        self.recall, self.precision = float((hits >= self.threshold).mean()), float(y[p >= self.threshold].mean())
+        logging.getLogger(__name__).info("held-out recall %.4f, precision %.4f at threshold %.4f", self.recall, self.precision, self.threshold)
         return self
 
     def predict_codes(self, x: np.ndarray) -> np.ndarray:

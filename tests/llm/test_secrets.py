@@ -98,3 +98,16 @@ def test_odd_tables(spark):
     assert secrets.query(documents(spark, [])).count() == 0
     (r,) = secrets.query(documents(spark, [(1, "nothing here")])).collect()
     assert (r.n_assign, r.n_access, r.n_hex, r.spans) == (0, 0, 0, "")
+
+
+def test_the_recall_holds_where_positives_look_like_words():
+    r = np.random.default_rng(5)
+    views = []
+    for i in range(500):
+        word = "-".join(["plain", "words", "joined", str(i % 10)])
+        value = key(r, 24) if i % 4 else word  # a fourth of the positives can't be told from the negatives
+        views += [(1, secrets.view(value, 0, len(value))), (0, secrets.view(word, 0, len(word)))]
+    net = secrets.Network().fit([v for _, v in views], np.array([x for x, _ in views]))
+    held = [v for i, (x, v) in enumerate(views) if i % 5 == 4 and x]
+    assert (net.predict(held) >= net.threshold).mean() >= secrets.RECALL
+    assert net.threshold < 0.5 and net.recall >= secrets.RECALL and 0.4 < net.precision < 0.9
