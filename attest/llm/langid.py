@@ -2,7 +2,7 @@
 
 A word that training saw is scored by its per-language log frequency.  A word it did not see is scored by the
 longest character n-grams it holds that training saw, from ``MAX_N`` characters down to one, averaged to one word's
-worth.  The sums over a whole text are divided by its words, and the prediction is the largest; its score is the
+worth.  All n-grams of a word count, as in scripts without spaces a run of letters is a sentence or a whole text.  The sums over a whole text are divided by its words, and the prediction is the largest; its score is the
 posterior of that mean, from 0 to 1, made flatter by ``SHARPNESS``.
 
 The classifier is fitted on a sample of at most about ``train_rows`` labelled rows (those of least hash), as wide as
@@ -36,6 +36,8 @@ MAX_N = 4
 SHARPNESS = 1.0
 #: Words whose scores a worker remembers; beyond it, it starts anew.
 CACHE = 100_000
+#: n-grams that are looked up at once; longer runs of letters are read in pieces.
+PIECE = 200_000
 FOLD = "pmod(crc32(cast(coalesce(cast(doc_id as string), '') as binary)), 5) = 0"
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -53,6 +55,25 @@ def _grams(word: str, n: int) -> list[str]:
     return [w[i : i + n] for i in range(len(w) - n + 1)]
 
 
+def _pieces(words: list[str], n: int) -> Iterator[tuple[list[str], np.ndarray]]:
+    """All n-grams of whole words and which word each is of, up to PIECE at once, so that memory is bounded."""
+    grams: list[str] = []
+    owners: list[tuple[int, int]] = []
+    for i, word in enumerate(words):
+        w = f"<{word}>" if n > 1 else word
+        at, end = 0, max(0, len(w) - n + 1)
+        while at < end:
+            stop = min(end, at + PIECE - len(grams))
+            grams += [w[j : j + n] for j in range(at, stop)]
+            owners.append((i, stop - at))
+            at = stop
+            if len(grams) == PIECE:
+                yield grams, np.repeat(*np.array(owners).T)
+                grams, owners = [], []
+    if grams:
+        yield grams, np.repeat(*np.array(owners).T)
+
+
 def _keys(texts: list[str]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(t.encode("utf-8", "surrogatepass")) for t in texts], np.uint64)
 
@@ -99,12 +120,12 @@ class Model:
         for n in range(MAX_N, 0, -1):
             if not len(rest):
                 break
-            grams = [_grams(words[i][:64], n) for i in rest.tolist()]
-            owner = np.repeat(np.arange(len(rest)), [len(g) for g in grams])
-            at, there = self.grams.find([g for gs in grams for g in gs])
-            found = np.bincount(owner[there], minlength=len(rest))
+            found = np.zeros(len(rest), np.int64)
             sums = np.zeros((len(rest), len(self.langs)))
-            np.add.at(sums, owner[there], self.grams.rows[at[there]])
+            for grams, owner in _pieces([words[i] for i in rest.tolist()], n):
+                at, there = self.grams.find(grams)
+                found += np.bincount(owner[there], minlength=len(rest))
+                np.add.at(sums, owner[there], self.grams.rows[at[there]])
             hit = found > 0
             out[rest[hit]] = sums[hit] / found[hit, None]
             rest = rest[~hit]

@@ -66,3 +66,13 @@ def test_extra_columns_are_not_read(spark):
     rows = [(1, "a b", "x", 1.0), (2, "c d", "y", 2.0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")
     assert langid.query(df).columns == ["doc_id", "held_out", "lang_pred", "score"]
+
+
+def test_a_long_run_is_read_to_its_end(monkeypatch):
+    m = langid.fit([("a", "abcab abcabc cabcab"), ("b", "xyzxy zyxzyx xyxyz")] * 5)
+    run = "abc" * 22 + "xyz" * 100  # another language after character 64
+    assert m.predict(run)[0] == "b" and m.predict("q" * 70 + "xyz" * 5)[0] == "b"
+    text = f"{run} abcab zzz {run[::-1]}"
+    want = m.score(langid.letters(text))
+    monkeypatch.setattr(langid, "PIECE", 7)
+    assert np.allclose(m.score(langid.letters(text)), want)
