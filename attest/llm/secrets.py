@@ -1,9 +1,11 @@
 """Secret scans: fixed patterns, and a small character network for what they miss.
 
-The base patterns (assignments, access keys, hexadecimal runs) always hold.  Every other candidate, a long run of key
-characters with letters and digits, is judged by a convolutional network over its characters and its surroundings.
+The base patterns (assignments, access keys, hexadecimal runs) always hold.  Every other candidate, a run of 12 key
+characters or more with letters and digits, is judged by a convolutional network over its characters and its
+surroundings, a long one in overlapping views, of which the likeliest counts.  Where an access key or a hexadecimal run
+is part of a run, the whole run is judged and the rest of it found; what stands before an assignment is judged alone.
 The network is trained in numpy on labelled findings: the base patterns' values are the positives and other runs the
-negatives, from at most ``TRAIN_DOCS`` texts and ``TRAIN_EXAMPLES`` examples (those of least hash).  Half of the
+negatives, but for those that look like keys, which may be secrets that the patterns miss; from at most ``TRAIN_DOCS`` texts and ``TRAIN_EXAMPLES`` examples (those of least hash).  Half of the
 positives lose their context, so that the network can't lean on the word before the value.  Its output is calibrated
 on examples it did not train on, and the threshold is the highest at which ``RECALL`` of those positives are found,
 however low that is; the recall and precision on them are kept with the network and logged.  Every row is scanned, over its whole text.
@@ -16,6 +18,7 @@ are not read.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import logging
 import re
 from collections.abc import Iterator
@@ -32,8 +35,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 LONG = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Runs that negatives come from: shorter ones too, so that plain numbers and words are known.
+#: Candidates, and runs that negatives come from.
 RUN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+SHORTEST = 12
+#: A run that changes between small letters, capitals and digits at so many of its places looks like a key.
+CHANGES = 0.2
 _WORDS = ("password", "passwd", "secret", "token", "api")
 
 TRAIN_DOCS = 20_000
@@ -64,19 +70,60 @@ def _free(spans: list[Span], start: int, end: int) -> bool:
     return not any(s < end and start < e for s, _, e in spans)
 
 
-def candidates(text: str, spans: list[Span]) -> list[tuple[int, int]]:
-    """Long runs with letters and digits that no base span touches."""
-    return [(m.start(), m.end()) for m in LONG.finditer(text) if re.search(r"[0-9]", m[0]) and re.search(r"[A-Za-z]", m[0]) and _free(spans, m.start(), m.end())]
+def _rest(spans: list[Span], start: int, end: int) -> list[tuple[int, int]]:
+    """What the spans leave of start:end."""
+    out = []
+    for s, _, e in spans:
+        if s < end and start < e:
+            if start < s:
+                out.append((start, s))
+            start = e
+    return [*out, (start, end)] if start < end else out
+
+
+def _mixed(body: str) -> bool:
+    return bool(re.search(r"[0-9]", body) and re.search(r"[A-Za-z]", body))
+
+
+def keylike(body: str) -> bool:
+    """Letters and digits that change their kind as often as random ones do."""
+    kinds = ["d" if c.isdigit() else "u" if c.isupper() else "l" if c.islower() else "" for c in body]
+    return _mixed(body) and sum(bool(a and b) and a != b for a, b in zip(kinds, kinds[1:])) >= CHANGES * (len(body) - 1)
+
+
+def candidates(text: str, spans: list[Span]) -> list[tuple[int, int, list[tuple[int, int]]]]:
+    """(start, end, parts that no base span covers) of runs with letters and digits.
+
+    An assignment's name is no part of a key, so it cuts its run; an access key or hexadecimal run is a part of it.
+    """
+    out, first = [], 0
+    for m in RUN.finditer(text):
+        while first < len(spans) and spans[first][2] <= m.start():
+            first += 1
+        near = []
+        for x in itertools.islice(spans, first, None):
+            if x[0] >= m.end():
+                break
+            near.append(x)
+        for start, end in _rest([x for x in near if x[1] == 0], m.start(), m.end()):
+            if end - start >= SHORTEST and _mixed(text[start:end]) and (parts := _rest(near, start, end)):
+                out.append((start, end, parts))
+    return out
 
 
-def view(text: str, start: int, end: int) -> str:
-    """What the network sees: some context, the candidate (its ends, if it is long) between marks, some context."""
-    body = text[start:end]
-    if len(body) > BODY:
-        body = body[: BODY // 2] + body[-(BODY // 2) :]
+def view(text: str, start: int, end: int, at: int | None = None) -> str:
+    """What the network sees: some context, the candidate (BODY of it, from ``at``) between marks, some context."""
+    at = start if at is None else at
+    body = text[at : min(end, at + BODY)]
     return text[max(0, start - LEFT) : start].rjust(LEFT) + MARK + body.ljust(BODY, chr(0)) + MARK + text[end : end + RIGHT].ljust(RIGHT)
 
 
+def views(text: str, start: int, end: int) -> list[str]:
+    """Views that overlap by half and cover the whole candidate."""
+    last = max(start, end - BODY)
+    return [view(text, start, end, at) for at in (*range(start, last, BODY // 2), last)]
+
+
 def examples(text: str | None) -> list[tuple[int, str]]:
     """(label, view) of a text's labelled findings and of its other runs."""
     if not text:
@@ -86,8 +133,10 @@ def examples(text: str | None) -> list[tuple[int, str]]:
         if kind == 0:
             m = ASSIGN.match(text, start, end)
             start, end = m.span(2) if m else (start, end)
-        out.append((1, view(text, start, end)))
-    out += [(0, view(text, m.start(), m.end())) for m in RUN.finditer(text) if _free(spans, m.start(), m.end())]
+        out += [(1, v) for v in views(text, start, end)]
+    for m in RUN.finditer(text):
+        if not keylike(m[0]) and _free(spans, m.start(), m.end()):
+            out += [(0, v) for v in views(text, m.start(), m.end())]
     return out
 
 
@@ -213,14 +262,31 @@ def train(docs: DataFrame) -> Network:
 def scan(texts: list[str | None], network: Network) -> list[tuple[list[Span], list[Span]]]:
     """Each text's base spans, and all spans."""
     base = [base_spans(t) if t else [] for t in texts]
-    found = [(i, s, e) for i, t in enumerate(texts) if t for s, e in candidates(t, base[i])]
     every = [list(b) for b in base]
-    for at in range(0, len(found), 2048):
-        part = found[at : at + 2048]
-        p = network.predict([view(texts[i], s, e) for i, s, e in part])
-        for (i, s, e), q in zip(part, p):
-            if q >= network.threshold:
-                every[i].append((s, 3, e))
+    seen: list[str] = []
+    owner: list[int] = []
+    best: list[float] = []
+    parts: list[tuple[int, list[tuple[int, int]]]] = []
+
+    def judge() -> None:
+        for o, q in zip(owner, network.predict(seen).tolist()):
+            best[o] = max(best[o], q)
+        seen.clear()
+        owner.clear()
+
+    for i, t in enumerate(texts):
+        for s, e, rest in candidates(t, base[i]) if t else ():
+            parts.append((i, rest))
+            best.append(0.0)
+            for v in views(t, s, e):
+                seen.append(v)
+                owner.append(len(parts) - 1)
+                if len(seen) == 2048:
+                    judge()
+    judge()
+    for (i, rest), q in zip(parts, best):
+        if q >= network.threshold:
+            every[i] += [(s, 3, e) for s, e in rest]
     return [(b, sorted(a)) for b, a in zip(base, every)]
 
 

@@ -111,3 +111,29 @@ def test_the_recall_holds_where_positives_look_like_words():
     held = [v for i, (x, v) in enumerate(views) if i % 5 == 4 and x]
     assert (net.predict(held) >= net.threshold).mean() >= secrets.RECALL
     assert net.threshold < 0.5 and net.recall >= secrets.RECALL and 0.4 < net.precision < 0.9
+
+
+class Marked:
+    """A network that finds bodies with a Z."""
+
+    threshold = 0.5
+
+    def predict(self, views):
+        return np.array([float("Z" in v.split(secrets.MARK)[1]) for v in views])
+
+
+def test_every_part_of_every_run_is_judged():
+    def learned(text):
+        return [text[s:e] for s, k, e in secrets.scan([text], Marked())[0][1] if k == 3]
+
+    assert learned("x aB3dE6gH9kLZ y") == ["aB3dE6gH9kLZ"]  # 12 characters
+    for at in (0, 19, 20, 50, 75, 119):  # anywhere in a long one
+        run = "g1" * 60
+        assert learned(f"x {run[:at]}Z{run[at + 1:]} y") == [f"{run[:at]}Z{run[at + 1:]}"]
+    assert learned("x Zq7-" + "0a" * 12 + "+Q8 y") == ["Zq7-", "+Q8"]  # around a hexadecimal run
+    assert learned("x my_password=Zbcdef123456 y") == [] and learned("x Z1Z2Z3Z4Z5Z6-token=abcdef1 y") == ["Z1Z2Z3Z4Z5Z6-"]
+
+
+def test_runs_that_look_like_keys_are_no_negatives():
+    text = "see aB3dE6gH9kL2mN5pQ8 and plain-words-joined-12 or 2024-01-02T10-11"
+    assert [v.split(secrets.MARK)[1].rstrip(chr(0)) for x, v in secrets.examples(text) if not x] == ["plain-words-joined-12", "2024-01-02T10-11"]
