@@ -1,15 +1,19 @@
-"""Substring dedup by parsing documents relative to an index of reference blocks.
+"""Substring dedup by anchored window counting: which windows of words the corpus holds twice.
 
-Documents are dealt into blocks of a few MB, and every block is a reference for all others and itself.  A window is
+This stands in for relative Lempel-Ziv parsing: there is no text index of a reference block, no longest match and no
+greedy factor.  What is removed is every word in a window that occurs again, which counting finds without each block's
+text meeting every other block's.
+
+Documents are dealt into blocks of a few MB.  A window is
 ``WINDOW`` consecutive words; its anchor is the least hash among its ``GRAM``-word sequences.  Consecutive windows with
 one anchor make a phrase.  Equal windows have equal anchors, so an anchor that the corpus holds once rules out all its
 windows, and the index needs one row for each anchor and block, not for each word:
 
 1. every block's anchors are counted, and those found twice or more anywhere go back to their blocks;
 2. each block lists its phrases with such anchors, each different phrase once, with its windows' hashes;
-3. phrases meet by anchor; each is factored greedily, window by window at its ends, against all others with that
-   anchor, and the windows that start anywhere else too are marked;
-4. each block joins marked windows of neighbouring phrases into maximal factors and removes the words they cover.
+3. phrases meet by anchor; the windows of all phrases with one anchor are sorted and counted by hash, and those that
+   start anywhere else too are marked;
+4. each block joins marked windows of neighbouring phrases into maximal stretches and removes the words they cover.
 
 Windows are compared by two 64-bit hashes (their anchor's and their own).  Within a block a phrase is sent once, so
 no key gets more rows than there are blocks, however often a passage occurs.
