@@ -324,4 +324,4 @@ def decoded(coded: DataFrame, model: str) -> DataFrame:
 
 
 def query(docs: DataFrame, model: str) -> DataFrame:
-    return encoded(docs, model)
+    return encoded(docs, model, with_ids=True)

@@ -70,3 +70,10 @@ def test_round_trip_in_tables(spark):
     assert back == {(i, t or "") for i, t in rows}
     assert all(r.exact for r in coded.collect())
     assert pieces.query(documents(spark, []), PATH).count() == 0
+
+
+def test_the_query_returns_the_ids(spark):
+    rows = [(i, t) for i, t in ODD if i is not None]
+    found = pieces.query(documents(spark, rows), PATH)
+    assert all(len(r.ids) == r.n_ids and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in found.collect())
+    assert {(r.doc_id, r.text) for r in pieces.decoded(found, PATH).collect()} == {(i, t or "") for i, t in rows}
