@@ -18,7 +18,6 @@ not read.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -38,23 +37,34 @@ SIZE = 4096
 END = 1
 #: UTF-8 bytes of text that are split together.
 TOGETHER = 8 << 20
-#: Runs of characters whose ids a worker remembers; beyond it, it starts anew.
-CACHE = 250_000
+#: Units whose ids a worker remembers, in some 40 bytes each; beyond it, it starts anew.
+CACHE = 1_500_000
 #: Bins of the patterns, and most documents in one.
 BINS, PARTS = 64, 4
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
-#: Between words that are encoded together; a word that holds it is encoded alone.
+#: Between units that are encoded together.
 _GAP = "\x01"
-_TAIL = ".,;:!?%$&*#|)"
+
+#: What a byte is: white space, part of a letter, a digit, a sign, or anything else, which keeps its run whole.
+_SPACE, _LETTER, _DIGIT, _SIGN, _ODD = range(5)
+_KINDS = np.full(256, _ODD, np.uint8)
+_KINDS[[9, 10, 11, 12, 13, 32]] = _SPACE
+_KINDS[33:127] = _SIGN
+_KINDS[48:58] = _DIGIT
+_KINDS[65:91] = _KINDS[97:123] = _LETTER
+_KINDS[39] = _ODD  # an apostrophe may begin a contraction
+# U+00C0 to U+023F are letters but for two signs; these are their first bytes, and all that follow.
+_KINDS[0xC3:0xC9] = _KINDS[0x80:0xC0] = _LETTER
 
 
 class Encoder:
-    """A tokenizer whose words are encoded once and remembered.
+    """A tokenizer whose units are encoded once and remembered.
 
-    No token of this vocabulary holds white space, so a text's ids are those of its runs of other characters.  A run of
-    plain Latin letters and the signs after it are looked up apart, which makes for far fewer different runs.  Texts
-    with the vocabulary's special tokens, or with the four signs that some take for white space, are encoded whole.
+    This vocabulary's tokens hold no white space and don't mix letters, digits and other signs, and case is dropped.  So a
+    text's ids are those of its units: runs of Latin letters, single digits and runs of signs, found for many texts
+    at once on their bytes.  A run between white space with anything else in it (an apostrophe, other scripts,
+    combining or control characters, the start of a special token) is one unit, encoded as it is.
     """
 
     def __init__(self, path: str):
@@ -62,65 +72,79 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.special = re.compile("|".join(re.escape(a.content) for a in self.tok.get_added_tokens_decoder().values()))
         self.gap = self.tok.encode(_GAP, add_special_tokens=False).ids
-        self.runs: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _ids(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _encode(self, new: list[str]) -> None:
-        if len(self.parts) > CACHE:
-            self.older, self.parts = self.parts, {}
-        plain = [w for w in new if _GAP not in w] if len(self.gap) == 1 else []
-        for w in set(new).difference(plain):
-            self.parts[w] = self._ids(w)
-        for at in range(0, len(plain), 1000):
-            some = plain[at : at + 1000]
-            ids = np.array(self.tok.encode_batch_fast([f" {_GAP} ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            cut = np.flatnonzero(ids == self.gap[0])
-            blob = ids.tobytes()
-            starts, ends = [0, *(4 * cut + 4).tolist()], [*(4 * cut).tolist(), len(blob)]
-            self.parts.update((w, blob[s:e]) for w, s, e in zip(some, starts, ends, strict=True))
-
-    def _learn(self, new: set[str], held: list[str]) -> None:
-        split: dict[str, tuple[str, str]] = {}
-        if len(self.runs) > CACHE:
-            self.runs = {w: self.runs[w] for w in ("", *held) if w in self.runs}
-        for w in new:
-            word = w.rstrip(_TAIL)
-            low = word.lower()
-            split[w] = (low, w[len(word) :]) if low.isalpha() and max(low) < "\u0250" else (w, "")
-        parts, older = self.parts, self.older
-        want = {p for pair in split.values() for p in pair if p and p not in parts}
-        parts.update((p, older[p]) for p in want if p in older)
-        self._encode([p for p in want if p not in older])
-        parts, older = self.parts, self.older  # a generation may have passed
-        for w, (word, tail) in split.items():
-            ids = parts[word] if word in parts else older[word]
-            self.runs[w] = ids + (parts[tail] if tail in parts else older[tail]) if tail else ids
+        self._forget()
+
+    def _forget(self) -> None:
+        self.units = pa.array([], pa.binary())
+        self.ids = np.zeros(0, np.uint32)
+        self.bounds = np.zeros(1, np.int64)
+
+    def _learn(self, units: pa.Array) -> None:
+        texts = [u.decode("utf-8", "replace") for u in units.to_pylist()]
+        parts, sizes = [self.ids], []
+        for at in range(0, len(texts), 1000):
+            some = texts[at : at + 1000]
+            ids = np.array(self.tok.encode(f" {_GAP} ".join(some), add_special_tokens=False).ids, np.uint32)
+            gaps = np.flatnonzero(ids == self.gap[0]) if len(self.gap) == 1 else []
+            if len(gaps) == len(some) - 1:
+                parts.append(np.delete(ids, gaps))
+                sizes.append(np.diff(gaps, prepend=-1, append=len(ids)) - 1)
+            else:  # a unit holds what stands between them
+                each = [np.array(x.ids, np.uint32) for x in self.tok.encode_batch_fast(some, add_special_tokens=False)]
+                parts += each
+                sizes.append(np.array([len(x) for x in each]))
+        self.units = pa.concat_arrays([self.units, units])
+        self.ids = np.concatenate(parts)
+        self.bounds = np.concatenate((self.bounds, self.bounds[-1] + np.cumsum(np.concatenate(sizes))))
+
+    def _find(self, units: pa.Array) -> np.ndarray:
+        """Where each of some different units is among those remembered."""
+        at = pc.index_in(units, value_set=self.units)
+        if at.null_count and len(self.units) + at.null_count > CACHE:
+            self._forget()
+            at = pc.index_in(units, value_set=self.units)
+        new = pc.is_null(at).to_numpy(zero_copy_only=False)
+        place = pc.fill_null(at, 0).to_numpy().astype(np.int64)
+        if new.any():
+            place[new] = len(self.units) + np.arange(new.sum())
+            self._learn(units.filter(pa.array(new)))
+        return place
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of some texts, end to end, and where each text's begin and end."""
-        alone = {i: self._ids(t) for i, t in enumerate(texts.to_pylist()) if t and ("<|" in t and self.special.search(t) or any(c in t for c in "\x1c\x1d\x1e\x1f"))}
-        split = pc.ascii_split_whitespace(texts)
-        coded = split.values.dictionary_encode()
-        runs = coded.dictionary.to_pylist()
-        self._learn({w for w in runs if w not in self.runs}, runs)
-        blobs = [self.runs[w] for w in runs]
-        size = np.array([len(b) // 4 for b in blobs], np.int64)
-        start = np.cumsum(size) - size
-        at = coded.indices.to_numpy()
-        each = size[at]
+        texts = pc.fill_null(texts, "")
+        edges = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        data = texts.buffers()[2]
+        raw = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if data else np.zeros(0, np.uint8)
+        edges = (edges - edges[0]).astype(np.int64)
+        kind = _KINDS[raw]
+        solid = kind != _SPACE
+        before = np.concatenate(([0], np.cumsum(solid, dtype=np.int64)))[edges]
+        head = np.ones(len(raw) + 1, bool)
+        head[1:-1] = ~solid[:-1]
+        head[edges] = True
+        raw, kind, head = raw[solid], kind[solid], head[:-1][solid]
+        if not len(raw):
+            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+        # The multiplication and the division sign, and the start of a special token.
+        pair = (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7)) | (raw[:-1] == 60) & (raw[1:] == 124)
+        kind[:-1][pair] = _ODD
+        runs = np.flatnonzero(head)
+        whole = np.repeat(np.maximum.reduceat(kind, runs) == _ODD, np.diff(runs, append=len(raw)))
+        cut = kind == _DIGIT
+        cut[1:] |= kind[1:] != kind[:-1]
+        cut = cut & ~whole | head
+        raw |= ((raw >= 65) & (raw <= 90) & ~whole).view(np.uint8) << 5
+        starts = np.flatnonzero(cut)
+        bounds = np.append(starts, len(raw)).astype(np.int32)
+        units = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(raw)]).dictionary_encode()
+        at = self._find(units.dictionary)[units.indices.to_numpy()]
+        first = self.bounds[at]
+        each = self.bounds[at + 1] - first
         ends = np.concatenate(([0], np.cumsum(each)))
-        ids = np.frombuffer(b"".join(blobs), "<u4")[np.repeat(start[at] - ends[:-1], each) + np.arange(ends[-1])]
-        offsets = ends[split.offsets.to_numpy()]
-        if alone:
-            parts = [np.frombuffer(alone[i], "<u4") if i in alone else ids[offsets[i] : offsets[i + 1]] for i in range(len(texts))]
-            ids, offsets = np.concatenate(parts), np.concatenate(([0], np.cumsum([len(x) for x in parts])))
-        return ids, offsets
+        ids = self.ids[np.repeat(first - ends[:-1], each) + np.arange(ends[-1])]
+        return ids, ends[np.searchsorted(starts, before)]
 
 
 @lru_cache(maxsize=2)
