@@ -68,9 +68,10 @@ def words(text: str | None) -> list[str]:
     return [w for w in text.translate(_SPACES).split(" ") if w]
 
 
-def byte_words(text: str | None) -> tuple[bytes, np.ndarray, np.ndarray]:
+def byte_words(text: str | bytes | None) -> tuple[bytes, np.ndarray, np.ndarray]:
     """The text's words joined by one space as UTF-8, and where each word starts and ends in that."""
-    joined = b" ".join((text or "").encode("utf-8", "surrogatepass").split())
+    raw = text if isinstance(text, bytes) else (text or "").encode("utf-8", "surrogatepass")
+    joined = b" ".join(raw.split())
     if not joined:
         return b"", np.zeros(0, np.int64), np.zeros(0, np.int64)
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)

@@ -1,9 +1,12 @@
 from __future__ import annotations
 
+import datetime
 import hashlib
 import random
 from collections import Counter
 
+import numpy as np
+
 from attest.llm import substring
 from tests.llm.common import ODD, documents, prose, read, words
 
@@ -67,3 +70,77 @@ def test_cleaned_texts_keep_other_columns(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
     found = sorted(map(tuple, substring.cleaned(df).collect()))
     assert found == [(1, "own words", "s", None), (2, "others", None, 5), (3, "untouched  text\n", "t", 1), (4, None, "t", 1)]
+
+
+def test_factors_against_all_windows():
+    for seed in range(120):
+        r = random.Random(seed)
+        window = r.choice([3, 5, 8])
+        vocabulary = [chr(97 + i).encode() for i in range(r.choice([1, 2, 3, 6]))]
+        phrases = sorted({b" ".join(r.choice(vocabulary) for _ in range(r.randrange(window, 90))) for _ in range(r.randrange(1, 8))})
+        copies = np.array([r.choice([1, 1, 1, 2]) for _ in phrases])
+        counted = Counter(tuple(w[i : i + window]) for p, n in zip(phrases, copies) for w in [p.split()] for i in range(len(w) - window + 1) for _ in range(n))
+        for p, flags in zip(phrases, substring.duplicates(phrases, copies, window)):
+            w = p.split()
+            assert flags.tolist() == [counted[tuple(w[i : i + window])] > 1 for i in range(len(w) - window + 1)]
+
+
+def test_factors_are_greedy_and_longest():
+    r = random.Random(1)
+    phrases = [b" ".join(r.choice([b"a", b"b", b"c"]) for _ in range(40)) for _ in range(4)]
+    reference = substring.Reference(phrases)
+    split = [p.split() for p in phrases]
+    found = substring.factors(reference, reference.longest(), np.arange(4))
+    for k, w in enumerate(split):
+        at = 0
+        for which, s, e in zip(*(x.tolist() for x in found)):
+            if which == k:
+                s, e = s - int(reference.starts[k]), e - int(reference.starts[k])
+                assert s == at
+                most = max((n for j, v in enumerate(split) for i in range(len(v)) if (j, i) != (k, s) for n in [_common(w[s:], v[i:])]), default=0)
+                assert e - s == max(1, most)
+                at = e
+        assert at == len(w)
+
+
+def _common(a, b):
+    n = 0
+    while n < min(len(a), len(b)) and a[n] == b[n]:
+        n += 1
+    return n
+
+
+def test_a_crowded_passage_in_ever_other_surroundings(spark, monkeypatch):
+    for block in (substring.BLOCK, 4000):
+        monkeypatch.setattr(substring, "BLOCK", block)
+        passages = [prose(n, 7) for n in (36, 45, 60, 200)]
+        rows = [(i, f"{prose(40, 9000 + i)} {passages[i % 4]} {prose(40, 5000 + i)}") for i in range(160)]
+        rows += [(200 + i, f"{prose(12, 40 + i // 2)} {prose(20, 7)} {prose(30, 60 + i // 2)}") for i in range(120)]  # pairs around a common middle
+        assert got(spark, rows) == plain(rows)
+
+
+def test_crowded_anchors_give_no_reference_rows(spark):
+    phrases = [(i % 9, 5, i, 1, f"{prose(20, i)} {prose(20, 1)}".encode()) for i in range(3 * substring.CROWD)] + [(0, 6, 900, 1, prose(36, 2).encode()), (1, 6, 901, 1, f"{prose(36, 2)} more".encode())]
+    df = spark.createDataFrame(phrases, "block int, anchor long, phrase long, n tinyint, words binary")
+    assert {(r.block, r.phrase) for r in substring._marked(df, 4).collect()} == {(0, 900), (1, 901)}
+
+
+def test_very_long_texts(spark):
+    r = random.Random(6)
+    long = " ".join(str(r.randrange(10**6)) for _ in range(120_000))
+    middle = " ".join(long.split()[60_000:60_100])
+    rows = [(1, long), (2, f"own {middle} end"), (3, "again " * 110_000), (4, "x" * 300_000 + " y"), (5, " ".join(long.split()[119_960:]))]
+    assert got(spark, rows) == plain(rows)
+
+
+def test_other_columns_and_clashing_names(spark):
+    stamp = datetime.datetime(2024, 5, 1, 2, 3, 4, 123456)
+    rows = [(1, prose(50, 3), 5, "k", 7, stamp, "a.b"), (2, prose(50, 3) + " more", None, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, block int, kind string, anchor long, at timestamp, `a.b` string")
+    assert got_frame(substring.query(df)) == plain([r[:2] for r in rows])
+    found = sorted(map(tuple, substring.cleaned(df).collect()))
+    assert found == [(1, "", 5, "k", 7, stamp, "a.b"), (2, "more", None, None, None, None, None)]
+
+
+def got_frame(df):
+    return Counter(map(tuple, df.collect()))
