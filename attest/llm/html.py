@@ -9,8 +9,13 @@ goes only if it is on ``SHARE`` of the contents too.  Templates meet the pages t
 number is not bounded; a hash that is on very many pages is split by AQE, as the join is a plain one.
 
 Whatever its host, a page loses navigation, page headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and reader comments by their tags, roles, classes and ids.  Where a page has an article or main element, only text in
-such elements is kept.
+and reader comments by their tags, roles, classes and ids.  A class or id counts by what its last telling word names:
+``site-footer`` and ``comment-list`` are junk, ``share-price``, ``no-sidebar`` and ``has-comments`` are not.  An outermost
+article or main element is never junk by its class, and where all articles of a page stand in elements that are junk by
+class, those classes don't count for them.  Where a page has an article or main element, other text is kept only if it
+stands in a paragraph, quotation, preformatted text or first heading; what recurs of that is left to the templates.
+
+Pages are read in linear time: no tag, quote or end tag makes the reader go back over the source or the open elements.
 
 Cases: a null or empty html gives an empty text; a null url has the empty host, whose pages are counted together;
 unclosed, misplaced and unknown tags are tolerated; repeated rows give repeated result rows; an empty table gives an
@@ -20,6 +25,7 @@ empty result; other columns are not read.
 from __future__ import annotations
 
 import html as entities
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -35,8 +41,10 @@ SHARE, RARE = 0.5, 0.01
 #: Contents of a host: for hosts of any size, and for small ones.
 LEAST, FEWEST = 20, 6
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>""", re.S)
-_ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_MARKUP = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
+#: In a tag: what ends it, or a quoted value, which may hold such a sign.
+_STOP = re.compile(r"""=\s*(["'])|>""")
+_ATTR = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _RAW = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "textarea", "title", "noscript", "iframe", "xmp")}
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -52,160 +60,223 @@ _JUNK_WORDS = set(
 _PROSE = set("p li dt dd h1 h2 h3 h4 h5 h6 blockquote pre td th tr caption figcaption summary".split())
 #: Of a page, but not of an article.
 _JUNK_OUTSIDE = {"header", "banner", "alert", "topbar", "widget"}
+#: Parts of names that say where or what shape an element is, not what it holds.
+_SHAPES = set("area banner bar block body bottom box button column container content desktop fixed group holder icon inner item items left link links list lower main mobile outer panel right row section small sticky strip text title top upper view wrap wrapper zone".split())
+#: Names that begin so tell of something else.
+_DENIALS = set("has have hide is no non not off sans show with without".split())
+#: An element of such a class is not junk for another class that only holds a junk word.
+_CONTENT = set("article content entry main page post story text".split())
+#: What is kept outside the articles of a page that has any.
+_LOOSE = {"p", "pre", "blockquote", "h1"}
 #: An opening tag ends an open element of its own kind, as HTML allows them to stay unclosed.
 _ENDS = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 #: ... but not across these.
 _SCOPE = set("table ul ol dl article section main div body nav aside footer header form blockquote select".split())
 
 
-class _Node:
-    __slots__ = ("tag", "junk", "article", "parts", "first", "text")
+def _junk_name(name: str, article: bool) -> bool:
+    """Whether a class or id names junk."""
+    parts = [x.lower() for x in _PART.findall(name)]
+    if not parts or parts[0] in _DENIALS:
+        return False
+    telling = [x for x in parts if x not in _SHAPES] or parts
+    return telling[-1] in _JUNK_WORDS or not article and telling[-1] in _JUNK_OUTSIDE
 
-    def __init__(self, tag: str, junk: bool, article: bool, first: int):
-        self.tag, self.junk, self.article, self.first = tag, junk, article, first
-        self.parts: list[str] = []
-        self.text = False
+
+#: Kept, junk by name, junk by tag, role or style.
+_KEPT, _NAMED, _SURE = range(3)
 
 
-def _is_junk(tag: str, attributes: str, article: bool) -> bool:
+def _junk(tag: str, attributes: str, article: bool) -> int:
+    """How sure an element is junk; ``article`` tells whether it stands in an article."""
     if tag in _JUNK or tag == "header" and not article:
-        return True
-    if tag in ("body", "html", "main") or not attributes:
-        return False
+        return _SURE
+    if not attributes or tag in ("body", "html"):
+        return _KEPT
+    exact = named = content = False
     for m in _ATTR.finditer(attributes):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name in ("class", "id"):
-            names = {x.lower() for x in _PART.findall(value)}
-            if names & _JUNK_WORDS or not article and tag != "article" and names & _JUNK_OUTSIDE:
-                return True
+            for x in value.split():
+                exact |= x.lower() in _JUNK_WORDS
+                content |= x.lower() in _CONTENT
+                named |= _junk_name(x, article)
         elif name == "role" and value.lower() in _JUNK_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return _SURE
         elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+            return _SURE
+    return _NAMED if (exact or named and not content) and (article or tag not in ("article", "main")) else _KEPT
+
+
+class _Node:
+    __slots__ = ("tag", "junk", "article", "loose", "parts", "first", "text")
+
+    def __init__(self, tag: str, junk: int, article: bool, loose: bool, first: int):
+        self.tag, self.junk, self.article, self.loose, self.first = tag, junk, article, loose, first
+        self.parts: list[str] = []
+        self.text = False
 
 
 class Page:
     """The blocks of one page, and the hashed subtrees with the blocks that each holds."""
 
     def __init__(self, source: str | None):
-        #: (text, kept by the element rules, in an article)
-        self.blocks: list[tuple[str, bool, bool]] = []
+        self.texts: list[str] = []
+        #: (junk, in an article, may stand outside one) of each block
+        self._states: list[tuple[int, bool, bool]] = []
         #: (hash, first block, block after the last); a hash is odd for prose in an article
         self.trees: list[tuple[int, int, int]] = []
-        self._open: list[str] = []
-        self._state = (True, False)
+        self._pending: list[str] = []
+        self._state = (_KEPT, False, False)
+        self._stack = [_Node("", _KEPT, False, False, 0)]
+        #: Where in the stack elements of a tag are, and those of _SCOPE and of _BLOCK.
+        self._at: dict[str, list[int]] = {}
+        self._scopes, self._blocks = [0], [0]
         if source:
             self._parse(source)
+        #: Whether the element rules keep a block.
+        self.kept = self._ruled()
+
+    def _ruled(self) -> list[bool]:
+        states = self._states
+        level = _KEPT
+        if not any(a for junk, a, _ in states if junk == _KEPT) and any(a for junk, a, _ in states if junk == _NAMED):
+            level = _NAMED
+        whole = not any(a for junk, a, _ in states if junk <= level)
+        return [junk == _KEPT and (whole or a or loose) or junk <= level and a for junk, a, loose in states]
 
     def _flush(self) -> None:
-        if self._open:
-            text = " ".join("".join(self._open).split())
-            self._open.clear()
+        if self._pending:
+            text = " ".join("".join(self._pending).split())
+            self._pending.clear()
             if text:
-                self.blocks.append((text, *self._state))
+                self.texts.append(text)
+                self._states.append(self._state)
 
-    def _say(self, raw: str, stack: list[_Node]) -> None:
+    def _say(self, raw: str) -> None:
         if not raw:
             return
         text = entities.unescape(raw) if "&" in raw else raw
-        top = stack[-1]
-        state = (not top.junk, top.article)
+        top = self._stack[-1]
+        state = (top.junk, top.article, top.loose)
         if state != self._state:
             self._flush()
             self._state = state
-        self._open.append(text)
+        self._pending.append(text)
         if not text.isspace():
             top.parts.append(" ".join(text.split()))
             top.text = True
 
-    def _close(self, stack: list[_Node]) -> None:
-        node = stack.pop()
-        if node.tag in _BLOCK or node.tag in _JUNK:
+    def _close(self, depth: int) -> None:
+        """Close all elements down to that depth of the stack."""
+        while len(self._stack) > depth:
+            node = self._stack.pop()
+            self._at[node.tag].pop()
+            for held, tags in ((self._scopes, _SCOPE), (self._blocks, _BLOCK)):
+                if node.tag in tags:
+                    held.pop()
+            if node.tag in _BLOCK or node.tag in _JUNK:
+                self._flush()
+            if node.text:
+                up = self._stack[-1]
+                h = xxhash.xxh64_intdigest(f"{node.tag}\x01" + "\x02".join(node.parts))
+                up.parts.append(f"{h:x}")
+                up.text = True
+                if node.tag in _BLOCK and node.tag not in ("html", "body", "main", "article") and len(self.texts) > node.first:
+                    h = h & ~1 | (node.article and node.tag in _PROSE)
+                    self.trees.append((h - (1 << 64) if h >> 63 else h, node.first, len(self.texts)))
+
+    def _end_tag(self, tag: str) -> None:
+        if found := self._at.get(tag):
+            depth = found[-1]
+            # An inline element that ends inside a later block doesn't end that.
+            if tag in _BLOCK or tag in _JUNK or self._blocks[-1] < depth or self._stack[depth].junk != self._stack[depth - 1].junk:
+                if tag in _BLOCK:
+                    self._flush()
+                self._close(depth)
+        elif tag == "p":
+            self._flush()
+        elif tag == "br":
+            self._say(" ")
+
+    def _start_tag(self, tag: str, attributes: str) -> bool:
+        """Open an element; whether it is open now."""
+        if tag in _VOID:
+            if tag == "br":
+                self._say(" ")
+            elif tag == "hr":
+                self._flush()
+            return False
+        if tag in _BLOCK:
             self._flush()
-        up = stack[-1]
-        if node.text:
-            h = xxhash.xxh64_intdigest(f"{node.tag}\x01" + "\x02".join(node.parts))
-            up.parts.append(f"{h:x}")
-            up.text = True
-            if node.tag in _BLOCK and node.tag not in ("html", "body", "main", "article") and len(self.blocks) > node.first:
-                h = h & ~1 | (node.article and node.tag in _PROSE)
-                self.trees.append((h - (1 << 64) if h >> 63 else h, node.first, len(self.blocks)))
+        if ends := _ENDS.get(tag) or ({"p"} if tag in _BLOCK else None):
+            open_ones = [self._at[x][-1] for x in ends if self._at.get(x) and self._at[x][-1] > self._scopes[-1]]
+            if open_ones:
+                self._close(min(open_ones))
+        top = self._stack[-1]
+        article = top.article or tag in ("article", "main")
+        loose = tag in _LOOSE or top.loose and tag not in _BLOCK
+        depth = len(self._stack)
+        self._at.setdefault(tag, []).append(depth)
+        if tag in _SCOPE:
+            self._scopes.append(depth)
+        if tag in _BLOCK:
+            self._blocks.append(depth)
+        self._stack.append(_Node(tag, max(top.junk, _junk(tag, attributes, top.article)), article, loose, len(self.texts)))
+        if attributes.endswith("/") and tag in ("svg", "iframe", "script"):
+            self._close(depth)
+            return False
+        return True
 
     def _parse(self, source: str) -> None:
-        stack = [_Node("", False, False, 0)]
-        at = 0
-        scan = _TAG.scanner(source, 0).search
-        while m := scan():
-            start, end = m.span()
-            if start < at:
-                continue
-            self._say(source[at:start], stack)
-            at = end
-            tag = m[2]
-            if not tag:
-                continue
-            tag = tag.lower()
-            if m[1]:
-                depth = len(stack) - 1
-                while depth > 0 and stack[depth].tag != tag:
-                    depth -= 1
-                if depth > 0:
-                    if tag in _BLOCK:
-                        self._flush()
-                    while len(stack) > depth:
-                        self._close(stack)
-                elif tag in ("p", "br"):
-                    self._flush() if tag == "p" else self._say(" ", stack)
+        said = at = 0  # what comes before said has been read; what is searched begins at at
+        while (at := source.find("<", at)) >= 0:
+            m = _MARKUP.match(source, at)
+            if not m:
+                at += 1
                 continue
-            if tag in _VOID:
-                if tag == "br":
-                    self._say(" ", stack)
-                elif tag == "hr":
-                    self._flush()
+            end = source.find("-->", m.end()) + 3 if m[1] else source.find(">", m.end()) + 1 if m[2] else self._tag_end(source, m.end())
+            if end < 3:
+                if m[4]:  # no tag ends from here on
+                    break
+                end = len(source)
+            self._say(source[said:at])
+            said = at = end
+            if not m[4]:
                 continue
-            ends = _ENDS.get(tag) or ({"p"} if tag in _BLOCK else None)
-            if tag in _BLOCK:
-                self._flush()
-            if ends:
-                depth = len(stack) - 1
-                while depth > 0 and stack[depth].tag not in ends and stack[depth].tag not in _SCOPE:
-                    depth -= 1
-                if depth > 0 and stack[depth].tag in ends:
-                    while len(stack) > depth:
-                        self._close(stack)
-            top = stack[-1]
-            article = top.article or tag in ("article", "main")
-            node = _Node(tag, top.junk or _is_junk(tag, m[3], top.article), article, len(self.blocks))
-            stack.append(node)
-            if m[3].endswith("/") and tag in ("svg", "iframe", "script"):
-                self._close(stack)
-            elif tag in _RAW:
+            tag = m[4].lower()
+            if m[3]:
+                self._end_tag(tag)
+            elif self._start_tag(tag, source[m.end() : end - 1]) and tag in _RAW:
                 close = _RAW[tag].search(source, at)
-                at = close.end() if close else len(source)
-                self._close(stack)
-                scan = _TAG.scanner(source, at).search
-        self._say(source[at:], stack)
-        while len(stack) > 1:
-            self._close(stack)
+                said = at = close.end() if close else len(source)
+                self._close(len(self._stack) - 1)
+        self._say(source[said:])
+        self._close(1)
         self._flush()
 
+    @staticmethod
+    def _tag_end(source: str, at: int) -> int:
+        """Behind the sign that ends a tag; 0 if none does.  A quote that is never closed hides nothing."""
+        while m := _STOP.search(source, at):
+            if not m[1]:
+                return m.end()
+            close = source.find(m[1], m.end())
+            at = m.end() if close < 0 else close + 1
+        return 0
+
     def shown(self) -> list[int]:
         """The hashes of subtrees that hold some text which the element rules keep."""
-        kept = [ok for _, ok, _ in self.blocks]
-        if any(a for _, ok, a in self.blocks if ok):
-            kept = [ok and a for _, ok, a in self.blocks]
-        return sorted({h for h, first, last in self.trees if any(kept[first:last])})
+        before = [0, *itertools.accumulate(self.kept)]
+        return sorted({h for h, first, last in self.trees if before[last] > before[first]})
 
     def text(self, templates: set[int] | None = None) -> str:
-        gone: set[int] = set()
+        steps = [0] * (len(self.texts) + 1)
         for h, first, last in self.trees if templates else ():
             if h in templates:
-                gone.update(range(first, last))
-        kept = [(t, a) for i, (t, ok, a) in enumerate(self.blocks) if ok and i not in gone]
-        if any(a for _, ok, a in self.blocks if ok):
-            kept = [x for x in kept if x[1]]
-        return "\n".join(t for t, _ in kept)
+                steps[first] += 1
+                steps[last] -= 1
+        return "\n".join(t for t, ok, gone in zip(self.texts, self.kept, itertools.accumulate(steps)) if ok and not gone)
 
 
 def host_of(url: Column) -> Column:
