@@ -6,7 +6,7 @@ how often the unit was drawn, so rows are read once and only units meet replicat
 * ``mt19937``: Python's generator on the driver, in order of the units' first rows; refused beyond ``DRIVER_DRAWS``;
 * ``hash``: MD5 of seed, replicate and draw, on the executors; every SQL engine gets the same;
 * ``poisson``: for more than ``HASH_UNITS`` units, a weight for each unit and replicate made where the unit's sums are,
-  so nothing but a replicate's sums moves.  The numbers differ from the others', so the mode is a result column.
+  from an MD5 of seed and unit, so nothing but a replicate's sums moves.  The numbers differ from the others', so the mode is a result column.
 """
 
 from __future__ import annotations
@@ -83,16 +83,35 @@ def mt19937_draws(spark: SparkSession, sizes: dict[int, int], replicates: int, s
     return spark.createDataFrame(pd.DataFrame(rows, columns=["claim", "rep", "u", "w"]), "claim int, rep int, u long, w double")
 
 
-def poisson_weights(units: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """units, once per replicate that draws them, with rep and w: a Poisson(1) weight by inversion of a hash."""
-    at = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
-    u = (F.xxhash64(F.lit(seed), "claim", "unit", "rep").bitwiseAND((1 << 53) - 1)) / F.lit(float(1 << 53))
-    weight, below, p = F.lit(0.0), 0.0, math.exp(-1)
-    for k in range(1, 19):
+#: A prime below 2**31, so that products stay within 63 bits in any engine.
+PRIME = (1 << 31) - 1
+
+
+def poisson_steps() -> list[int]:
+    """Where a number that is even below PRIME becomes one more of a Poisson(1) weight."""
+    steps, below, p = [], 0.0, math.exp(-1)
+    for k in range(1, 13):
         below += p
         p /= k
-        weight = weight + F.when(u >= below, 1.0).otherwise(0.0)
-    return units.withColumn("rep", at).withColumn("w", weight).filter("w > 0")
+        steps.append(math.ceil(below * PRIME))
+    return [x for x in steps if x < PRIME]
+
+
+def poisson_weights(units: DataFrame, replicates: int, seed: int) -> DataFrame:
+    """units, once per replicate that draws them, with rep and w: a Poisson(1) weight by inversion.
+
+    A unit's MD5 gives two numbers a and b, and a + b rep modulo PRIME is its number in replicate rep.  So units are
+    independent, any two replicates of a unit are too, a unit is hashed once, and every SQL engine gets the same.
+    """
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), "unit").cast("binary"))
+    a, b = (F.conv(F.substring("_d", at, 8), 16, 10).cast("long") % PRIME for at in (1, 9))
+    hashed = units.withColumn("_d", digest).withColumns({"_a": a, "_b": b}).drop("_d")
+    drawn = hashed.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
+    v = (F.col("_a") + F.col("_b") * F.col("rep")) % PRIME
+    weight = F.lit(0)
+    for step in poisson_steps():
+        weight = weight + (v >= step).cast("int")
+    return drawn.withColumn("w", weight.cast("double")).drop("_a", "_b").filter("w > 0")
 
 
 def _indexed(units: DataFrame, order: str) -> DataFrame:

@@ -53,7 +53,7 @@ def _supplier_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_quantity").alias("x"),
         F.col("l_extendedprice").alias("y"),
         F.col("l_suppkey").cast("string").alias("unit"),
-        F.monotonically_increasing_id().alias("row"),
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("row"),
     )
 
 
@@ -82,7 +82,15 @@ def bootstrap_ci_supplier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrap.intervals(reps, info, B).select(F.round("ci_lo", 6).alias("ci_lo"), F.round("ci_hi", 6).alias("ci_hi"), "n_units")
 
 
-@register(None)
+#: A replicate's numbers of rows, each its own unit, and Pearson's r by weighted sums.
+_ROW_INTERVAL = f"""v as (select rep, l_quantity as x, l_extendedprice as y, (('0x' || substr(d, 1, 8))::bigint % {bootstrap.PRIME} + ('0x' || substr(d, 9, 8))::bigint % {bootstrap.PRIME} * rep) % {bootstrap.PRIME} as v
+  from (select *, md5('{bootstrap.SEED}:' || (l_orderkey * 10 + l_linenumber)) as d from lineitem), range(0, 20) a(rep)),
+w as (select rep, x - (select avg(l_quantity) from lineitem) as x, y - (select avg(l_extendedprice) from lineitem) as y, {" + ".join(f"(v >= {t})::int" for t in bootstrap.poisson_steps())} as w from v),
+reps as (select rep, sum(w) as n, sum(w * x) as sx, sum(w * y) as sy, sum(w * x * x) as sxx, sum(w * y * y) as syy, sum(w * x * y) as sxy from w where w > 0 group by rep),
+ordered as (select (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) as r, row_number() over (order by (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy))) - 1 as i from reps)"""
+
+
+@register(f"with {_ROW_INTERVAL} select round(max(r) filter (where i = 0), 6) as ci_lo, round(max(r) filter (where i = 19), 6) as ci_hi, (select count(*) from lineitem) as n_units, 'poisson' as mode from ordered")
 def bootstrap_ci_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows as units: Poisson weights made beside the data, so nothing but replicates' sums is shuffled."""
     rows = _supplier_pairs(spark, sf_dir).withColumn("unit", F.lit(None).cast("string"))
@@ -90,7 +98,19 @@ def bootstrap_ci_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrap.intervals(reps, info, 20).select(F.round("ci_lo", 6).alias("ci_lo"), F.round("ci_hi", 6).alias("ci_hi"), "n_units", "mode")
 
 
-@register(None)
+#: Ranks of weighted values: those below, and the middle of the value's own.
+_RANK_INTERVAL = f"""g as (select count(distinct p_brand) as g from part),
+numbered as (select p_brand, row_number() over (order by p_brand) - 1 as u from (select distinct p_brand from part)),
+draws as (select rep, ('0x' || substr(md5('{bootstrap.SEED}:' || rep || ':' || k), 1, 12))::bigint % g as u from range(0, {B}) a(rep), g, lateral (select unnest(range(0, g)) as k)),
+rows as (select rep, p_size as x, p_retailprice as y, w from part join numbered using (p_brand) join (select rep, u, count(*) as w from draws group by rep, u) using (u)),
+rx as (select rep, x, sum(sum(w)) over (partition by rep order by x) - sum(w) + (sum(w) + 1) / 2.0 as a from rows group by rep, x),
+ry as (select rep, y, sum(sum(w)) over (partition by rep order by y) - sum(w) + (sum(w) + 1) / 2.0 as b from rows group by rep, y),
+ranks as (select rep, w, a::double - avg(a) over (partition by rep) as a, b::double - avg(b) over (partition by rep) as b from rows join rx using (rep, x) join ry using (rep, y)),
+sums as (select rep, sum(w) as n, sum(w * a) as sx, sum(w * b) as sy, sum(w * a * a) as sxx, sum(w * b * b) as syy, sum(w * a * b) as sxy from ranks group by rep),
+ordered as (select r, row_number() over (order by r) - 1 as i from (select (n * sxy - sx * sy) / sqrt((n * sxx - sx * sx) * (n * syy - sy * sy)) as r from sums))"""
+
+
+@register(f"with {_RANK_INTERVAL} select round(max(r) filter (where i = {int(0.025 * B)}), 6) as ci_lo, round(max(r) filter (where i = {min(int(0.975 * B), B - 1)}), 6) as ci_hi, (select g from g) as n_units from ordered")
 def bootstrap_ci_spearman(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks are taken anew in each replicate; the pairs, below a checked number, are on every executor."""
     long = table(spark, sf_dir, "part").select(F.lit(0).alias("claim"), F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y"), F.col("p_brand").alias("unit"), F.col("p_partkey").alias("row"))
@@ -104,37 +124,75 @@ def undefined_is_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _claims(spark: SparkSession, sf_dir: str):
-    def dataset(name: str, columns: tuple[str, ...], unit: str | None = None) -> Dataset:
-        rows = table(spark, sf_dir, name).select(*columns).withColumn(ROW, F.monotonically_increasing_id())
-        return Dataset(DatasetSpec(name, "computed", (f"{name}.parquet",), resampling_unit=unit), rows, {})
-
-    datasets = {"lineitem": dataset("lineitem", ("l_suppkey", "l_quantity", "l_extendedprice", "l_discount"), "l_suppkey"), "orders": dataset("orders", ("o_orderkey", "o_totalprice"))}
-    units = {("lineitem", "l_quantity"): "1", ("lineitem", "l_extendedprice"): "1", ("orders", "o_totalprice"): "1"}
-    variables = {k: Variable(*k, v) for k, v in units.items()} | {("lineitem", "l_discount"): Variable("lineitem", "l_discount")}
+    """A claim for each reason that the check can give."""
+
+    def dataset(name: str, rows: DataFrame, unit: str | None = None) -> Dataset:
+        return Dataset(DatasetSpec(name, "computed", (f"{name}.parquet",), resampling_unit=unit), rows.withColumn(ROW, F.monotonically_increasing_id()), {})
+
+    lines, k = table(spark, sf_dir, "lineitem"), F.col("s_suppkey")
+    # y is x to a millionth or so: not one by rounding alone, and near enough to a claimed one.
+    exact = table(spark, sf_dir, "supplier").select("s_suppkey", F.lit(" ").alias("nothing"), F.lit(1.0).alias("one"), (k % 10).cast("double").alias("x"), (k % 10 + 3.6e-6 * ((k * 7) % 11 - 5) / 5.0).alias("y"))
+    # Only replicates with both regions have two sides that vary.
+    regions = table(spark, sf_dir, "nation").select("n_regionkey", (F.col("n_regionkey") == 0).cast("double").alias("first"), (F.col("n_regionkey") == 1).cast("double").alias("second"))
+    made = (
+        dataset("lineitem", lines.select("l_suppkey", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount"), "l_suppkey"),
+        dataset("orders", table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice")),
+        dataset("lines", lines.select(F.col("l_orderkey").alias("o_orderkey"), "l_tax")),
+        dataset("exact", exact),
+        dataset("regions", regions, "n_regionkey"),
+    )
+    datasets = {d.spec.id: d for d in made}
+    known = [("lineitem", "l_quantity"), ("lineitem", "l_extendedprice"), ("orders", "o_totalprice"), ("lines", "l_tax"), ("exact", "one"), ("exact", "x"), ("exact", "y"), ("regions", "first"), ("regions", "second")]
+    variables = {v: Variable(*v, "1") for v in known} | {("lineitem", "l_discount"): Variable("lineitem", "l_discount")}
 
-    def says(name: str, x: str, y: str, claimed: float, method: str = "pearson", **more) -> Relationship:
-        return Relationship(x, y, "correlation", method, claimed, name, **more)
+    def says(name: str, x: str, y: str, claimed: float, method: str = "pearson", kind: str = "correlation", **more) -> Relationship:
+        return Relationship(x, y, kind, method, claimed, name, **more)
 
+    quantity, price = "lineitem.l_quantity", "lineitem.l_extendedprice"
     relationships = (
-        says("no_link", "lineitem.l_quantity", "lineitem.l_extendedprice", 0.0),
-        says("strong_link", "lineitem.l_quantity", "lineitem.l_extendedprice", 0.9),
-        says("no_unit", "lineitem.l_quantity", "lineitem.l_discount", 0.0),
-        says("no_method", "lineitem.l_quantity", "lineitem.l_extendedprice", 0.0, "kendall"),
-        says("no_join", "lineitem.l_quantity", "orders.o_totalprice", 0.0),
-        says("no_column", "lineitem.l_quantity", "lineitem.l_weight", 0.0),
+        says("no_link", quantity, price, 0.0),
+        says("strong_link", quantity, price, 0.9),
+        says("no_unit", quantity, "lineitem.l_discount", 0.0),
+        says("no_method", quantity, price, 0.0, "kendall"),
+        says("no_join", quantity, "orders.o_totalprice", 0.0),
+        says("no_column", quantity, "lineitem.l_weight", 0.0),
+        says("another_kind", quantity, price, 0.0, kind="slope"),
+        says("no_dataset", quantity, "nowhere.v", 0.0),
+        says("many_lines", "lines.l_tax", "orders.o_totalprice", 0.0, join="o_orderkey"),
+        says("no_unit_column", quantity, price, 0.0, resampling_unit="l_nothing"),
+        says("blank_unit", "exact.x", "exact.y", 0.0, resampling_unit="nothing"),
+        says("constant", "exact.one", "exact.y", 0.0),
+        says("two_units", quantity, price, 0.0, resampling_unit="l_linestatus"),
+        says("mostly_constant", "regions.first", "regions.second", 0.0),
+        says("nearly_one", "exact.x", "exact.y", 1.0, resampling_unit="s_suppkey"),
+        says("too_wide", quantity, price, 0.0, max_ci_width=1e-6),
     )
-    datasets = {k: datasets[k] for k in ("lineitem", "orders")}
     catalog = Catalog("", {"name": "tables"}, {k: d.spec for k, d in datasets.items()}, variables, relationships)
     return check_loaded(spark, catalog, datasets, "hash", B)
 
 
-_VERDICTS = f"""{_MOMENTS}, {_INTERVAL},
-point as (select {_r("l_quantity", "l_extendedprice")} as estimate, count(*) as n_rows, (select count(*) from u) as n_units from lineitem),
-asked(id, claimed, code) as (values ('no_link', 0.0, null), ('strong_link', 0.9, null), ('no_unit', 0.0, 'units'), ('no_method', 0.0, 'method'), ('no_join', 0.0, 'no_join'), ('no_column', 0.0, 'columns')),
-judged as (select id, claimed::double as claimed, case when code is null then n_rows end as n_rows, case when code is null then estimate end as estimate,
-  case when code is null then round(ci_lo, 6) end as ci_lo, case when code is null then round(ci_hi, 6) end as ci_hi, case when code is null then n_units end as n_units,
-  coalesce(code, case when claimed < ci_lo or claimed > ci_hi then 'outside' when ci_hi - ci_lo > 1.0 then 'wide' else 'inside' end) as reason_code from asked, point, ci),
-verdicts as (select *, case reason_code when 'outside' then 'refuted' when 'inside' then 'agrees' else 'unverifiable' end as verdict from judged)"""
+_VERDICTS = f"""exact as (select s_suppkey, (s_suppkey % 10)::double as x, s_suppkey % 10 + 3.6e-6::double * ((s_suppkey * 7) % 11 - 5) / 5.0::double as y from supplier),
+asked(id, source, claimed, most, stop) as (values ('no_link', 'lines', 0.0, 1.0, null), ('strong_link', 'lines', 0.9, 1.0, null), ('no_unit', null, 0.0, 1.0, 'units'), ('no_method', null, 0.0, 1.0, 'method'),
+  ('no_join', null, 0.0, 1.0, 'no_join'), ('no_column', null, 0.0, 1.0, 'columns'), ('another_kind', null, 0.0, 1.0, 'kind'), ('no_dataset', null, 0.0, 1.0, 'dataset'), ('many_lines', null, 0.0, 1.0, 'join_refused'),
+  ('no_unit_column', null, 0.0, 1.0, 'no_unit_column'), ('blank_unit', 'blank', 0.0, 1.0, null), ('constant', 'constant', 0.0, 1.0, null), ('two_units', 'status', 0.0, 1.0, null), ('mostly_constant', 'regions', 0.0, 1.0, null),
+  ('nearly_one', 'exact', 1.0, 1.0, null), ('too_wide', 'lines', 0.0, 1e-6, null)),
+pairs as (select 'lines' as source, l_quantity as x, l_extendedprice as y, l_suppkey::varchar as unit from lineitem union all select 'status', l_quantity, l_extendedprice, l_linestatus from lineitem
+  union all select 'blank', x, y, ' ' from exact union all select 'constant', 1.0::double, y, s_suppkey::varchar from exact union all select 'exact', x, y, s_suppkey::varchar from exact
+  union all select 'regions', (n_regionkey = 0)::int::double, (n_regionkey = 1)::int::double, n_regionkey::varchar from nation),
+points as (select source, count(*) as n_rows, avg(x) as mx, avg(y) as my, count(distinct unit) as g, bool_and(trim(unit) = '') as blank, {_r("x", "y")} as estimate from pairs group by source),
+units as (select source, unit, count(*)::double as n, sum(x - mx) as sx, sum(y - my) as sy, sum((x - mx) * (x - mx)) as sxx, sum((y - my) * (y - my)) as syy, sum((x - mx) * (y - my)) as sxy,
+  min(x) as lx, max(x) as hx, min(y) as ly, max(y) as hy from pairs join points using (source) group by source, unit),
+drawn as (select source, rep, ('0x' || substr(md5('{bootstrap.SEED}:' || rep || ':' || k), 1, 12))::bigint % g as u from points, range(0, {B}) a(rep), lateral (select unnest(range(0, g)) as k)),
+weighed as (select * from drawn join (select *, row_number() over (partition by source order by unit) - 1 as u from units) using (source, u)),
+summed as (select source, rep, sum(n) as n, sum(sx) as sx, sum(sy) as sy, sum(sxx) as sxx, sum(syy) as syy, sum(sxy) as sxy, min(lx) < max(hx) and min(ly) < max(hy) as varies from weighed group by source, rep),
+replicated as (select source, (n * sxy - sx * sy) / nullif(sqrt(greatest(n * sxx - sx * sx, 0) * greatest(n * syy - sy * sy, 0)), 0) as r from summed where n >= 3 and varies),
+ranked as (select *, row_number() over (partition by source order by r) - 1 as i, count(*) over (partition by source) as m from replicated where r is not null),
+spread as (select source, max(r) filter (where i = floor(0.025 * m)) as ci_lo, max(r) filter (where i = least(floor(0.975 * m), m - 1)) as ci_hi from ranked where m >= {B // 2} group by source),
+measured as (select id, claimed::double as claimed, most, stop, n_rows, estimate, case when g >= 3 then ci_lo end as ci_lo, case when g >= 3 then ci_hi end as ci_hi, g as n_units, blank from asked left join points using (source) left join spread using (source)),
+judged as (select id, claimed, n_rows, estimate, round(ci_lo, 6) as ci_lo, round(ci_hi, 6) as ci_hi, n_units, case when stop is not null then stop when blank then 'blank_unit' when estimate is null then 'undefined'
+  when ci_lo is null and n_units < 3 then 'few_units' when ci_lo is null then 'few_replicates' when claimed between ci_lo and ci_hi then case when ci_hi - ci_lo > most then 'wide' else 'inside' end
+  when abs(claimed) = 1 and abs(claimed - estimate) <= 1e-6 then 'known_answer' else 'outside' end as reason_code from measured),
+verdicts as (select *, case when reason_code = 'outside' then 'refuted' when reason_code in ('inside', 'known_answer') then 'agrees' else 'unverifiable' end as verdict from judged)"""
 
 
 @register(f"with {_VERDICTS} select *, case verdict when 'refuted' then 'falsified' when 'agrees' then 'measured' else 'untested' end as status from verdicts")
@@ -148,6 +206,26 @@ def verdict_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tallies(_claims(spark, sf_dir).verdicts)
 
 
+@register(
+    r"""with s as (select item_id, text, length(text) % 7 / 10.0::double - 0.3 as claimed, length(text) % 11 / 12.5::double - 0.4 as estimate, length(text) % 3 > 0 as has_interval, item_id % 5 as few from benchmark)
+select 'item ' || item_id as id, rtrim('item ' || item_id || chr(10) || 'a.x and b.y' || chr(10) || regexp_replace('claimed ' || printf('%+.2f', claimed) || '; ' || case when few = 0 then 'not measured' else 'found pearson ' || printf('%+.3f', estimate)
+  || case when estimate <> claimed and abs(estimate - claimed) < 0.0005 then printf(' (%+.2e from the claim)', estimate - claimed) else '' end || ', ' || case when has_interval then '95% interval ' || printf('%+.3f', estimate - 0.1) || ' to ' || printf('%+.3f', estimate + 0.1) else 'no interval' end
+  || ', ' || length(text) || ' x row, R2 ' || printf('%.3f', estimate * estimate) end, '(.{1,110})(\s+|$)', '\1' || chr(10), 'g') || 'AGREES: it was said so' || chr(10) || length(text) || ' rows' || case when few > 1 then ', ' || few || ' dropped' else '' end || '; a from a.csv; b', chr(10)) as caption from s"""
+)
+def claim_captions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..sinks.figures import captions
+
+    n, few = F.char_length("text"), F.col("item_id") % 5
+    rows = table(spark, sf_dir, "benchmark").withColumns({"claimed": n % 7 / 10.0 - 0.3, "estimate": F.when(few > 0, n % 11 / 12.5 - 0.4)})
+    interval = F.when(n % 3 > 0, F.col("estimate"))
+    told = rows.select(
+        F.concat(F.lit("item "), "item_id").alias("id"), F.lit("a.x").alias("x"), F.lit("b.y").alias("y"), F.lit("b").alias("x_dataset"), F.lit("a").alias("y_dataset"), F.lit("pearson").alias("method"),
+        F.lit(None).cast("map<string,string>").alias("evidence"), "claimed", "estimate", (interval - 0.1).alias("ci_lo"), (interval + 0.1).alias("ci_hi"), F.lit(0.95).alias("ci_level"), n.alias("n_units"),
+        F.lit(None).cast("string").alias("resampling_unit"), n.alias("n_rows"), F.when(few > 1, few).alias("dropped"), F.lit("agrees").alias("verdict"), F.lit("it was said so").alias("why"),
+    )
+    return captions(told, {"a": ("a.csv",)})
+
+
 def _coverage(left: str, l_key: str, right: str, r_key: str) -> str:
     return f"""with k as (select key, sum(l) as l, sum(r) as r from (select {l_key} as key, 1 as l, 0 as r from {left} union all select {r_key}, 0, 1 from {right}) group by key)
 select cast(sum(l) as bigint) as n_left, cast(sum(r) as bigint) as n_right, count(*) filter (where l > 0 and r > 0) as n_matched, cast(sum(l) - count(*) filter (where l > 0 and r > 0) as bigint) as n_left_unmatched,

@@ -7,6 +7,7 @@ import random
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
 from attest.__main__ import main
 from attest.errors import PublishError
@@ -197,10 +198,30 @@ def test_figures_show_the_points_that_were_judged(spark, root, tmp_path):
     (entry,) = figures.build(report, str(tmp_path), draw=False)
     assert entry["n_points"] == 50 and entry["verdict"] == "refuted" and "A paper. It says so." in entry["caption"]
     assert json.loads((tmp_path / "index.json").read_text())[0]["id"] == "claim_1"
+    assert spark.read.parquet(str(tmp_path / entry["points"])).count() == 50
     assert len(summary(report)) == 1
-    near = {"verdict": "refuted", "method": "pearson", "estimate": 0.50001, "claimed": 0.5, "ci_lo": 0.50001, "ci_hi": 0.6, "why": "w", "n_units": 3}
-    assert "r - claimed = +1.00e-05" in figures.result_line(near) and "no interval" in figures.result_line(near | {"ci_lo": None})
-    assert figures.result_line({"verdict": "unverifiable", "why": "w"}) == "UNVERIFIABLE: w" and figures.number(float("nan")) == "n/a"
+
+
+def test_captions(spark):
+    schema = "id string, x string, y string, x_dataset string, y_dataset string, method string, evidence map<string,string>, claimed double, estimate double, ci_lo double, ci_hi double, ci_level double, n_units long, resampling_unit string, n_rows long, dropped long, verdict string, why string"
+    rows = [
+        ("near", "a.x", "b.y", "b", "a", "pearson", {"source": "One is said. Two  too. Not three."}, 0.5, 0.50001, 0.50001, 0.6, 0.9, 3, "g", 10, 2, "refuted", "w"),
+        ("bare", "a.x", "a.y", "a", "a", "spearman", None, -0.5, 0.25, None, None, None, 2, None, 10, 0, "unverifiable", "no interval"),
+        ("none", "a.x", "a.y", "a", None, "pearson", {}, 0.0, None, None, None, None, None, None, None, None, "unverifiable", "word " * 40),
+    ]
+    said = {r.id: r.caption.split("\n") for r in figures.captions(spark.createDataFrame(rows, schema), {"a": ("data/a.csv", "data/c.csv")}).collect()}
+    assert said["near"] == [
+        "near", "One is said. Two too.", "claimed +0.50; found pearson +0.500 (+1.00e-05 from the claim), 90% interval +0.500 to +0.600, 3 x g, R2 0.250",
+        "REFUTED: w", "10 rows, 2 dropped; a from data/a.csv, data/c.csv; b",
+    ]
+    assert said["bare"][1:3] == ["a.x and a.y", "claimed -0.50; found spearman +0.250, no interval, 2 x row"]
+    assert said["none"][2] == "claimed +0.00; not measured" and all(len(x) <= figures.LINE for x in said["none"]) and len(said["none"]) == 6
+    more = spark.createDataFrame([(*rows[0], 1e-5, 1e-4, 0.3, "pose")], schema + ", p_value double, p_floor double, r_squared double, level string")
+    (r,) = figures.captions(more).collect()
+    assert "p below 1.0e-04, R2 0.300" in r.caption.replace("\n", " ") and "level pose" in r.caption
+    (r,) = figures.captions(more.withColumn("p_value", F.lit(0.02))).collect()
+    assert "p 2.00e-02" in r.caption
+    assert spark.range(1).select(figures.formatted(F.lit(float("nan"))).alias("v")).first().v == "n/a"
 
 
 def test_scaffold_makes_a_project_that_checks(spark, tmp_path):
