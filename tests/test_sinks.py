@@ -220,7 +220,7 @@ def test_captions(spark):
     (r,) = figures.captions(more).collect()
     assert "p below 1.0e-04, R2 0.300" in r.caption.replace("\n", " ") and "level pose" in r.caption
     (r,) = figures.captions(more.withColumn("p_value", F.lit(0.02))).collect()
-    assert "p 2.00e-02" in r.caption
+    assert "p 2.00e-02" in r.caption.replace("\n", " ")
     assert spark.range(1).select(figures.formatted(F.lit(float("nan"))).alias("v")).first().v == "n/a"
 
 
