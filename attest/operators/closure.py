@@ -1,9 +1,11 @@
 """Reachability over directed edges, cycles and self-loops included.
 
-The general way is semi-naive: each round joins only the pairs that the last round found, and drops those known.  A
-round ends in a reliable checkpoint, so lineage stays short and a lost executor costs one round.  A graph of at most
-``DRIVER_EDGES`` edges is closed on the driver instead, with the same result; the bound is tested on the edges
-themselves, never assumed.
+All pairs come by path doubling: a round joins the pairs that the last one found with all that are known, so paths of up
+to twice the length are known after it, and a chain of n nodes takes about log2(n) rounds.  Where paths start at given
+seeds only, doubling would find pairs of all nodes; there a round takes the last one's pairs one edge further, and
+there are as many rounds as the longest of the shortest paths has edges.  A round ends in a reliable checkpoint, so
+lineage stays short and a lost executor costs one round.  A graph of at most ``DRIVER_EDGES`` edges and ``DRIVER_PAIRS``
+pairs is closed on the driver instead, with the same result; both bounds are tested, never assumed.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from ..session import small_table
 from .durable import settled
 
 DRIVER_EDGES = 2_000
+DRIVER_PAIRS = 20_000
 PAIRS = "src string, dst string"
 #: Rounds whose pairs are kept apart.
 PARTS = 8
@@ -41,6 +44,25 @@ def _walk(after: dict[str, set[str]], start: str) -> set[str]:
     return seen - {start}
 
 
+def _few(seeds: DataFrame, limit: int) -> list:
+    """The seeds, if there are no more than limit; else none, which stands for every node."""
+    rows = seeds.select("src").distinct().limit(limit + 1).collect()
+    return rows if len(rows) <= limit else []
+
+
+def _closed(edges: list[tuple[str, str]], starts: set[str] | None) -> list[tuple[str, str]] | None:
+    """All pairs of few edges, or those from some starts; None if there are more than DRIVER_PAIRS."""
+    after: dict[str, set[str]] = defaultdict(set)
+    for a, b in edges:
+        after[a].add(b)
+    pairs: list[tuple[str, str]] = []
+    for a in sorted(set(after) & starts if starts else after):
+        pairs += [(a, b) for b in sorted(_walk(after, a))]
+        if len(pairs) > DRIVER_PAIRS:
+            return None
+    return pairs
+
+
 def closure(edges: DataFrame, seeds: DataFrame | None = None, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     """(src, dst): what each node reaches by one edge or more, itself left out.
 
@@ -49,20 +71,17 @@ def closure(edges: DataFrame, seeds: DataFrame | None = None, driver_edges: int
     spark = edges.sparkSession
     edges = edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
     small = _small(edges, driver_edges)
-    if small is not None:
-        after: dict[str, set[str]] = defaultdict(set)
-        for a, b in small:
-            after[a].add(b)
-        found = small_table(spark, [(a, b) for a in sorted(after) for b in sorted(_walk(after, a))], PAIRS)
+    if small is not None and (pairs := _closed(small, None if seeds is None else {r[0] for r in _few(seeds, len(small))})) is not None:
+        found = small_table(spark, pairs, PAIRS)
         return found if seeds is None else found.join(seeds.select("src").distinct(), "src", "left_semi")
-    edges = settled(edges)
-    step = edges.select(F.col("src").alias("via"), F.col("dst").alias("next"))
-    new = edges if seeds is None else edges.join(seeds.select("src").distinct(), "src", "left_semi")
-    new = settled(new.filter("src <> dst"))
+    edges = settled(edges.filter("src <> dst"))
+    new = edges if seeds is None else settled(edges.join(seeds.select("src").distinct(), "src", "left_semi"))
     parts = [new]
     while not new.isEmpty():
+        known = reduce(DataFrame.union, parts)
+        step = (known if seeds is None else edges).select(F.col("src").alias("via"), F.col("dst").alias("next"))
         further = new.join(step, new["dst"] == step["via"]).select("src", F.col("next").alias("dst")).filter("src <> dst").distinct()
-        new = settled(further.join(reduce(DataFrame.union, parts), ["src", "dst"], "left_anti"))
+        new = settled(further.join(known, ["src", "dst"], "left_anti"))
         parts.append(new)
         if len(parts) > PARTS:  # each round writes what it found; all of it is written anew only now and then
             parts = [settled(reduce(DataFrame.union, parts))]

@@ -37,17 +37,21 @@ def column(name: str) -> Column:
 
 
 def csv(spark: SparkSession, path: str) -> DataFrame:
-    """Every cell as text; an empty or absent cell is the empty text.  Repeated and blank column names are refused."""
-    head = spark.read.option("encoding", "UTF-8").text(path).limit(1).first()
-    if head is None:
+    """Every cell as text; an empty or absent cell is the empty text.  Repeated and blank column names are refused.
+
+    A file is split among tasks unless a quoted cell holds a line break.  Such a break leaves a line with an odd number of
+    quotes, which is looked for in one scan of the file's parts.
+    """
+    lines = spark.read.text(path)
+    if lines.isEmpty():
         raise SourceError(f"{path} is empty")
-    raw = spark.read.option("header", False).option("multiLine", True).option("quote", '"').option("escape", '"').csv(path).first()
-    names = [(c or "").removeprefix("﻿") for c in raw]
+    odd = F.regexp_count("value", F.lit('"')) % 2 == 1
+    read = spark.read.options(quote='"', escape='"', multiLine=not lines.filter(odd).isEmpty())
+    names = [(c or "").removeprefix("\ufeff") for c in read.csv(path).first()]
     if again := sorted({c for c in names if names.count(c) > 1}):
         raise SourceError(f"{path} repeats the column names {', '.join(again)}")
-    df = spark.read.option("header", True).option("enforceSchema", True).option("multiLine", True).option("quote", '"').option("escape", '"')
     schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in names)
-    return df.schema(schema).csv(path).na.fill("")
+    return read.options(header=True, enforceSchema=True).schema(schema).csv(path).na.fill("")
 
 
 def table(spark: SparkSession, path: str) -> DataFrame:

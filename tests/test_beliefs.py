@@ -11,6 +11,7 @@ from attest.catalog import parse
 from attest.errors import BeliefError
 from attest.functions.vocabulary import PREDICATES, STATUSES
 from attest.operators.belief import CLAIMS, NODES, RESTS_ON, BeliefGraph
+from attest.operators import closure as closure_module
 from attest.operators.closure import closure, reachable
 from attest.plans.beliefs import load, tables
 
@@ -165,3 +166,22 @@ def test_claims_of_a_sibling(spark, tmp_path):
     put("owner", one + 'status = "falsified"\nevidence = "e"\n' + one + 'status = "assumed"\n')
     with pytest.raises(BeliefError, match="several statuses"):
         load(spark, mine)
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    plain = closure_module.settled
+    monkeypatch.setattr(closure_module, "settled", lambda df: rounds.append(1) or plain(df))
+    chain = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(120)] + [("n120", "n118")], "src string, dst string")
+    found = {tuple(r) for r in closure_module.closure(chain, driver_edges=0).collect()}
+    want = {(f"n{i:03}", f"n{j:03}") for i in range(121) for j in range(i + 1, 121)} | {("n120", "n118"), ("n120", "n119"), ("n119", "n118")}
+    assert found == want and len(rounds) <= 11
+
+
+def test_many_pairs_of_few_edges_are_not_closed_on_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(closure_module, "DRIVER_PAIRS", 10)
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "e"), ("e", "a")], "src string, dst string")
+    found = closure_module.closure(edges)
+    assert {tuple(r) for r in found.collect()} == {(x, y) for x in "abcde" for y in "abcde" if x != y}
+    seeds = spark.createDataFrame([("a",)], "src string")
+    assert {tuple(r) for r in closure_module.closure(edges, seeds).collect()} == {("a", y) for y in "bcde"}

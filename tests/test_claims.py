@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import pytest
 
@@ -191,6 +192,19 @@ def test_csv_cells(spark, tmp_path):
         csv(spark, str(tmp_path / "b.csv"))
 
 
+def test_csv_without_line_breaks_in_cells_is_split(spark, tmp_path):
+    path = str(tmp_path / "a.csv")
+    Path(path).write_text("k,t\n" + "".join(f'{i},"a ""b"" {i}"\n' for i in range(5000)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        df = csv(spark, path)
+        assert df.rdd.getNumPartitions() > 1 and df.count() == 5000
+        assert df.filter("k = '4999'").first().t == 'a "b" 4999'
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_sources_are_refused(spark, tmp_path):
     root = project(tmp_path, {"d.csv": "x\n1\n", "e.csv": "x\n", "f.csv": "x\n2\n"}, "")
     digest = digest_of(spark, f"{root}/data/d.csv")
