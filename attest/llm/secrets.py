@@ -1,12 +1,13 @@
 """Secret scans: fixed patterns, and a small character network for what they miss.
 
 The base patterns (assignments, access keys, hexadecimal runs) always hold.  Every other candidate, a run of 12 key
-characters or more with letters and digits, is judged by a convolutional network over its characters and its
+characters or more, is judged by a convolutional network over its characters and its
 surroundings, a long one in overlapping views, of which the likeliest counts.  Where an access key or a hexadecimal run
 is part of a run, the whole run is judged and the rest of it found; what stands before an assignment is judged alone.
 The network is trained in numpy on labelled findings: the base patterns' values are the positives and other runs the
-negatives, but for those that look like keys, which may be secrets that the patterns miss; from at most ``TRAIN_DOCS`` texts and ``TRAIN_EXAMPLES`` examples (those of least hash).  Half of the
-positives lose their context, so that the network can't lean on the word before the value.  Its output is calibrated
+negatives, but for those that look like keys, which may be secrets that the patterns miss; from at most ``TRAIN_DOCS`` texts, ``POSITIVES`` and ``NEGATIVES`` views (those of least hash).  Each is
+also cut and drawn anew in other alphabets and lengths (``variants``), as keys differ in those; half of the positives get
+the surroundings of a negative, so that the network can't lean on the word before the value.  Its output is calibrated
 on examples it did not train on, and the threshold is the highest at which ``RECALL`` of those positives are found,
 however low that is; the recall and precision on them are kept with the network and logged.  Every row is scanned, over its whole text.
 
@@ -20,7 +21,9 @@ from __future__ import annotations
 import hashlib
 import itertools
 import logging
+import random
 import re
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,10 +43,12 @@ RUN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 SHORTEST = 12
 #: A run that changes between small letters, capitals and digits at so many of its places looks like a key.
 CHANGES = 0.2
+_ALPHABETS = (string.ascii_letters + string.digits, string.ascii_letters + string.digits, string.ascii_uppercase + string.digits, string.ascii_lowercase + string.digits)
 _WORDS = ("password", "passwd", "secret", "token", "api")
 
 TRAIN_DOCS = 20_000
-TRAIN_EXAMPLES = 4_000
+#: At most so many positive and negative views.
+POSITIVES, NEGATIVES = 2_000, 8_000
 RECALL = 0.98
 LEFT, BODY, RIGHT = 24, 40, 16
 MARK = chr(1)
@@ -92,7 +97,7 @@ def keylike(body: str) -> bool:
 
 
 def candidates(text: str, spans: list[Span]) -> list[tuple[int, int, list[tuple[int, int]]]]:
-    """(start, end, parts that no base span covers) of runs with letters and digits.
+    """(start, end, parts that no base span covers) of all runs.
 
     An assignment's name is no part of a key, so it cuts its run; an access key or hexadecimal run is a part of it.
     """
@@ -106,7 +111,7 @@ def candidates(text: str, spans: list[Span]) -> list[tuple[int, int, list[tuple[
                 break
             near.append(x)
         for start, end in _rest([x for x in near if x[1] == 0], m.start(), m.end()):
-            if end - start >= SHORTEST and _mixed(text[start:end]) and (parts := _rest(near, start, end)):
+            if end - start >= SHORTEST and (parts := _rest(near, start, end)):
                 out.append((start, end, parts))
     return out
 
@@ -124,8 +129,17 @@ def views(text: str, start: int, end: int) -> list[str]:
     return [view(text, start, end, at) for at in (*range(start, last, BODY // 2), last)]
 
 
+def variants(value: str) -> list[str]:
+    """A finding's value as keys of other lengths and alphabets look, the same for the same value."""
+    r = random.Random(value)
+    n = r.randint(min(SHORTEST, len(value)), len(value))
+    at = r.randint(0, len(value) - n)
+    drawn = ["".join(r.choice(letters) for _ in range(r.randint(SHORTEST, BODY))) for letters in _ALPHABETS]
+    return [x for x in (value[at : at + n], value.swapcase(), *drawn) if x != value and _mixed(x)]
+
+
 def examples(text: str | None) -> list[tuple[int, str]]:
-    """(label, view) of a text's labelled findings and of its other runs."""
+    """(label, view) of a text's labelled findings, as they are and varied, and of its other runs."""
     if not text:
         return []
     spans, out = base_spans(text), []
@@ -134,6 +148,9 @@ def examples(text: str | None) -> list[tuple[int, str]]:
             m = ASSIGN.match(text, start, end)
             start, end = m.span(2) if m else (start, end)
         out += [(1, v) for v in views(text, start, end)]
+        for value in variants(text[start:end]):
+            around = text[max(0, start - LEFT) : start] + value + text[end : end + RIGHT]
+            out += [(1, v) for v in views(around, min(start, LEFT), min(start, LEFT) + len(value))]
     for m in RUN.finditer(text):
         if not keylike(m[0]) and _free(spans, m.start(), m.end()):
             out += [(0, v) for v in views(text, m.start(), m.end())]
@@ -198,8 +215,11 @@ class Network:
         labels = labels.astype(float)
         r = np.random.default_rng(11)
         x = self.codes(views)
-        hidden = (labels == 1) & (r.random(len(x)) < 0.5)
-        x[hidden, :LEFT] = 32
+        # Surroundings of the negatives, so that neither a word before the value nor its lack tells them apart.
+        lent, plain = np.flatnonzero((labels == 1) & (r.random(len(x)) < 0.5)), np.flatnonzero(labels == 0)
+        if len(plain):
+            from_ = r.choice(plain, len(lent))
+            x[lent, :LEFT], x[lent, -RIGHT:] = x[from_, :LEFT], x[from_, -RIGHT:]
         test = np.arange(len(x)) % 5 == 4
         if not (labels[test] == 1).any() or labels[~test].min(initial=1) == labels[~test].max(initial=0):
             return self
@@ -253,8 +273,8 @@ def train(docs: DataFrame) -> Network:
 
     found = source.mapInPandas(of, "label int, view string")
     rows = []
-    for label in (0, 1):
-        rows += found.filter(F.col("label") == label).distinct().orderBy(F.xxhash64("view"), "view").limit(TRAIN_EXAMPLES // 2).collect()
+    for label, most in enumerate((NEGATIVES, POSITIVES)):
+        rows += found.filter(F.col("label") == label).distinct().orderBy(F.xxhash64("view"), "view").limit(most).collect()
     rows.sort(key=lambda r: hashlib.md5(r.view.encode("utf-8", "surrogatepass")).digest())
     return Network().fit([r.view for r in rows], np.array([r.label for r in rows]))
 

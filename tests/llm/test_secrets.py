@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from attest.llm import secrets
-from tests.llm.common import ODD, documents, read
+from tests.llm.common import ODD, documents, prose, read
 
 # The base patterns as they are asked for.
 ASSIGN = re.compile(r"""((?ai:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -137,3 +137,39 @@ def test_every_part_of_every_run_is_judged():
 def test_runs_that_look_like_keys_are_no_negatives():
     text = "see aB3dE6gH9kL2mN5pQ8 and plain-words-joined-12 or 2024-01-02T10-11"
     assert [v.split(secrets.MARK)[1].rstrip(chr(0)) for x, v in secrets.examples(text) if not x] == ["plain-words-joined-12", "2024-01-02T10-11"]
+
+
+def test_unlabelled_keys_are_found_and_prose_is_left(spark):
+    r = np.random.default_rng(12)
+    rows, planted = [], {}
+    for i in range(400):
+        words = prose(60, i).split() + ["-".join(["plain", "words", str(i % 7)]), "2024-01-02T10-11", f"section{i % 5}paragraph{i % 3}"]
+        if i % 4 == 0:
+            words.insert(10, f"{('token', 'api_key', 'password')[i % 3]}={key(r, int(r.integers(16, 41)))}")
+        if i % 5 == 0:
+            words.insert(30, planted.setdefault(i, key(r, int(r.integers(24, 40)))))
+        rows.append((i, " ".join(words)))
+    text = dict(rows)
+    found = {row.doc_id: [text[row.doc_id][int(s) : int(e)] for k, s, e in (x.split(":") for x in row.spans.split(",") if x) if k == "learned"] for row in secrets.query(documents(spark, rows)).collect()}
+    hit = sum(value in found[i] for i, value in planted.items())
+    wrong = sum(x != planted.get(i) for i, values in found.items() for x in values)
+    assert hit >= 0.9 * len(planted) and wrong <= 0.01 * 3 * len(rows)
+
+
+def test_every_long_run_is_a_candidate():
+    text = f"averyveryverylongword 0123456789012 aB3dE6gH9kL2 short token=abcdefghijkl {'g' * 300}"
+    runs = [text[s:e] for s, e, _ in secrets.candidates(text, secrets.base_spans(text))]
+    assert runs == ["averyveryverylongword", "0123456789012", "aB3dE6gH9kL2", "g" * 300]
+
+
+def test_variants_are_the_same_for_the_same_value():
+    value = "aB3dE6gH9kL2mN5pQ8"
+    assert secrets.variants(value) == secrets.variants(value) and value not in secrets.variants(value)
+    assert all(len(x) <= secrets.BODY for x in secrets.variants(value)) and secrets.variants("1234567") is not None
+
+
+def test_long_texts_and_other_columns(spark):
+    text = "word " * 200_000 + "token=abcdefgh " + "0123456789abcdef" * 20_000
+    df = spark.createDataFrame([(1, text, "x", 5), (2, None, None, None)], "doc_id long, text string, spans string, n_hex int")
+    found = {r.doc_id: r for r in secrets.query(df).collect()}
+    assert (found[1].n_assign, found[1].n_hex, found[1].spans) == (1, 1, plain(text)[4]) and found[2].spans == ""
