@@ -2,12 +2,13 @@
 
 A word that training saw is scored by its per-language log frequency.  A word it did not see is scored by the
 longest character n-grams it holds that training saw, from ``MAX_N`` characters down to one, averaged to one word's
-worth.  All n-grams of a word count, as in scripts without spaces a run of letters is a sentence or a whole text.  The sums over a whole text are divided by its words, and the prediction is the largest; its score is the
-posterior of that mean, from 0 to 1, made flatter by ``SHARPNESS``.
+worth.  All n-grams of a word count, as in scripts without spaces a run of letters is a sentence or a whole text.  The
+sums over a whole text are divided by its words, and the prediction is the largest; its score is the posterior of that
+mean, from 0 to 1, made flatter by ``SHARPNESS``.
 
-The classifier is fitted on a sample of at most about ``train_rows`` labelled rows (those of least hash), as wide as
-the languages need and no wider: ``words`` words and ``grams`` n-grams a language are kept, so the model has a fixed
-size and is sent to every executor.  Every row is predicted, from its text only.
+The classifier is fitted on a sample of at most about ``train_rows`` labelled rows (those of least hash).  Their words are
+counted by language on the executors, and all of them and of their n-grams are kept; so the sample bounds the model, which
+is sent to every executor.  Every row is predicted, from its whole text only.
 
 Cases: a null text, or one without letters, is ``und`` with score 0; without any row to learn from all texts are
 ``und``; ties go to the language first in order; a null doc_id counts as the empty text for the fold, so it is held
@@ -16,6 +17,7 @@ out; repeated rows give repeated result rows; an empty table gives an empty resu
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -30,13 +32,11 @@ from .common import release, small_batches
 
 UND = "und"
 TRAIN_ROWS = 6_000
-WORDS = 30_000
-GRAMS = 20_000
 MAX_N = 4
 SHARPNESS = 1.0
 #: Words whose scores a worker remembers; beyond it, it starts anew.
-CACHE = 100_000
-#: n-grams that are looked up at once; longer runs of letters are read in pieces.
+CACHE = 200_000
+#: Words or n-grams that are looked up at once; longer texts and runs of letters are read in pieces.
 PIECE = 200_000
 FOLD = "pmod(crc32(cast(coalesce(cast(doc_id as string), '') as binary)), 5) = 0"
 
@@ -81,11 +81,10 @@ def _keys(texts: list[str]) -> np.ndarray:
 class Table:
     """Rows of log frequencies by 64-bit hashes of their words or n-grams, in order of hash."""
 
-    def __init__(self, rows: dict[str, np.ndarray], width: int):
-        keys = _keys(list(rows))
+    def __init__(self, names: list[str], rows: np.ndarray):
+        keys = _keys(names)
         order = np.argsort(keys)
-        self.keys = keys[order]
-        self.rows = np.array(list(rows.values()), np.float64).reshape(len(rows), width)[order]
+        self.keys, self.rows = keys[order], rows[order]
 
     def find(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Where each text is, and whether it is there."""
@@ -103,7 +102,7 @@ class Model:
     def __init__(self, langs: list[str], words: Table, grams: Table):
         self.langs, self.words, self.grams = langs, words, grams
         self._known: dict[str, int] = {}
-        self._rows = np.zeros((CACHE, len(langs)))
+        self._rows = np.zeros((0, len(langs)))
 
     def __getstate__(self):
         return (self.langs, self.words, self.grams)
@@ -131,39 +130,76 @@ class Model:
             rest = rest[~hit]
         return out
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        ws = letters(text)
-        if not ws or not self.langs:
-            return UND, 0.0
-        known, rows = self._known, self._rows
-        if new := [w for w in dict.fromkeys(ws) if w not in known]:
-            if len(known) + len(new) > CACHE:
-                known.clear()
-                new = list(dict.fromkeys(ws))
-            if len(new) > CACHE:  # one text with more different words than the memory has room for
-                counts = Counter(ws)
-                total = sum((np.array(list(counts.values())[i : i + CACHE]) @ self.score(new[i : i + CACHE]) for i in range(0, len(new), CACHE)), np.zeros(len(self.langs)))
-                return self._decide(total / len(ws))
-            first = len(known)
-            rows[first : first + len(new)] = self.score(new)
-            known.update(zip(new, range(first, first + len(new))))
-        at = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
-        return self._decide(rows[at].sum(0) / len(ws))
-
-    def _decide(self, mean: np.ndarray) -> tuple[str, float]:
-        p = np.exp(SHARPNESS * (mean - mean.max()))
-        best = int(mean.argmax())
-        return self.langs[best], float(p[best] / p.sum())
-
-
-def fit(rows: Iterator[tuple[str, str]], words: int = WORDS, grams: int = GRAMS) -> Model:
-    """A model of (lang, text) rows."""
-    counts: dict[str, Counter] = defaultdict(Counter)
-    for lang, text in rows:
-        counts[lang].update(letters(text))
+    def _rows_at(self, words: list[str]) -> np.ndarray:
+        """Each word's scores, from memory where it has been seen."""
+        new = list(set(words).difference(self._known))
+        if new and len(self._known) + len(new) > CACHE:
+            self._known.clear()
+            self._rows = self._rows[:0]
+            new = list(set(words))
+        if new:
+            self._known.update(zip(new, range(len(self._known), len(self._known) + len(new))))
+            self._rows = np.concatenate((self._rows, self.score(new)))
+        return self._rows[np.fromiter(map(self._known.__getitem__, words), np.int64, len(words))]
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """The language and its score of each text."""
+        n, k = len(texts), len(self.langs)
+        sums, count = np.zeros((n, k)), np.zeros(n, np.int64)
+        if k:
+            for owner, words in _read(texts):
+                rows = self._rows_at(words)
+                count += np.bincount(owner, minlength=n)
+                for j in range(k):
+                    sums[:, j] += np.bincount(owner, rows[:, j], minlength=n)
+        out = []
+        for mean, c in zip(sums / np.maximum(count, 1)[:, None], count.tolist()):
+            if not c:
+                out.append((UND, 0.0))
+                continue
+            p = np.exp(SHARPNESS * (mean - mean.max()))
+            best = int(mean.argmax())
+            out.append((self.langs[best], float(p[best] / p.sum())))
+        return out
+
+
+def _read(texts: list[str | None]) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """The runs of letters of all texts, PIECE at once, and which text each is of; none of a text without a letter."""
+    words: list[str] = []
+    owners: list[int] = []
+    sizes: list[int] = []
+    for i, text in enumerate(texts):
+        low = text.lower() if text else ""
+        if not any(map(str.isalpha, low)):  # some number signs, such as fractions, pass the pattern
+            continue
+        runs = iter(_LETTERS.findall(low)) if len(low) < PIECE else (m[0] for m in _LETTERS.finditer(low))
+        while some := list(itertools.islice(runs, PIECE - len(words))):
+            words += some
+            owners.append(i)
+            sizes.append(len(some))
+            if len(words) == PIECE:
+                yield np.repeat(owners, sizes), words
+                words, owners, sizes = [], [], []
+    if words:
+        yield np.repeat(owners, sizes), words
+
+
+def _log_rows(of: dict[str, Counter], langs: list[str]) -> tuple[list[str], np.ndarray]:
+    """All names that any language has, and a row of log frequencies for each."""
+    names = sorted(set().union(*of.values()))
+    n = np.array([[of[x][w] for x in langs] for w in names], float).reshape(len(names), len(langs))
+    size = n.sum(0)
+    # Frequencies are smoothed by the common one and taken relative to it, so a language of few rows is not favoured.
+    common = n.sum(1, keepdims=True) / max(size.sum(), 1)
+    return names, np.log((n + common + 1e-9) / (size + 1.0)) - np.log(common)
+
+
+def fit(counts: dict[str, Counter]) -> Model:
+    """A model of each language's words and how often it has them."""
     langs = sorted(x for x in counts if counts[x])
-    tables: list[dict[str, np.ndarray]] = []
-    by_n = [counts]
+    if not langs:
+        return Model([], Table([], np.zeros((0, 0))), Table([], np.zeros((0, 0))))
+    names, rows = [], []
     for n in range(1, MAX_N + 1):
         of: dict[str, Counter] = {}
         for x in langs:
@@ -172,21 +208,10 @@ def fit(rows: Iterator[tuple[str, str]], words: int = WORDS, grams: int = GRAMS)
                 for g in _grams(w, n):
                     c[g] += k
             of[x] = c
-        by_n.append(of)
-    for which, keep in [(by_n[0], words), *((c, grams) for c in by_n[1:])]:
-        kept = {w for x in langs for w, _ in sorted(which[x].items(), key=lambda kv: (-kv[1], kv[0]))[:keep]}
-        size = np.array([sum(which[x].values()) for x in langs], float)
-        # Frequencies are smoothed by the common one and taken relative to it, so a language of few rows is not favoured.
-        table = {}
-        for w in kept:
-            n = np.array([which[x][w] for x in langs], float)
-            common = n.sum() / size.sum()
-            table[w] = np.log((n + common + 1e-9) / (size + 1.0)) - np.log(common)
-        tables.append(table)
-    merged: dict[str, np.ndarray] = {}
-    for t in tables[1:]:
-        merged |= t
-    return Model(langs, Table(tables[0], len(langs)), Table(merged, len(langs)))
+        found = _log_rows(of, langs)
+        names += found[0]
+        rows.append(found[1])
+    return Model(langs, Table(*_log_rows(counts, langs)), Table(names, np.concatenate(rows)))
 
 
 def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
@@ -198,7 +223,19 @@ def train(docs: DataFrame, train_rows: int = TRAIN_ROWS) -> Model:
         # A share by hash, so no text is sorted or moved but those taken.
         limit = int(-(2**63) + 2**64 * train_rows / n)
         source = source.filter(F.col("_h") < F.lit(limit))
-    return fit((r.lang, r.text) for r in source.orderBy("_h").select("lang", "text").toLocalIterator())
+
+    def words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            counts: dict[str, Counter] = defaultdict(Counter)
+            for lang, text in zip(pdf["lang"], pdf["text"]):
+                counts[lang].update(letters(text))
+            yield pd.DataFrame([(x, w, n) for x, c in counts.items() for w, n in c.items()], columns=["lang", "word", "n"])
+
+    found = source.select("lang", "text").mapInPandas(words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counts: dict[str, Counter] = defaultdict(Counter)
+    for r in found.toLocalIterator():  # the words of the sample
+        counts[r.lang][r.word] = r.n
+    return fit(counts)
 
 
 def predicted(docs: DataFrame, model: Model) -> DataFrame:
@@ -206,7 +243,7 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     held = docs.sparkSession.sparkContext.broadcast(model)
 
     def of(texts: pd.Series) -> pd.DataFrame:
-        out = pd.DataFrame([held.value.predict(t) for t in texts], columns=["lang_pred", "score"])
+        out = pd.DataFrame(held.value.predict(texts.tolist()), columns=["lang_pred", "score"])
         release()
         return out
 
