@@ -6,8 +6,10 @@ components are found by ``min_components``; a url without a rule of its own is b
 component, unless a rule allows one of them, for an explicit allow goes before a block that is only inherited.  Every
 other url is allowed.
 
-Urls are told apart without fragment and with the host in lower case.  Edges are short rows, hosts and components of
-any size are joined by key only.
+All canonical links and refreshes of a page count.  A link is resolved against the page's url: dot segments go, and one
+without a scheme takes what it lacks from the page.  Urls are told apart without fragment and with the host in lower
+case.  Edges are short rows, hosts and components of any size are joined by key only.  All of it is column expressions,
+and ``ORACLE`` says the same in SQL.
 
 Cases: a null url, or one without ``://``, has empty host and path, fits no rule and is allowed; links that can't be
 resolved to a url with ``://`` are ignored; repeated rows give repeated result rows; a null page_id is kept; an empty
@@ -16,10 +18,6 @@ table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from urllib.parse import urljoin
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +27,13 @@ from .html import host_of
 #: (verdict, host, path)
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
-_LINK = r"""(?is)<link\b[^>]*\brel\s*=\s*["']?canonical\b[^>]*>"""
+#: Tags, what makes them name an alias, and where they say it.  A tag is read to the next angle bracket, in linear time.
+_TAGS = r"(?is)<(?:link|meta)\b[^<>]*>"
+_CANONICAL = r"""(?is)^<link\b.*\brel\s*=\s*["']?[^"'>]{0,200}?\bcanonical\b"""
 _HREF = r"""(?is)\bhref\s*=\s*["']?([^"'\s>]+)"""
-_META = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
-_TO = r"""(?is)\bcontent\s*=\s*["'][^"'>]*?url\s*=\s*["']?([^"'\s>]+)"""
+_REFRESH = r"""(?is)^<meta\b.*\bhttp-equiv\s*=\s*["']?refresh\b"""
+_TO = r"""(?is)\bcontent\s*=\s*["'][^"'>]{0,200}?url\s*=\s*["']?([^"'\s>]+)"""
+_SCHEME = r"^[a-zA-Z][a-zA-Z0-9+.-]*:"
 
 
 def path_of(url: Column) -> Column:
@@ -55,22 +56,39 @@ def name_of(url: Column) -> Column:
     return F.when(bare.contains("://"), F.concat(F.regexp_extract(bare, r"(?s)^(.*?://)", 1), host_of(bare), F.regexp_extract(bare, r"(?s)://[^/?#]*(.*)", 1)))
 
 
+def _straight(path: Column) -> Column:
+    """A path that begins with a slash, without dot segments."""
+    parts = F.split(F.substr(path, F.lit(2)), "/")
+    done = F.aggregate(parts, F.lit(""), lambda so_far, x: F.when(x == "..", F.regexp_replace(so_far, "/[^/]*$", "")).when(x == ".", so_far).otherwise(F.concat(so_far, F.lit("/"), x)))
+    return F.when(F.element_at(parts, -1).isin(".", ".."), F.concat(done, F.lit("/"))).otherwise(done)
+
+
+def resolved(url: Column, link: Column) -> Column:
+    """The url that a link on the page of ``url`` leads to, without fragment; null for a link to the page itself."""
+    link = F.regexp_replace(F.replace(link, F.lit("&amp;"), F.lit("&")), "(?s)#.*", "")
+    head, path = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), path_of(url)
+    folder = F.when(path == "", "/").otherwise(F.regexp_replace(path, "[^/]*$", ""))
+    own_path, query = F.regexp_extract(link, r"(?s)^[^?]*", 0), F.regexp_extract(link, r"(?s)\?.*", 0)
+    return (
+        F.when(link == "", None)
+        .when(link.rlike(_SCHEME), link)
+        .when(link.startswith("//"), F.concat(F.regexp_extract(url, r"(?s)^(.*?:)//", 1), link))
+        .when(link.startswith("?"), F.concat(head, path, link))
+        .when(link.startswith("/"), F.concat(head, _straight(own_path), query))
+        .otherwise(F.concat(head, _straight(F.concat(folder, own_path)), query))
+    )
+
+
 def aliases(pages: DataFrame) -> DataFrame:
     """Edges (src, dst) of names: a page's own, and those that its html redirects to or calls canonical."""
-    links = F.filter(F.array(F.regexp_extract(F.regexp_extract("html", _LINK, 0), _HREF, 1), F.regexp_extract(F.regexp_extract("html", _META, 0), _TO, 1)), lambda x: x != "")
-    found = pages.filter("url is not null and html is not null").select("url", F.explode(links).alias("link"))
+    tags = F.regexp_extract_all("html", F.lit(_TAGS), F.lit(0))
 
-    def resolve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for url, link in zip(pdf["url"], pdf["link"]):
-                try:
-                    out.append((url, urljoin(url, link.replace("&amp;", "&"))))
-                except ValueError:
-                    continue
-            yield pd.DataFrame(out, columns=["url", "to"])
-
-    edges = found.mapInPandas(resolve, "url string, to string").select(name_of(F.col("url")).alias("src"), name_of(F.col("to")).alias("dst"))
+    def said(kind: str, where: str) -> Column:
+        return F.transform(F.filter(tags, lambda x: x.rlike(kind)), lambda x: F.regexp_extract(x, where, 1))
+
+    links = F.filter(F.concat(said(_CANONICAL, _HREF), said(_REFRESH, _TO)), lambda x: x != "")
+    found = pages.filter("url is not null and html is not null").select("url", F.explode(links).alias("link"))
+    edges = found.select(name_of(F.col("url")).alias("src"), name_of(resolved(F.col("url"), F.col("link"))).alias("dst"))
     return edges.filter("src is not null and dst is not null and src <> dst").distinct()
 
 
@@ -99,33 +117,42 @@ def judged(pages: DataFrame, rules=RULES) -> DataFrame:
 
 query = judged
 
-#: The same in DuckDB.
-ORACLE = r"""
-with recursive p as (
-  select page_id, url, html,
-    translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
-    coalesce(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '') as path
-  from pages),
-ruled as (
-  select *, case
-    when (host = 'example.com' or host like '%.example.com') and starts_with(path, '/de/') then 'example.com/de/'
-    when (host = 'example.net' or host like '%.example.net') and starts_with(path, '/en/') then 'example.net/en/'
-    when (host = 'org' or host like '%.org') and starts_with(path, '/fr/') then 'org/fr/'
-    when (host = 'net' or host like '%.net') and starts_with(path, '/') then 'net/' end as rule
-  from p),
-linked as (
-  select regexp_replace(url, '#.*', '') as src, unnest([
-    regexp_extract(regexp_extract(html, '(?i)<link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*>'), '(?i)\bhref\s*=\s*["'']?([^"''\s>]+)', 1),
-    regexp_extract(regexp_extract(html, '(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*>'), '(?i)\bcontent\s*=\s*["''][^"''>]*?url\s*=\s*["'']?([^"''\s>]+)', 1)]) as dst
-  from pages where url is not null and html is not null),
-edge as (
-  select src, dst from linked where dst like '%://%' and src <> dst union select dst, src from linked where dst like '%://%' and src <> dst),
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _oracle(rules=RULES) -> str:
+    """The same in DuckDB."""
+    lower = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+    host = f"translate(coalesce(regexp_extract(url, '(?s)://([^/?#]*)', 1), ''), {lower})"
+    path = "coalesce(regexp_extract(url, '(?s)://[^/?#]*([^?#]*)', 1), '')"
+
+    def name(url: str) -> str:
+        bare = f"regexp_replace({url}, '(?s)#.*', '')"
+        return f"case when contains({bare}, '://') then regexp_extract({bare}, '(?s)^(.*?://)', 1) || translate(regexp_extract({bare}, '(?s)://([^/?#]*)', 1), {lower}) || regexp_extract({bare}, '(?s)://[^/?#]*(.*)', 1) end"
+
+    ordered = sorted(rules, key=lambda r: (len(r[1] + r[2]), r[1:]), reverse=True)
+    rule = "case " + " ".join(f"when (host = {_sql(h)} or ends_with(host, {_sql('.' + h)})) and starts_with(path, {_sql(p)}) then {_sql(h + p)}" for _, h, p in ordered) + " end"
+    kinds = "case rule " + " ".join(f"when {_sql(h + p)} then {_sql(k)}" for k, h, p in ordered) + " end"
+    straight = "list_reduce(list_prepend('', string_split(substr({0}, 2), '/')), lambda a, x: case when x = '..' then regexp_replace(a, '/[^/]*$', '') when x = '.' then a else a || '/' || x end) || case when regexp_matches({0}, '(^|/)\\.\\.?$') then '/' else '' end"
+    said = "list_transform(list_filter(tags, lambda x: regexp_matches(x, {})), lambda x: regexp_extract(x, {}, 1))"
+    return f"""with recursive p as (select *, {host} as host, {path} as path, {name("url")} as name from pages),
+tagged as (select url, path, regexp_extract_all(html, {_sql(_TAGS)}) as tags from p where url is not null and html is not null),
+links as (select url, path, unnest({said.format(_sql(_CANONICAL), _sql(_HREF))} || {said.format(_sql(_REFRESH), _sql(_TO))}) as link from tagged),
+bare as (select url, path, regexp_extract(url, '(?s)^(.*?://[^/?#]*)', 1) as head, case when path = '' then '/' else regexp_replace(path, '[^/]*$', '') end as folder,
+  regexp_replace(replace(link, '&amp;', '&'), '(?s)#.*', '') as link from links where link <> ''),
+cut as (select *, regexp_extract(link, '(?s)^[^?]*') as own, regexp_extract(link, '(?s)\\?.*') as query from bare),
+target as (select url, case when link = '' then null when regexp_matches(link, {_sql(_SCHEME)}) then link when starts_with(link, '//') then regexp_extract(url, '(?s)^(.*?:)//', 1) || link
+  when starts_with(link, '?') then head || path || link when starts_with(link, '/') then head || {straight.format("own")} || query else head || {straight.format("(folder || own)")} || query end as link from cut),
+linked as (select {name("url")} as src, {name("link")} as dst from target),
+edge as (select src, dst from linked where src <> dst union select dst, src from linked where src <> dst),
 reach(a, b) as (select src, dst from edge union select r.a, e.dst from reach r join edge e on r.b = e.src),
-other as (
-  select r.a, max(x.rule in ('net/', 'example.com/de/')) as block, max(x.rule in ('org/fr/', 'example.net/en/')) as allow
-  from reach r join ruled x on regexp_replace(x.url, '#.*', '') = r.b group by r.a)
-select page_id, host, path, rule, case
-  when rule in ('net/', 'example.com/de/') then 'block' when rule is not null then 'allow'
-  when o.block and not coalesce(o.allow, false) then 'block' else 'allow' end as verdict
-from ruled left join other o on regexp_replace(ruled.url, '#.*', '') = o.a
-"""
+names as (select b as url, {host} as host, {path} as path from (select distinct b, b as url from reach)),
+told as (select url as b, {kinds} as kind from (select url, {rule} as rule from names)),
+other as (select a, max(kind = 'block') as block, max(kind = 'allow') as allow from reach join told using (b) group by a),
+ruled as (select *, {rule} as rule from p)
+select page_id, host, path, rule, coalesce({kinds}, case when o.block and not coalesce(o.allow, false) then 'block' end, 'allow') as verdict from ruled left join other o on ruled.name = o.a"""
+
+
+ORACLE = _oracle()

@@ -3,8 +3,10 @@ from __future__ import annotations
 import os
 import random
 from collections import Counter
+from urllib.parse import urljoin
 
 import duckdb
+from pyspark.sql import functions as F
 
 from attest.llm import urls
 from attest.llm.common import min_components
@@ -90,3 +92,66 @@ def test_sql_gives_the_same(spark, sf):
     want = Counter(con.sql(urls.ORACLE).fetchall())
     got = urls.query(spark.read.parquet(f"{sf}/pages.parquet"))
     assert got.columns == con.sql(urls.ORACLE).columns and Counter(map(tuple, got.collect())) == want
+
+
+LINKED = [
+    (1, "https://a.com/x", canonical("https://bad.net/x")),
+    (2, "https://b.com/y", '<meta http-equiv="refresh" content="0; url=https://A.com/x">'),
+    (3, "https://c.com/z", canonical("/w")),
+    (4, "https://c.com/w", canonical("https://bad.net/w")),
+    (5, "https://d.com/q", canonical("https://bad.net/q")),
+    (6, "https://e.org/fr/q", canonical("https://d.com/q")),
+    (7, "https://f.com/", None),
+    (8, "https://bad.net/x#part", ""),
+    (9, "https://a.com/x#part", None),
+    (9, "https://a.com/x#part", None),
+    (None, "https://a.com/x", None),
+    (10, "https://g.com/1", canonical("https://unseen.net/1")),
+    (11, "https://h.com/a/b/c?q=1", canonical("../../i/./j")),
+    (12, "https://h.com/i/j", "<link rel=canonical href=//k.NET/>"),
+    (13, "https://l.com/a", "<link rel='alternate' href=/nothing><LINK REL='nofollow canonical' HREF='b?x=1&amp;y=2#f'><link rel=canonical href=/c>"),
+    (14, "https://l.com/b?x=1&y=2", None),
+    (15, "https://l.com/c", canonical("https://z.net/c")),
+    (16, "https://m.com", canonical("mailto:x@y.net")),
+    (17, "https://m.com/p", canonical("?page=2")),
+    (18, "https://m.com/p?page=2", canonical("https://n.net/p")),
+    (19, "no scheme", canonical("https://n.net/p")),
+    (20, "https://o.com/p/", canonical("#top")),
+    (21, "https://o.com/q/r", canonical("..")),
+    (22, "https://o.com/", canonical("https://n.net/o")),
+    (23, None, canonical("https://n.net/p")),
+    (24, "https://M.com/p", "<link href='https://n.net/p'>"),
+]
+
+
+def test_sql_follows_links_too(spark):
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar, html varchar)")
+    con.executemany("insert into pages values (?, ?, ?)", LINKED)
+    want = Counter(con.sql(urls.ORACLE).fetchall())
+    assert Counter(map(tuple, urls.query(pages(spark, LINKED)).collect())) == want
+    blocked = {i for i, _, _, _, verdict in want if verdict == "block"}
+    assert blocked == {1, 2, 3, 4, 8, 9, None, 10, 11, 12, 13, 14, 15, 17, 18, 21, 22, 24}
+
+
+def test_links_are_resolved_as_python_resolves_them(spark):
+    r = random.Random(3)
+    bases = ["https://a.com/b/c/d?q=1", "http://a.com", "https://a.com/", "https://a.com/x/", "https://a.com/x/../y"]
+    links = ["", "#f", "g", "./g", "g/", "/g", "//h.com/g", "?y", "g?y/./x", "../g", "../../../g", "..", ".", "./", "../", "g/../h", "https://x.net/a", "mailto:a@b", "/./g/../h/.", "a/b/./c#x"]
+    rows = [(u, x + r.choice(["", "#frag"])) for u in bases for x in links]
+    df = spark.createDataFrame(rows, "url string, link string").select("url", "link", urls.resolved(F.col("url"), F.col("link")).alias("to"))
+    for x in df.collect():
+        want = urljoin(x.url, x.link).split("#")[0]
+        if x.link.split("#")[0] == "":
+            assert x.to is None
+        elif ".." in x.url and x.link.startswith("?"):
+            continue
+        else:
+            assert x.to == want, (x.url, x.link)
+
+
+def test_very_long_pages_and_other_columns(spark):
+    long = [("<link " * 100_000), "<meta content='" + "url " * 100_000, "<link rel=" + "rel=" * 100_000 + ">", "word " * 200_000 + canonical("https://x.net/")]
+    rows = [(i, f"https://y{i}.com/", h, "h", "p", True) for i, h in enumerate(long)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, host string, name string, blocked boolean")
+    assert {(r.page_id, r.host, r.verdict) for r in urls.query(df).collect()} == {(0, "y0.com", "allow"), (1, "y1.com", "allow"), (2, "y2.com", "allow"), (3, "y3.com", "block")}
