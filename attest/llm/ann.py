@@ -5,15 +5,22 @@ h_par |parallel residual|^2 + |orthogonal residual|^2, where the parallel part,
 because it is what changes a large inner product.  Centres are fitted on at most ``SAMPLE`` vectors (those of least
 hash); every vector is coded and scanned.
 
-Queries and candidates are dealt into blocks of fixed size, and each pair of blocks meets in one group: the two halves
-of a byte of code share one 256-entry table, a block's tables are added up for all its candidates, and the best of a
-block are reranked by the cosine of the original vectors in double precision.  Their k-th best cosine is a bound, and
-every other row whose table score leaves it a chance to reach that bound (``Quantiser.least``) is reranked too, so a
-block loses no neighbour, however many near or scaled copies it holds.  The best k of all blocks are taken.
+Rows are dealt into lists by their nearest coarse centre, and a query looks into the lists of its nearest centres.  How
+many that takes is measured on the sample: so many that ``RECALL`` of the sample's own neighbours are in them.  Data in
+clusters need few lists; data without any structure need most of them, and then the work is nearly that of all pairs.
+The number of centres grows with the rows up to ``CENTRES_MOST``.  A list of more than ``ROWS`` rows is split into blocks,
+and so are the queries that look into it, so a list with a third of all rows is no single task; each row is coded once
+for each block of queries.
+
+In a block the two halves of a byte of code share one 256-entry table, a block's tables are added up for all its
+candidates, and the best of a block are reranked by the cosine of the original vectors in double precision.  Their k-th
+best cosine is a bound, and every other row whose table score leaves it a chance to reach that bound
+(``Quantiser.least``) is reranked too, so a block loses no neighbour, however many near or scaled copies it holds.  The
+best k of all blocks are taken.
 
 Cases: vectors that are null, zero, of another length than most, or hold null or non-finite components take no part,
 as queries or candidates; of equal vectors the smaller ids come first, and a block looks at k + 1 of them, which is
-all that can be returned; repeated rows count once; a null vec_id takes no part; with fewer candidates than k all are
+all that can be returned; repeated rows count once, and of different vectors with one vec_id the nearest; a null vec_id takes no part; with fewer candidates than k all are
 returned; an empty table gives an empty result; other columns are not read.
 """
 
@@ -21,9 +28,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 K = 5
 EVERY = 50
 SAMPLE = 6_000
@@ -33,6 +42,9 @@ AIM = 0.2
 ROUNDS = 4
 #: Rows of a block of queries and of candidates.  A candidate is sent and coded once for each block of queries.
 QUERIES, ROWS = 32768, 4096
+#: Rows of a list on average, as long as there are no more than CENTRES_MOST lists; queries of the sample that tell how many to look into.
+PER_LIST, CENTRES_MOST = 512, 256
+ASKED, RECALL = 400, 0.99
 #: One in so many of a block's rows, and at least LEAST, are reranked to find the bound for all others.
 KEEP, LEAST = 32, 40
 
@@ -179,6 +191,36 @@ def search_block(quantiser: Quantiser, query_ids: np.ndarray, queries: np.ndarra
     return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
 
+def coarse(x: np.ndarray, n: int, rounds: int = 8, seed: int = 9) -> np.ndarray:
+    """n unit centres of unit vectors, by spherical k-means."""
+    r = np.random.default_rng(seed)
+    centres = x[r.choice(len(x), n, replace=False)]
+    for _ in range(rounds if n > 1 else 0):
+        at = (x @ centres.T).argmax(1)
+        for c in np.unique(at):
+            mean = x[at == c].mean(0)
+            if (size := np.sqrt((mean * mean).sum())) > 0:
+                centres[c] = mean / size
+    return centres
+
+
+def looks(x: np.ndarray, centres: np.ndarray, k: int, recall: float = RECALL) -> int:
+    """In how many lists a query must look to find that share of its k nearest, by the sample x against itself.
+
+    Neighbours among all rows are nearer than those in a sample, so they are found at least as often.
+    """
+    if len(centres) == 1 or len(x) <= k + 1:
+        return len(centres)
+    asked = x[: min(ASKED, len(x))]
+    best = np.argsort(-(asked @ x.T), axis=1, kind="stable")[:, : k + 1]
+    order = np.argsort(-(asked @ centres.T), axis=1, kind="stable")
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.arange(len(centres))[None], 1)
+    lists = (x @ centres.T).argmax(1)
+    needed = np.sort(np.take_along_axis(place, lists[best], 1).ravel())
+    return int(needed[min(len(needed) - 1, int(np.ceil(recall * len(needed))))]) + 1
+
+
 def nearest(table: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank, vec_id and score.  Both have vec_id and embedding."""
 
@@ -194,22 +236,59 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.filter(F.size("embedding") == sizes["d"])
-    asked = valid(queries).filter(F.size("embedding") == sizes["d"]).distinct()
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()
-    x = _matrix(sample["embedding"])
-    held = spark.sparkContext.broadcast(Quantiser(x / np.sqrt((x * x).sum(1))[:, None]))
-    n_rows, n_asked = max(1, -(-sizes["count"] // ROWS)), max(1, -(-asked.count() // QUERIES))
-    grid = [F.expr(f"sequence(0, {n - 1})") for n in (n_asked, n_rows)]
-    left = asked.select("*", F.expr(f"cast(pmod(xxhash64(vec_id), {n_asked}) as int)").alias("q"), F.explode(grid[1]).alias("c"))
-    right = rows.select("*", F.expr(f"cast(pmod(xxhash64(vec_id, 7), {n_rows}) as int)").alias("c"), F.explode(grid[0]).alias("q"))
+    asked = valid(queries).filter(F.size("embedding") == sizes["d"])
+    sample = _matrix(rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).toPandas()["embedding"])
+    unit = sample / np.sqrt((sample * sample).sum(1))[:, None]
+    centres = coarse(unit, int(np.clip(sizes["count"] // PER_LIST, 1, min(CENTRES_MOST, len(unit)))))
+    n_looks = looks(unit, centres, k)
+    held = spark.sparkContext.broadcast((Quantiser(unit), centres))
+
+    def lists_of(n: int):
+        """The n nearest centres of each vector, nearest first."""
+
+        def of(vectors: pd.Series) -> pd.Series:
+            x = _matrix(vectors)
+            near = (x / np.sqrt((x * x).sum(1))[:, None]) @ held.value[1].T
+            return pd.Series(list(np.argsort(-near, axis=1, kind="stable")[:, :n].astype(np.int32)))
+
+        return F.pandas_udf(of, "array<int>")("embedding")
+
+    listed = written(rows.withColumn("list", F.get(lists_of(1), F.lit(0))))
+    sized = {r.list: r["count"] for r in listed.groupBy("list").count().collect()}  # one row a centre
+    # All lists that hold rows, in a query's order; it stops at n_looks of them, or later if those hold too few rows.
+    held_rows = np.zeros(len(centres), np.int64)
+    held_rows[list(sized)] = list(sized.values())
+    enough = int(min(k + 1, held_rows.sum()))
+
+    def looked_into(vectors: pd.Series) -> pd.Series:
+        x = _matrix(vectors)
+        order = np.argsort(-((x / np.sqrt((x * x).sum(1))[:, None]) @ held.value[1].T), axis=1, kind="stable")
+        have = np.cumsum(held_rows[order], axis=1)
+        n = np.maximum(n_looks, (have < enough).sum(1) + 1)
+        return pd.Series([o[:m][held_rows[o[:m]] > 0].astype(np.int32) for o, m in zip(order, n)])
+
+    asked = written(asked.distinct().withColumn("lists", F.pandas_udf(looked_into, "array<int>")("embedding")))
+    wanted = {r.list: r["count"] for r in asked.select(F.explode("lists").alias("list")).groupBy("list").count().collect()}
+    parts = F.array(*[F.lit(-(-int(held_rows[c]) // ROWS)) for c in range(len(centres))])
+    groups = F.array(*[F.lit(-(-wanted.get(c, 0) // QUERIES)) for c in range(len(centres))])
+
+    def dealt(df: DataFrame, salt: int, own: Column, others: Column, own_name: str, other_name: str) -> DataFrame:
+        """Each row in a block of its own kind, and once for every block of the other."""
+        mine = F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.get(own, F.col("list"))).cast("int")
+        return df.filter(F.get(others, F.col("list")) > 0).select("vec_id", "embedding", "list", mine.alias(own_name), F.explode(F.sequence(F.lit(0), F.get(others, F.col("list")) - 1)).alias(other_name))
+
+    left = dealt(asked.select("vec_id", "embedding", F.explode("lists").alias("list")), 1, groups, parts, "q", "c")
+    right = dealt(listed, 7, parts, groups, "c", "q")
 
     def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return search_block(held.value, a["vec_id"].to_numpy(), _matrix(a["embedding"]), b["vec_id"].to_numpy(), _matrix(b["embedding"]), k)
+        return search_block(held.value[0], a["vec_id"].to_numpy(), _matrix(a["embedding"]), b["vec_id"].to_numpy(), _matrix(b["embedding"]), k)
 
-    found = left.groupBy("q", "c").cogroup(right.groupBy("q", "c")).applyInPandas(block, result)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    found = left.groupBy("list", "q", "c").cogroup(right.groupBy("list", "q", "c")).applyInPandas(block, result)
+    # One shuffle serves both; of rows with one vec_id the nearest counts.
+    ranked = found.repartition("query_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

@@ -69,8 +69,9 @@ def test_blocks_give_the_same(spark, monkeypatch):
     r = np.random.default_rng(1)
     rows = [(i, r.normal(size=8).astype(np.float32).tolist()) for i in range(600)]
     want = plain(rows)
-    monkeypatch.setattr(ann, "ROWS", 100)
+    monkeypatch.setattr(ann, "ROWS", 30)
     monkeypatch.setattr(ann, "QUERIES", 4)
+    monkeypatch.setattr(ann, "PER_LIST", 60)
     got: dict = {}
     for x in ann.query(table(spark, rows)).collect():
         got.setdefault(x.query_id, set()).add(x.vec_id)
@@ -78,6 +79,44 @@ def test_blocks_give_the_same(spark, monkeypatch):
     assert hits / (5 * len(want)) >= 0.95
 
 
+def recall(found, want):
+    got: dict = {}
+    for x in found:
+        got.setdefault(x.query_id, set()).add(x.vec_id)
+    assert all(len(got[q]) == min(5, len(best)) for q, best in want.items())
+    return sum(len(got[q] & {i for _, i in best}) for q, best in want.items()) / sum(map(len, want.values()))
+
+
+def test_few_lists_are_looked_into_where_data_has_clusters(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PER_LIST", 100)
+    monkeypatch.setattr(ann, "ROWS", 700)
+    r = np.random.default_rng(6)
+    middles = r.normal(size=(40, 24))
+    of = np.where(r.random(4000) < 0.33, 0, r.integers(0, 40, 4000))  # a third of all rows in one cluster
+    x = (middles[of] + 0.15 * r.normal(size=(4000, 24))).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    assert recall(ann.query(table(spark, rows)).collect(), plain(rows)) >= 0.95
+    unit = (x / np.linalg.norm(x, axis=1)[:, None]).astype(float)
+    centres = ann.coarse(unit, 40)
+    assert ann.looks(unit, centres, 5) <= 20 and ann.looks(unit[:3], centres[:1], 5) == 1
+
+
+def test_a_query_in_an_empty_corner_still_gets_five(spark, monkeypatch):
+    monkeypatch.setattr(ann, "PER_LIST", 20)
+    monkeypatch.setattr(ann, "RECALL", 0.5)
+    r = np.random.default_rng(7)
+    x = np.concatenate((r.normal(size=(300, 6)) + 9, [[-5.0, 1, 0, 0, 0, 0]])).astype(np.float32)
+    rows = [(1 + i, v.tolist()) for i, v in enumerate(x[:-1])] + [(1000, x[-1].tolist())]
+    found = [q for q in ann.query(table(spark, rows)).collect() if q.query_id == 1000]
+    assert sorted(q.rank for q in found) == [1, 2, 3, 4, 5]
+
+
+def test_one_id_with_two_vectors_and_other_columns(spark):
+    rows = [(0, [1.0, 0.0], 1, 2), (7, [0.0, 1.0], 1, 2), (7, [1.0, 0.1], 1, 2), (8, [1.0, 1.0], 1, 2)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, list int, q int")
+    assert [(r.rank, r.vec_id) for r in sorted(ann.query(df).collect())] == [(1, 7), (2, 8)]
+
+
 def test_parallel_error_is_what_the_quantiser_avoids():
     r = np.random.default_rng(2)
     x = r.normal(size=(2000, 16))
