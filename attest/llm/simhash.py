@@ -32,6 +32,8 @@ TAU = 4
 BITS = 64
 #: The bound of the sample on which bits are grouped and thresholds allocated; links never depend on it.
 SAMPLE = 20_000
+#: Probes in a partition where they meet, on average.
+MEET = 500_000
 #: A bucket above this size is split again by the bits that its key does not hold, still exactly.
 SPLIT = 3_000
 
@@ -226,7 +228,8 @@ def link_edges(fps: DataFrame, tau: int = TAU) -> DataFrame:
         yield pd.DataFrame({"src": pairs[:, 0], "dst": pairs[:, 1]})
 
     keyed = fps.select("fp").mapInPandas(keys, "part int, key long, own boolean, fp long")
-    return keyed.repartition("part", "key").mapInPandas(meet, "src long, dst long")
+    n = max(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total * sum(len(xs) for _, xs in probes) // MEET))
+    return keyed.repartition(n, "part", "key").mapInPandas(meet, "src long, dst long")
 
 
 def _forest(pairs: np.ndarray) -> np.ndarray:
