@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.parse import INTEGER, NUMBER
@@ -102,3 +102,145 @@ def crate_complaints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = conform.complaints(entities, files)
     n = F.size("complaints")
     return found.select("document", "n_opened", n.cast("long").alias("n_complaints"), conform.read_verdict(n, F.col("n_opened")).alias("reads"))
+
+
+#: A document for each way that one can be told, and what it is.
+_TOLD = (
+    ("a.json", '{"@graph": [{"@id": "./"}, {"@id": "ro-crate-metadata.json", "conformsTo": {"@id": "https://w3id.org/ro/crate/1.1/"}}]}', "ro-crate", "1.1"),
+    ("b.json", '{"conformsTo": "http://mlcommons.org/croissant/1.0"}', "croissant", "1.0"),
+    ("c.jsonld", '{"dct:conformsTo": {"@id": "http://mlcommons.org/croissant/1.1"}, "recordSet": []}', "croissant", "1.1"),
+    ("d.json", '{"cr:recordSet": [NUMBER]}', "croissant", "(undeclared)"),
+    ("e.json", '[{"x": ["http://mlcommons.org/croissant/y"]}]', "croissant", "(expanded)"),
+    ("f.json", '{"@graph": {"@id": "ro-crate-metadata.json"}, "n": NUMBER}', "?", ""),
+    ("g.json", '{"recordSet": [NUMBER', "?", "broken"),
+    ("h.ttl", "@prefix dcat: <http://www.w3.org/ns/dcat#> . # NUMBER", "dcat", "plain"),
+    ("i.TTL", "<http://metadata.psdi.ac.uk/> a <http://www.w3.org/ns/dcat#Dataset> .", "dcat", "psdi"),
+    ("j.ttl", "<a> <b> NUMBER .", "?", ""),
+    ("k.json", "NUMBER", "?", ""),
+)
+_N = len(_TOLD)
+
+
+def _choose(values: list[str]) -> str:
+    return "case page_id % {} {} end".format(len(values), " ".join(f"when {i} then '{v}'" for i, v in enumerate(values)))
+
+
+@register(f"select page_id, {_choose([t[2] for t in _TOLD])} as kind, replace({_choose([t[3] for t in _TOLD])}, 'broken', '') as version, ({_choose([t[3] for t in _TOLD])}) = 'broken' as broken from pages")
+def document_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents told by their content, on the executors."""
+    from ..plans.conform import _READ, _read
+
+    at = (F.col("page_id") % _N).cast("int")
+    chosen = lambda i: F.get(F.array(*[F.lit(t[i]) for t in _TOLD]), at)
+    made = table(spark, sf_dir, "pages").select(F.concat_ws("/", "page_id", chosen(0)).alias("path"), F.replace(chosen(1), F.lit("NUMBER"), F.col("page_id").cast("string")).cast("binary").alias("content"))
+    found = made.mapInPandas(_read, _READ)
+    return found.select(F.split("path", "/")[0].cast("long").alias("page_id"), "kind", "version", F.col("error").isNotNull().alias("broken"))
+
+
+_CARD = '{"@type": "sc:Dataset", "name": "n", "conformsTo": "http://mlcommons.org/croissant/1.1", "distribution": [{"@type": "cr:FileObject", "@id": "f", "contentUrl": "f.csv", "encodingFormat": "text/csv", "sha256": "DIGEST"}], "recordSet": [{"@type": "cr:RecordSet", "@id": "r", "field": [{"@type": "cr:Field", "@id": "r/a", "dataType": "sc:Text", "source": {"fileObject": {"@id": "f"}, "extract": {"column": "a"}}}]}]}'
+#: A change to a sound card, and how many faults it makes.
+_CHANGES = (("", "", 0), ("sc:Dataset", "sc:Thing", 1), ('"name": "n", ', "", 1), ("DIGEST", "not one", 1), ('{"@id": "f"}', '{"@id": "g"}', 1), ('"@id": "r/a"', '"@id": "f"', 1), ('"dataType": "sc:Text", ', "", 1), ('"contentUrl": "f.csv", "encodingFormat": "text/csv", ', "", 2), ('"@type": "cr:FileObject", ', "", 1))
+
+
+@register(f"select page_id, {_choose([str(c[2]) for c in _CHANGES])}::bigint as n_faults from pages")
+def card_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Croissant cards, each with another fault, against the native rules."""
+    from ..plans.conform import _READ, _read
+
+    cards = [_CARD.replace(old, new) if old else _CARD for old, new, _ in _CHANGES]
+    digest = F.sha2(F.col("page_id").cast("string"), 256)
+    made = F.replace(F.get(F.array(*[F.lit(c) for c in cards]), (F.col("page_id") % len(cards)).cast("int")), F.lit("DIGEST"), digest)
+    found = table(spark, sf_dir, "pages").select(F.concat_ws("/", "page_id", F.lit("card.json")).alias("path"), made.cast("binary").alias("content")).mapInPandas(_read, _READ)
+    return found.select(F.split("path", "/")[0].cast("long").alias("page_id"), F.size("faults").cast("long").alias("n_faults"))
+
+
+_ENDS = ("csv", "jsonld", "ttl", "bin")
+_MEDIA = ("text/csv", "application/ld+json", "text/turtle", "application/octet-stream")
+
+
+@register(
+    f"""select 'd/' || doc_id || '.' || case doc_id % 4 when 0 then 'csv' when 1 then 'jsonld' when 2 then 'ttl' else 'bin' end as id, 'File' as type, doc_id || '.' || case doc_id % 4 when 0 then 'csv' when 1 then 'jsonld' when 2 then 'ttl' else 'bin' end as name,
+  strlen(text) as "contentSize", case doc_id % 4 when 0 then '{_MEDIA[0]}' when 1 then '{_MEDIA[1]}' when 2 then '{_MEDIA[2]}' else '{_MEDIA[3]}' end as "encodingFormat", sha256(text) as sha256 from documents where text is not null"""
+)
+def crate_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A crate's entries for files whose contents are texts."""
+    from ..functions.text import media_type
+    from ..sinks.crate import file_entities
+
+    end = F.get(F.array(*[F.lit(e) for e in _ENDS]), (F.col("doc_id") % 4).cast("int"))
+    path = F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit("."), end)
+    files = table(spark, sf_dir, "documents").filter("text is not null").select(path.alias("path"), F.octet_length("text").cast("long").alias("bytes"), F.sha2("text", 256).alias("sha256"))
+    return file_entities(files.withColumn("media_type", media_type(F.col("path")))).withColumnsRenamed({"@id": "id", "@type": "type"})
+
+
+def _project(spark: SparkSession, sf_dir: str):
+    """The profiled tables as a project, whose files are the tables."""
+    from ..catalog import Catalog, DatasetSpec, Variable
+    from ..sinks.project import Project
+
+    found = Project.__new__(Project)
+    specs = {n: DatasetSpec(n, "manual" if n == "labels" else "computed", (f"data/{n}.csv",), source="a person", retrieved="2024-01-01", sha256="0" * 64) for n in _PROFILED}
+    variables = {(n, c): Variable(n, c, "1" if c.startswith("n_") or c in ("quality", "toxic") else None, f"{c} of {n}") for n, columns in _PROFILED.items() for c in columns}
+    about = {"name": "tables", "title": "Some tables", "context": " About them. ", "license": "https://example.org/license", "version": "1", "keywords": ["a", "b"], "date_published": "2024-05-01", "publisher": "P"}
+    found.spark, found.root = spark, "."
+    found.catalog = Catalog(".", about, specs, variables, (), {"psdi": {"access_rights": "open", "landing_page": "https://example.org/"}})
+    sizes = {n: table(spark, sf_dir, n).count() for n in _PROFILED}
+    found.__dict__ |= {
+        "claims": {"relationships": [{"verdict": v, "evidence": {}} for v in ("refuted", "agrees", "unverifiable", "refuted")], "joins": []},
+        "files": {f"data/{n}.csv": Row(bytes=k, sha256=f"{k:064d}") for n, k in sizes.items()},
+        "types": {(r.dataset, r.column): r.type for r in _profiles(spark, sf_dir).collect()},
+    }
+    return found
+
+
+@register(f"select dataset || '_csv' as file, dataset, \"column\", type as data_type, case when starts_with(\"column\", 'n_') or \"column\" in ('quality', 'toxic') then '1' end as unit from ({_TYPES})")
+def croissant_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fields that a card declares of the profiled tables."""
+    from ..plans.conform import card_faults
+    from ..sinks.croissant import NS, build
+
+    card = build(_project(spark, sf_dir))
+    if faults := card_faults(card):
+        raise ValueError("; ".join(faults))
+    rows = [(f["source"]["fileObject"]["@id"], s[f"{NS}dataset"], f["source"]["extract"]["column"], f["dataType"], f.get(f"{NS}unit")) for s in card["recordSet"] for f in s["field"]]
+    return spark.createDataFrame(rows, "file string, dataset string, column string, data_type string, unit string")
+
+
+_SIZES = " union all ".join(f"select '{n}' as t, count(*) as n from {n}" for n in _PROFILED)
+
+
+@register(
+    f"""with f as ({_SIZES}) select 'dct:title' as term, 'Some tables' as value union all select 'dct:identifier', 'tables' union all select 'dct:description', 'About them.' union all select 'dct:issued', '2024-05-01' union all select 'dct:hasVersion', '1'
+  union all select 'dcat:keyword', unnest(['a', 'b']) union all select 'foaf:name', 'P' union all select 'dct:title', t || '.csv' from f union all select 'dcat:downloadURL', 'data/' || t || '.csv' from f union all select 'dcat:mediaType', 'text/csv' from f
+  union all select 'dcat:byteSize', n::varchar from f union all select 'spdx:checksumValue', lpad(n::varchar, 64, '0') from f union all select 'dct:provenance', case when t = 'labels' then 'Put here by hand from a person, retrieved 2024-01-01.' else 'Made by the project''s workflow, whose records name its inputs, code and environment.' end from f
+  union all select 'at:claimsChecked', '4' union all select 'at:claimsRefuted', '2' union all select 'at:claimsUnverifiable', '1'"""
+)
+def dcat_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a catalogue record of the profiled tables says in literals."""
+    from ..sinks import catalogue
+
+    return _literals(catalogue.dcat(_project(spark, sf_dir)).table(spark))
+
+
+def _literals(statements: DataFrame) -> DataFrame:
+    from ..sinks.triples import PREFIXES
+
+    short = F.col("p")
+    for prefix, address in PREFIXES.items():
+        short = F.when(F.col("p").startswith(address), F.concat(F.lit(f"{prefix}:"), F.substr(F.col("p"), F.lit(len(address) + 1)))).otherwise(short)
+    return statements.filter("kind = 'literal'").select(short.alias("term"), F.col("o").alias("value"))
+
+
+@register("select 'exempt' as covered, unnest(['DisplayPriorityPropertyShape', 'IdentifierPropertyShape', 'LogoURLPropertyShape']) as shape union all select 'real', 'closed' union all select 'real', 'IdentifierPropertyShape'")
+def psdi_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record of the profiled tables against the profile: as it is, and with an identifier made up and a term too many."""
+    from ..sinks import catalogue
+    from ..sinks.triples import here
+
+    record = catalogue.psdi(_project(spark, sf_dir))
+    sound = catalogue.shape_findings(record)
+    record.say(here("dataset/tables"), "dct:identifier", "https://resources.psdi.ac.uk/data/none", "xsd:string")
+    record.say(here("dataset/tables"), "foaf:name", "n", "xsd:string")
+    spoilt = catalogue.shape_findings(record)
+    rows = [("exempt", x) for x in sound["exempt"]] + [("real", x) for x in sound["real"] + spoilt["real"]]
+    return spark.createDataFrame([(k, x.split(":")[0]) for k, x in rows], "covered string, shape string")

@@ -25,6 +25,14 @@ def payload(spark: SparkSession, root: str) -> DataFrame:
     return under(spark, root).filter(F.element_at(F.split("path", "/"), -1) != NAME).withColumn("media_type", media_type(F.col("path"))).orderBy("path")
 
 
+def file_entities(files: DataFrame) -> DataFrame:
+    """The crate's entries for files(path, bytes, sha256, media_type), as columns of its JSON."""
+    return files.select(
+        F.col("path").alias("@id"), F.lit("File").alias("@type"), F.element_at(F.split("path", "/"), -1).alias("name"),
+        F.col("bytes").alias("contentSize"), F.col("media_type").alias("encodingFormat"), "sha256",
+    )
+
+
 def build(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> dict[str, Any]:
     about = read(root).project if (Path(root) / CONTEXT).is_file() else {}
     name = about.get("title") or about.get("name") or os.path.basename(os.path.abspath(root))
@@ -35,11 +43,8 @@ def build(spark: SparkSession, root: str, exclude: tuple[str, ...] = ()) -> dict
         "description": about.get("context", "").strip() or name,
         "datePublished": str(about.get("date_published") or date.today().isoformat()),
     }
-    files = [
-        {"@id": r.path, "@type": "File", "name": os.path.basename(r.path), "contentSize": r.bytes, "encodingFormat": r.media_type, "sha256": r.sha256}
-        for r in payload(spark, root).collect()  # a crate lists its files
-        if r.path not in exclude
-    ]
+    listed = file_entities(payload(spark, root).filter(~F.col("path").isin(list(exclude)))).collect()  # a crate lists its files
+    files = [r.asDict() for r in listed]
     top["hasPart"] = [{"@id": f["@id"]} for f in files]
     extra = []
     if license_ := str(about.get("license") or ""):

@@ -15,7 +15,7 @@ from attest.plans.check import check, summary
 from attest.plans.conform import as_text, classify, sweep, tokens
 from attest.sinks import catalogue, crate, croissant, figures, graph, prov, registry, scaffold
 from attest.sinks.project import Project
-from attest.sinks.triples import Statements, challenged, evidence_paths, iri, ntriples, turtle
+from attest.sinks.triples import Statements, challenged, evidence_paths, here, iri, ntriples, turtle
 
 CONTEXT = """
 [project]
@@ -146,6 +146,27 @@ def test_psdi_has_what_the_profile_wants_and_refuses_what_it_cannot_carry(spark,
             catalogue.psdi(Project(spark, str(tmp_path)))
 
 
+def test_an_exemption_covers_a_missing_value_only(spark, root, tmp_path):
+    ds, p = here("dataset/p"), Project(spark, str(root))
+    record = catalogue.psdi(p)
+    ds = next(s for s, t, o, *_ in record.rows() if o == iri("dcat:Dataset"))
+    less = catalogue.shape_findings(record, tuple(x for x in catalogue.EXEMPT if "Identifier" not in x))
+    assert len(less["exempt"]) == 2 and "IdentifierPropertyShape" in less["real"][0]
+    for term, value, kind, words in [
+        ("dct:identifier", "https://resources.psdi.ac.uk/data/definitely-not", "xsd:string", "an exemption is for a missing one"),
+        ("dct:accessRights", "https://example.org/own", None, "is not allowed"),
+        ("dct:issued", "soon", "xsd:string", "is no xsd:dateTime"),
+        ("dct:title", "another", "xsd:string", "said 2 times"),
+        ("foaf:name", "n", "xsd:string", "may not say"),
+    ]:
+        record = catalogue.psdi(p)
+        record.say(ds, term, value, kind) if kind else record.link(ds, term, value)
+        assert any(words in x for x in catalogue.shape_findings(record)["real"]), term
+    (tmp_path / "context.toml").write_text(CONTEXT.replace("keywords", "no_keywords"))
+    (tmp_path / "data").mkdir()
+    assert "none is made up" in catalogue.shape_findings(catalogue.psdi(Project(spark, str(tmp_path))))["real"][0]
+
+
 def test_conformance_keeps_two_verdicts_apart(spark, root, tmp_path):
     for d in ("data", "results"):
         (tmp_path / d).mkdir()
@@ -161,8 +182,8 @@ def test_conformance_keeps_two_verdicts_apart(spark, root, tmp_path):
     crate.write(spark, str(tmp_path))
     got = sweep(spark, str(tmp_path))
     at = {Path(f["path"]).relative_to(tmp_path).as_posix(): (f["kind"], f["validates"], f["reads"], f["status"]) for f in got["findings"]}
-    assert at["card.json"] == ("croissant", "UNKNOWN", "PASS", "UNKNOWN")
-    assert at["results/card.jsonld"] == ("croissant", "UNKNOWN", "FAIL", "FAIL")
+    assert at["card.json"] == ("croissant", "PASS", "PASS", "PASS")
+    assert at["results/card.jsonld"] == ("croissant", "PASS", "FAIL", "FAIL") and got["validated_but_unreadable"] == 1
     assert at["cut.json"] == ("?", "UNKNOWN", "UNKNOWN", "UNKNOWN")
     assert at["dcat.ttl"][2] == "PASS" and at["bad.ttl"][1] == "FAIL" and at["ro-crate-metadata.json"][2] == "PASS"
     assert [Path(f["path"]).name for f in got["skipped"]] == ["other.json"]
