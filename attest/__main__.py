@@ -57,8 +57,10 @@ def _grade(spark, a) -> int:
             print(f"gone: {r.path}, made by rule {r.rule}" + (f"; {r.regenerate}" if r.regenerate else ""))
         print(f"{len(rows)} of {n} recorded outputs are gone" if n else "no output is on record, so nothing was compared")
         return 1 if rows or not n else 0
-    report = grading.report(spark, a.root, a.paths or None, a.reproduced or ())
-    for path, g in report["grades"].items():
+    report = grading.report(spark, a.root, a.paths or None, a.reproduced or (), f"{a.json}.d" if a.json else None)
+    if "written_to" in report["grades"]:
+        print(f"{report['grades']['rows']} grades are in {report['grades']['written_to']}")
+    for path, g in report["grades"].items() if "written_to" not in report["grades"] else ():
         print(f"{g['grade']:<11}{'stale ' if g['stale'] else '      '}{path}: {g['why']}")
     print(f"{report['quotable']} of {report['files']} quotable: {report['by_grade']}")
     if a.json:

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from ..catalog import CONTEXT, read
 from ..operators import provenance
+from ..operators.durable import settled
+from ..session import listed
 from ..sources import files, store
 
 
@@ -42,14 +44,15 @@ def vanished(spark: SparkSession, root: str) -> tuple[DataFrame, int]:
     return provenance.vanished(known, files.under(spark, root)), keys.count()
 
 
-def report(spark: SparkSession, root: str, paths: list[str] | None = None, reproduced: list[str] = ()) -> dict:
-    graded = grade_project(spark, root, paths, reproduced)
-    rows = [r.asDict() for r in graded.collect()]
-    counts = {r.grade: r.n for r in provenance.counts(graded).orderBy("grade").collect()}
+def report(spark: SparkSession, root: str, paths: list[str] | None = None, reproduced: list[str] = (), folder: str | None = None) -> dict:
+    """Counts, and the grade of every file; those of very many go to ``folder``."""
+    graded = settled(grade_project(spark, root, paths, reproduced))
+    total = graded.agg(F.count(F.lit(1)).alias("n"), F.count_if("quotable").alias("quotable")).first()
+    rows = listed(graded.orderBy("path"), folder, "grades")
     return {
         "root": root,
-        "files": len(rows),
-        "quotable": sum(r["quotable"] for r in rows),
-        "by_grade": counts,
-        "grades": {r["path"]: {k: v for k, v in r.items() if k not in ("path", "extra")} | r["extra"] for r in rows},
+        "files": total.n,
+        "quotable": total.quotable,
+        "by_grade": {r.grade: r.n for r in provenance.counts(graded).orderBy("grade").collect()},
+        "grades": {r.pop("path"): {k: v for k, v in r.items() if k != "extra"} | r["extra"] for r in rows} if isinstance(rows, list) else rows,
     }

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..catalog import Catalog, read
 from ..errors import JobError
 from ..operators import jobs as rules
+from ..session import listed
 
 TEXTS = ("id", "question", "check", "verdict", "started", "ended", "agent", "superseded_by", "note")
 LISTS = ("expected", "generated")
@@ -93,6 +94,6 @@ class JobLog:
         counts = {r.verdict: r.n for r in rules.by_verdict(self.jobs).orderBy("verdict").collect()}
         return rules.summary(self.jobs).first().asDict() | {"by_verdict": counts}
 
-    def report(self) -> dict:
-        """What is published: the summary and every job, so it is as large as the log."""
-        return {"summary": self.summary(), "source": self.source, "jobs": [r.asDict() for r in self.derived.orderBy("line").drop("line").collect()]}
+    def report(self, folder: str | None = None) -> dict:
+        """What is published: the summary and every job; those of a long log go to ``folder``."""
+        return {"summary": self.summary(), "source": self.source, "jobs": listed(self.derived.orderBy("line").drop("line"), folder, "jobs")}

@@ -9,12 +9,13 @@ import os
 
 import pytest
 
-from attest.errors import JobError
+from attest.errors import AttestError, JobError
 from attest.operators import jobs as rules
 from attest.operators.provenance import GRADES
 from attest.plans import grading
 from attest.sources import store
 from attest.sources.joblog import JobLog
+from attest.sources.store import run_record
 
 GOOD = {"id": "j", "question": "why", "expected": ["a"], "check": "", "verdict": "agrees", "generated": ["a"], "started": "2024-01-01", "ended": "", "agent": ""}
 
@@ -156,3 +157,32 @@ def test_a_stream_of_logs_stops_at_a_bad_line(spark, tmp_path):
     q = joblog.records(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("bad_jobs").trigger(availableNow=True).start()
     with pytest.raises(Exception, match="not json"):
         q.awaitTermination()
+
+
+def test_long_reports_are_written_by_the_executors(spark, tmp_path, monkeypatch):
+    from attest import session
+
+    df = spark.range(30).selectExpr("id", "cast(id as string) as path")
+    assert session.listed(df, None, "things", 30)[3] == {"id": 3, "path": "3"}
+    with pytest.raises(AttestError, match="more than 29 things"):
+        session.listed(df, None, "things", 29)
+    told = session.listed(df, str(tmp_path), "things", 29)
+    assert told == {"written_to": f"{tmp_path}/things", "rows": 30} and spark.read.json(told["written_to"]).count() == 30
+
+
+def test_one_record_is_found_by_its_name(spark, tmp_path):
+    top = tmp_path / ".snakemake/metadata"
+    top.mkdir(parents=True)
+    for key in ("results/a.csv", str(tmp_path / "results/b.csv"), "results/" + "long" * 40):
+        name = base64.urlsafe_b64encode(key.encode()).decode()
+        folder = top
+        while len(name) > 100:
+            folder, name = folder / f"@{name[:50]}", name[50:]
+        folder.mkdir(parents=True, exist_ok=True)
+        (folder / name).write_text(json.dumps({"rule": key[-5:]}))
+    (top / "bm90IGpzb24=").write_text("not json")
+    assert run_record(spark, str(tmp_path), "results/a.csv")["rule"] == "a.csv"
+    assert run_record(spark, str(tmp_path), str(tmp_path / "results/a.csv"))["rule"] == "a.csv"
+    assert run_record(spark, str(tmp_path), "results/b.csv")["rule"] == "b.csv"
+    assert run_record(spark, str(tmp_path), "results/" + "long" * 40)["rule"] == "glong"
+    assert run_record(spark, str(tmp_path), "results/c.csv") is None and run_record(spark, str(tmp_path), "not json") is None
