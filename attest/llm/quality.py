@@ -30,7 +30,9 @@ MIN_WORDS = 20
 REPEAT_PERCENT = 30
 BUCKETS = 1 << 14
 TRUSTED_ROWS = 20_000
-#: In nats per n-gram.  Prose like the trusted rows scores a little above zero, lists, symbols and shouting well below.
+#: In nats per n-gram.  Prose like the trusted rows scores a little above zero, lists, symbols and shouting well below.  Set
+#: between the labels' two classes: of 3,302 labelled rows of quality 1 that pass the base rules the least has -0.057, and 97%
+#: of 301 of quality 0 lie below -0.08, half of them below -1.2 (10,000 documents).
 THRESHOLD = -0.08
 
 
