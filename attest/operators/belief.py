@@ -11,7 +11,7 @@ along rests-on edges any number of times, then across one symmetric peer edge an
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -224,15 +224,14 @@ class BeliefGraph:
             F.count_if("carries_caveat").alias("carrying"),
         )
         given = self.all_caveats.agg(F.count_distinct("claim").alias("caveats"), F.count(F.lit(1)).alias("caveat_deliveries"))
-        return (
-            claims.crossJoin(given)  # each is one row of counts
-            .crossJoin(self.nodes.agg(F.count(F.lit(1)).alias("nodes")))
-            .crossJoin(self.rests_on.agg(F.count_distinct("artefact").alias("artefacts")))
-            .crossJoin(self.stale_table().agg(F.count(F.lit(1)).alias("stale_pairs")))
-            .crossJoin(self.contradictions().agg(F.count(F.lit(1)).alias("contradictory_triples")))
-            .withColumn("caveats_undeliverable", F.when(F.col("artefacts") == 0, F.col("carrying")).otherwise(F.lit(0).cast("long")))
-            .drop("carrying")
-        )
+        rest = {"nodes": self.nodes, "stale_pairs": self.stale_table(), "contradictory_triples": self.contradictions()}
+        counts = [df.agg(F.count(F.lit(1)).alias(name)) for name, df in rest.items()]
+        counts.append(self.rests_on.agg(F.count_distinct("artefact").alias("artefacts")))
+        # One row of counts each: they are put under each other and then side by side.
+        named = [df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).alias("n")) for c in df.columns]))) for df in (claims, given, *counts)]
+        names = [c for df in (claims, given, *counts) for c in df.columns]
+        one = reduce(DataFrame.union, named).agg(*[F.max(F.when(F.col("name") == c, F.col("n"))).alias(c) for c in names])
+        return one.withColumn("caveats_undeliverable", F.when(F.col("artefacts") == 0, F.col("carrying")).otherwise(F.lit(0).cast("long"))).drop("carrying")
 
     def by_status(self) -> DataFrame:
         return self.claims.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
