@@ -43,7 +43,7 @@ ROUNDS = 4
 #: Rows of a block of queries and of candidates.  A candidate is sent and coded once for each block of queries.
 QUERIES, ROWS = 32768, 4096
 #: Rows of a list on average, as long as there are no more than CENTRES_MOST lists; queries of the sample that tell how many to look into.
-PER_LIST, CENTRES_MOST = 512, 256
+PER_LIST, CENTRES_MOST = 2048, 256
 ASKED, RECALL = 400, 0.99
 #: One in so many of a block's rows, and at least LEAST, are reranked to find the bound for all others.
 KEEP, LEAST = 32, 40
