@@ -127,8 +127,8 @@ class Encoder:
         raw, kind, head = raw[solid], kind[solid], head[:-1][solid]
         if not len(raw):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        # The multiplication and the division sign, and the start of a special token.
-        pair = (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7)) | (raw[:-1] == 60) & (raw[1:] == 124)
+        # The multiplication and the division sign, a capital whose small form is a letter and a mark, and the start of a special token.
+        pair = (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7)) | (raw[:-1] == 0xC4) & (raw[1:] == 0xB0) | (raw[:-1] == 60) & (raw[1:] == 124)
         kind[:-1][pair] = _ODD
         runs = np.flatnonzero(head)
         whole = np.repeat(np.maximum.reduceat(kind, runs) == _ODD, np.diff(runs, append=len(raw)))
@@ -334,14 +334,18 @@ def slots(groups: list[tuple[list[int], int]], size: int = SIZE) -> tuple[np.nda
 
 
 def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
-    """Add sequence_id and offset to pieces (a table that can be read again)."""
+    """Add sequence_id and offset to pieces (a table that can be read again).
+
+    A column _salt, written with the table, tells repeated rows apart, so that they are dealt out too.
+    """
     hist = np.zeros(size + 1, np.int64)
     for length, n in cut.groupBy("length").count().collect():
         hist[length] = n
     groups, _ = plan(hist, size)
     keys, firsts, offsets = slots(groups, size)
     n_buckets = max(64, int(hist.sum()) // 50_000)
-    cut = cut.withColumn("_bucket", F.expr(f"cast(pmod(xxhash64(doc_id, piece, ids_crc32), {n_buckets}) as int)"))
+    salt = ", _salt" if "_salt" in cut.columns else ""
+    cut = cut.withColumn("_bucket", F.expr(f"cast(pmod(xxhash64(doc_id, piece, ids_crc32{salt}), {n_buckets}) as int)"))
     before = cut.groupBy("length", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = before.selectExpr("length", "_bucket", "coalesce(sum(_n) over (partition by length order by _bucket rows between unbounded preceding and 1 preceding), 0) as _before")
     ranked = cut.selectExpr("*", "row_number() over (partition by length, _bucket order by doc_id, piece) - 1 as _row")
@@ -357,4 +361,4 @@ def pack(cut: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def query(docs: DataFrame, tokenizer: str) -> DataFrame:
-    return pack(written(pieces(docs, tokenizer)))
+    return pack(written(pieces(docs, tokenizer).withColumn("_salt", F.monotonically_increasing_id())))

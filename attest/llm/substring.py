@@ -43,6 +43,8 @@ WINDOW = 35
 GRAM = 8
 #: UTF-8 bytes of text in a block.
 BLOCK = 4 << 20
+#: A block of so many times that is dealt anew.
+LARGE = 8
 #: Texts are hashed together up to about so many bytes.
 CHUNK = 1 << 20
 #: Phrases of one anchor that a reference block takes.
@@ -355,14 +357,19 @@ def _finish(docs: pd.DataFrame, marks: pd.DataFrame, with_text: bool) -> pd.Data
     return got
 
 
-def _blocks(docs: DataFrame) -> int:
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(1, -(-size // BLOCK))
+def dealt(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, text and the row's block, and the number of blocks.
 
-
-def dealt(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id (as text, which holds large ids and nulls), text and the row's block."""
-    return docs.select("doc_id", "text", F.expr(f"cast(pmod(xxhash64(doc_id, text), {n}) as int)").alias("block"))
+    A row's block comes from its hash, so that it is the same in every job.  If that makes a block of many times BLOCK, which
+    takes very many repeats of one row or one very long text, rows get a number too and are written with it.
+    """
+    size = F.octet_length("text").cast("long") + 16
+    n = max(1, -(-(docs.agg(F.sum(size)).first()[0] or 0) // BLOCK))
+    most = docs.select(F.expr(f"pmod(xxhash64(doc_id, text), {n})").alias("block"), size.alias("size")).groupBy("block").agg(F.sum("size").alias("size")).agg(F.max("size")).first()[0]
+    key = "doc_id, text"
+    if (most or 0) > LARGE * BLOCK:
+        docs, key = written(docs.withColumn("_salt", F.monotonically_increasing_id())), "doc_id, text, _salt"
+    return docs.select("doc_id", "text", F.expr(f"cast(pmod(xxhash64({key}), {n}) as int)").alias("block")), n
 
 
 def _twice(rows: DataFrame, *key: str) -> DataFrame:
@@ -406,9 +413,8 @@ def _removed(rows: DataFrame, n_blocks: int, with_text: bool) -> DataFrame:
 
 def removed(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of every row."""
-    n = _blocks(docs)
     rows = docs.select(F.col("doc_id").cast("long").cast("string").alias("doc_id"), "text")
-    return _removed(dealt(rows, n), n, False).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return _removed(*dealt(rows), False).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 #: So that JSON keeps microseconds.
@@ -419,8 +425,7 @@ def cleaned(docs: DataFrame) -> DataFrame:
     """docs with the duplicate windows' words gone from ``text``; a text that loses none stays as it is, another becomes
     its kept words joined by one space.  The other columns go along as JSON, so no join is needed."""
     others = [c for c in docs.columns if c != "text"]
-    n = _blocks(docs)
-    rows = dealt(docs.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in others]), _JSON).alias("doc_id"), "text"), n)
+    rows, n = dealt(docs.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in others]), _JSON).alias("doc_id"), "text"))
     kinds = docs.select(*[F.col(f"`{c}`") for c in others]).schema
     found = _removed(rows, n, True).select(F.from_json("doc_id", kinds, _JSON).alias("_o"), "text")
     return found.select(*[F.col("text") if c == "text" else F.col("_o")[c].alias(c) for c in docs.columns])

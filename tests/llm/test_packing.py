@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from attest.llm import packing
@@ -114,3 +115,31 @@ def test_a_common_length_is_spread(spark):
     rows = packing.pack(cut).collect()
     places = {(r.sequence_id, r.offset) for r in rows}
     assert len(places) == 3000
+
+
+def test_repeats_of_one_row_are_dealt_out(spark, tokenizer):
+    rows = [(None, "the same words")] * 1000
+    cut = packing.written(packing.pieces(documents(spark, rows), PATH).withColumn("_salt", F.monotonically_increasing_id()))
+    assert cut.selectExpr("pmod(xxhash64(doc_id, piece, ids_crc32, _salt), 64) as b").groupBy("b").count().agg(F.max("count")).first()[0] < 60
+    n, least = check(packing.query(documents(spark, rows), PATH).collect(), rows, tokenizer)
+    assert n <= 1.03 * least + 1
+
+
+def test_other_columns_with_names_of_the_result(spark, tokenizer):
+    df = spark.createDataFrame([(1, "some words", 5, 6, "x"), (2, None, None, None, None)], "doc_id long, text string, length long, offset long, _bucket string")
+    found = packing.query(df, PATH).collect()
+    check(found, [(1, "some words"), (2, None)], tokenizer)
+
+
+def test_units_of_all_kinds_are_as_the_library_has_them(tokenizer):
+    import pyarrow as pa
+
+    r = random.Random(11)
+    signs = ["a", "B", "z", "\u00c9", "\u00df", "\u00d7", "\u00f7", "\u0130", "\u0131", "\u0301", "\u0393", "\u03a3", "\u6f22", "\u00a0", "\u2028", "\U0001f600", "0", "9", "\u0663", "'", "'s", "'LL", "<|", "|>", "<|endoftext|>", ".", ",!", "_", "\x01", "\x1c", "\x7f", " ", "  ", "\t", "\n", "\u01c5", "\u0240", "J\u030c", "\u1e9e"]
+    texts = ["".join(r.choice(signs) for _ in range(r.randrange(0, 30))) for _ in range(3000)] + [None, ""]
+    texts += [form.format(chr(c)) for c in range(0x80, 0x260) for form in ("a{0}b", ".{0}!", "{0}", "9{0}{0}'")]
+    own = packing.Encoder(PATH)
+    for some in (texts, texts[::-1]):
+        ids, offsets = own.encode(pa.array(some, pa.string()))
+        for t, s, e in zip(some, offsets[:-1].tolist(), offsets[1:].tolist()):
+            assert ids[s:e].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids, repr(t)

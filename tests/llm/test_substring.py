@@ -144,3 +144,12 @@ def test_other_columns_and_clashing_names(spark):
 
 def got_frame(df):
     return Counter(map(tuple, df.collect()))
+
+
+def test_very_many_repeats_of_one_row_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(substring, "BLOCK", 2000)
+    rows = [(None, prose(40, 1))] * 300 + [(i, prose(20, 100 + i)) for i in range(20)]
+    df = documents(spark, rows)
+    blocks = substring.dealt(df.select("doc_id", "text"))[0].groupBy("block").count().collect()
+    assert max(r["count"] for r in blocks) < 60
+    assert got(spark, rows) == plain(rows)
