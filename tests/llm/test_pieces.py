@@ -77,3 +77,18 @@ def test_the_query_returns_the_ids(spark):
     found = pieces.query(documents(spark, rows), PATH)
     assert all(len(r.ids) == r.n_ids and zlib.crc32(np.array(r.ids, "<u4").tobytes()) == r.ids_crc32 for r in found.collect())
     assert {(r.doc_id, r.text) for r in pieces.decoded(found, PATH).collect()} == {(i, t or "") for i, t in rows}
+
+
+def test_very_long_texts_and_other_columns(spark, library):
+    r = random.Random(8)
+    long = [" ".join(str(r.randrange(10**6)) for _ in range(100_000)), "x" * 60_000, "word " * 200_000]
+    df = spark.createDataFrame([(i, t, 1, "y", [7]) for i, t in enumerate(long)], "doc_id long, text string, n_ids int, exact string, ids array<int>")
+    found = {x.doc_id: x for x in pieces.query(df, PATH).collect()}
+    for i, t in enumerate(long):
+        assert found[i].ids == library.encode(t) and found[i].exact
+
+
+def test_repeated_rows_and_an_empty_table(spark):
+    rows = [(4, "same words"), (4, "same words"), (None, "same words")]
+    assert len({tuple(x.ids) for x in pieces.query(documents(spark, rows), PATH).collect()}) == 1
+    assert pieces.query(documents(spark, rows), PATH).count() == 3 and pieces.query(documents(spark, []), PATH).count() == 0

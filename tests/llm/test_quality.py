@@ -84,3 +84,27 @@ def test_no_python_on_the_executors(spark):
     docs = spark.createDataFrame([(1, prose(30, 1))], "doc_id long, text string")
     plan = quality.judged(docs, spark.createDataFrame([(1, 1)], "doc_id long, quality int"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_very_long_texts_and_other_columns(spark):
+    long = " ".join(str(i * i % 99_991) for i in range(60_000))
+    rows = [(1, long), (2, "again " * 30_000), (3, "x" * 300_000), (4, "line\n" * 20_000)]
+    docs = spark.createDataFrame([(*r, 1, [2], "k") for r in rows], "doc_id long, text string, n_words int, h array<int>, kept string")
+    labels = spark.createDataFrame([(1, 1, "x")], "doc_id long, quality int, text string")
+    found = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality.judged(docs, labels).collect())
+    assert found == Counter((i, *fast_base(t)) for i, t in rows)
+
+
+def fast_base(text: str):
+    """plain_base in linear time."""
+    w = words(text)
+    seen: set[str] = set()
+    dup = 0
+    for x in text.split("\n"):
+        if words(x):
+            dup += x in seen
+            seen.add(x)
+    windows = [tuple(w[i : i + 8]) for i in range(len(w) - 7)]
+    n = Counter(windows)
+    covered = {i + k for i, x in enumerate(windows) if n[x] > 1 for k in range(8)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(covered), len(w) < 20 or 100 * len(covered) > 30 * len(w)

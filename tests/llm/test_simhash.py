@@ -115,3 +115,19 @@ def test_representatives_keep_the_smallest(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     found = sorted(simhash.representatives(df).collect(), key=str)
     assert [(r.doc_id, r.text) for r in found] == [(3, "a b c d e"), (9, "f g h i j"), (9, "k l m n o"), (None, "p q r s t")]
+
+
+def test_very_long_texts_and_other_columns(spark):
+    long = " ".join(str(i * i % 9973) for i in range(150_000))
+    rows = [(1, long), (2, long + " end"), (3, "x" * 400_000), (4, "again " * 100_000)]
+    df = spark.createDataFrame([(*r, 5, "r", 7) for r in rows], "doc_id long, text string, fp int, root string, component_id int")
+    found = Counter((r.doc_id, r.fingerprint, r.component_id) for r in simhash.query(df).collect())
+    assert found == plain_components(rows)
+    assert sorted(r.doc_id for r in simhash.representatives(df).collect()) == [1, 3, 4]
+
+
+def test_small_partitions_give_the_same(spark, monkeypatch):
+    base = prose(200, 5).split()
+    rows = [(i, " ".join(base[: 150 + i % 50])) for i in range(60)] + [(100 + i, prose(40, i)) for i in range(30)]
+    monkeypatch.setattr(simhash, "MEET", 50)
+    assert got(spark, rows) == plain_components(rows)
