@@ -1,18 +1,24 @@
 """Reachability over directed edges, cycles and self-loops included.
 
-All pairs come by path doubling: a round joins the pairs that the last one found with all that are known, so paths of up
-to twice the length are known after it, and a chain of n nodes takes about log2(n) rounds.  Where paths start at given
-seeds only, doubling would find pairs of all nodes; there a round takes the last one's pairs one edge further, and
-there are as many rounds as the longest of the shortest paths has edges.  A round ends in a reliable checkpoint, so
-lineage stays short and a lost executor costs one round.  A graph of at most ``DRIVER_EDGES`` edges and ``DRIVER_PAIRS``
-pairs is closed on the driver instead, with the same result; both bounds are tested, never assumed.
+There are three ways to the same pairs; each bound is tested on the edges themselves, never assumed:
+
+* up to ``DRIVER_EDGES`` edges and ``DRIVER_PAIRS`` pairs: on the driver, so that the result is part of the plan;
+* up to ``SENT_EDGES`` edges: the edges go to every executor (some megabytes), and each start is walked where it is, so
+  there are no rounds, and pairs are made by all executors and moved by none;
+* beyond: rounds of joins, each ended by a reliable checkpoint, so lineage stays short and a lost executor costs one
+  round.  All pairs come by path doubling: a round joins the pairs that the last one found with all that are known, and a
+  chain of n nodes takes about log2(n) rounds.  Where paths start at given seeds only, doubling would find pairs of all
+  nodes; there a round takes the last one's pairs one edge further.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +27,10 @@ from .durable import settled
 
 DRIVER_EDGES = 2_000
 DRIVER_PAIRS = 20_000
+SENT_EDGES = 200_000
 PAIRS = "src string, dst string"
+#: Pairs of a batch, about.
+WALKED = 200_000
 #: Rounds whose pairs are kept apart.
 PARTS = 8
 
@@ -63,17 +72,59 @@ def _closed(edges: list[tuple[str, str]], starts: set[str] | None) -> list[tuple
     return pairs
 
 
-def closure(edges: DataFrame, seeds: DataFrame | None = None, driver_edges: int = DRIVER_EDGES) -> DataFrame:
+def _walked(spark, edges: list[tuple[str, str]], starts: DataFrame) -> DataFrame:
+    """Pairs from starts(src), each walked on an executor over edges that all of them hold."""
+    names = sorted({n for e in edges for n in e})
+    number = {n: i for i, n in enumerate(names)}
+    after: list[list[int]] = [[] for _ in names]
+    for a, b in edges:
+        after[number[a]].append(number[b])
+    held = spark.sparkContext.broadcast((names, number, after))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names, number, after = held.value
+        text = np.array(names, object)
+        for pdf in batches:
+            src, dst, size = [], [], 0
+            for name in pdf["src"]:
+                start = number.get(name)
+                if start is None:
+                    continue
+                seen = bytearray(len(names))
+                seen[start] = 1
+                found, open_ = [], [start]
+                while open_:
+                    for node in after[open_.pop()]:
+                        if not seen[node]:
+                            seen[node] = 1
+                            found.append(node)
+                            open_.append(node)
+                src.append(np.repeat(start, len(found)))
+                dst.append(np.array(found, np.int64))
+                size += len(found)
+                if size > WALKED:
+                    yield pd.DataFrame({"src": text[np.concatenate(src)], "dst": text[np.concatenate(dst)]})
+                    src, dst, size = [], [], 0
+            if size:
+                yield pd.DataFrame({"src": text[np.concatenate(src)], "dst": text[np.concatenate(dst)]})
+
+    return starts.repartition(spark.sparkContext.defaultParallelism).mapInPandas(walk, PAIRS)
+
+
+def closure(edges: DataFrame, seeds: DataFrame | None = None, driver_edges: int = DRIVER_EDGES, sent_edges: int | None = None) -> DataFrame:
     """(src, dst): what each node reaches by one edge or more, itself left out.
 
-    edges(src, dst) as text.  seeds(src) restricts where paths start; without them every node does.
+    edges(src, dst) as text.  seeds(src) restricts where paths start; without them every node does.  Without driver_edges
+    nothing is done on the driver, and without sent_edges, which are as many as driver_edges allow, no edges are sent.
     """
     spark = edges.sparkSession
     edges = edges.select("src", "dst").filter("src is not null and dst is not null").distinct()
-    small = _small(edges, driver_edges)
-    if small is not None and (pairs := _closed(small, None if seeds is None else {r[0] for r in _few(seeds, len(small))})) is not None:
+    some = _small(edges, driver_edges and (SENT_EDGES if sent_edges is None else sent_edges))
+    if some is not None and len(some) <= driver_edges and (pairs := _closed(some, None if seeds is None else {r[0] for r in _few(seeds, len(some))})) is not None:
         found = small_table(spark, pairs, PAIRS)
         return found if seeds is None else found.join(seeds.select("src").distinct(), "src", "left_semi")
+    if some is not None:
+        return _walked(spark, some, edges.select("src").distinct() if seeds is None else seeds.select("src").distinct())
     edges = settled(edges.filter("src <> dst"))
     new = edges if seeds is None else settled(edges.join(seeds.select("src").distinct(), "src", "left_semi"))
     parts = [new]

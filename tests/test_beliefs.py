@@ -185,3 +185,14 @@ def test_many_pairs_of_few_edges_are_not_closed_on_the_driver(spark, monkeypatch
     assert {tuple(r) for r in found.collect()} == {(x, y) for x in "abcde" for y in "abcde" if x != y}
     seeds = spark.createDataFrame([("a",)], "src string")
     assert {tuple(r) for r in closure_module.closure(edges, seeds).collect()} == {("a", y) for y in "bcde"}
+
+
+@pytest.mark.parametrize("with_seeds", [False, True])
+def test_three_ways_give_the_same_pairs(spark, monkeypatch, with_seeds):
+    r = random.Random(4)
+    rows = [(f"v{r.randrange(40)}", f"v{r.randrange(40)}") for _ in range(70)] + [("v1", None), (None, "v2"), ("a", "a")]
+    edges = spark.createDataFrame(rows, "src string, dst string")
+    seeds = spark.createDataFrame([("v1",), ("v2",), ("absent",), ("v1",), ("a",)], "src string") if with_seeds else None
+    monkeypatch.setattr(closure_module, "WALKED", 10)
+    ways = [{tuple(x) for x in closure_module.closure(edges, seeds, **how).collect()} for how in ({}, {"driver_edges": 1}, {"driver_edges": 0})]
+    assert ways[0] == ways[1] == ways[2] and ways[0]
