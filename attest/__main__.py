@@ -1,4 +1,4 @@
-"""``python -m attest check|belief|grade|emit|figures|conform|scaffold ...``: exit codes tell what was found."""
+"""``python -m attest check|belief|grade|emit|figures|conform|selftest|scaffold ...``: exit codes tell what was found."""
 
 from __future__ import annotations
 
@@ -101,6 +101,15 @@ def _conform(spark, a) -> int:
     return 1 if report["by_status"].get("FAIL", 0) + report["by_status"].get("UNKNOWN", 0) else 0
 
 
+def _selftest(spark, a) -> int:
+    from .plans.selftest import run
+
+    tried = run(spark)
+    for what, right in tried:
+        print(f"{'ok' if right else 'WRONG':<6}{what}")
+    return 0 if all(right for _, right in tried) else 1
+
+
 def _scaffold(spark, a) -> int:
     from .sinks.scaffold import scaffold
 
@@ -127,6 +136,7 @@ def main(argv: list[str] | None = None) -> int:
     command("emit", _emit, (("format",), {"nargs": "?"}), root, out, (("--list",), {"action": "store_true"}))
     command("figures", _figures, (("root",), {}), (("out",), {}))
     command("conform", _conform, root, (("--json",), {"action": "store_true"}))
+    command("selftest", _selftest)
     command("scaffold", _scaffold, (("directory",), {}), (("data",), {"nargs": "+"}), (("--force",), {"action": "store_true"}))
     a = top.parse_args(argv)
     spark = session(os.environ.get("ATTEST_MASTER", "local[*]"))

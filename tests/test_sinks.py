@@ -273,3 +273,9 @@ def test_the_command_line(spark, root, monkeypatch, capsys):
     assert main(["emit", "--list"]) == 0 and main(["emit", "pdf", str(root)]) == 2
     assert main(["conform", str(root)]) == 1
     assert main(["grade", str(root), "--check"]) == 1 and main(["grade", str(root), "--vanished"]) == 1
+
+
+def test_the_checks_tell_right_from_wrong(spark, capsys, monkeypatch):
+    assert main(["selftest"]) == 0 and "WRONG" not in capsys.readouterr().out
+    monkeypatch.setattr("attest.plans.selftest.card_faults", lambda doc: [])
+    assert main(["selftest"]) == 1 and "WRONG a card without a digest does not" in capsys.readouterr().out
