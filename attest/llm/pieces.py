@@ -303,12 +303,12 @@ def encoded(docs: DataFrame, model: str, with_ids: bool = False) -> DataFrame:
                 ids, offsets = own.encode(rows.column("text"))
                 parts = [ids[s:e] for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 exact = [own.decode_bytes(p) == (t or "").encode("utf-8", "surrogatepass") for p, t in zip(parts, rows.column("text").to_pylist())]
-                arrays = [rows.column("doc_id"), pa.array([len(p) for p in parts], pa.int64()), pa.array([zlib.crc32(p.astype("<u4")) for p in parts], pa.int64()), pa.array(exact, pa.bool_())]
+                arrays = [rows.column("doc_id"), pa.array(np.diff(offsets), pa.int64()), pa.array([zlib.crc32(p.astype("<u4")) for p in parts], pa.int64()), pa.array(exact, pa.bool_())]
                 if with_ids:
-                    arrays.append(pa.array([p.astype(np.int64) for p in parts], pa.list_(pa.int64())))
+                    arrays.append(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32())))
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_ids", "ids_crc32", "exact", "ids"][: len(arrays)])
 
-    schema = "doc_id long, n_ids long, ids_crc32 long, exact boolean" + ", ids array<long>" * with_ids
+    schema = "doc_id long, n_ids long, ids_crc32 long, exact boolean" + ", ids array<int>" * with_ids
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(of, schema)
 
 
