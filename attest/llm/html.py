@@ -38,8 +38,9 @@ from .common import written
 
 #: Of a host's different contents: for prose in articles, and for all else.
 SHARE, RARE = 0.5, 0.01
-#: Contents of a host: for hosts of any size, and for small ones.
-LEAST, FEWEST = 20, 6
+#: Contents of a host: for hosts of any size, and for small ones.  Measured on made pages of hosts of 8 to 300, with unmarked
+#: templates on 10% to all of a host's pages: 97% of template blocks go, and of 9,380 blocks of text none (with 20 in place of 10: 95%).
+LEAST, FEWEST = 10, 6
 
 _MARKUP = re.compile(r"<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*))")
 #: In a tag: what ends it, or a quoted value, which may hold such a sign.
