@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import release, written
+from .common import release, spans, written
 
 SIZE = 4096
 END = 1
-#: UTF-8 bytes of text that are split together.
-TOGETHER = 8 << 20
-#: Units whose ids a worker remembers, in some 40 bytes each; beyond it, it starts anew.
+#: UTF-8 bytes of text that are split together; arrays of many times that size are held meanwhile.
+TOGETHER = 1 << 20
+#: Units whose ids a worker remembers, in some 50 bytes each; beyond it, it starts anew.
 CACHE = 1_500_000
 #: Bins of the patterns, and most documents in one.
 BINS, PARTS = 64, 4
@@ -57,6 +57,32 @@ _KINDS[39] = _ODD  # an apostrophe may begin a contraction
 # U+00C0 to U+023F are letters but for two signs; these are their first bytes, and all that follow.
 _KINDS[0xC3:0xC9] = _KINDS[0x80:0xC0] = _LETTER
 
+_BASE = 0x9E3779B97F4A7C15
+
+
+def _keys(units: pa.Array) -> np.ndarray:
+    """A 64-bit hash of each unit's bytes."""
+    bounds = np.frombuffer(units.buffers()[1], np.int32)[units.offset : units.offset + len(units) + 1]
+    raw = np.frombuffer(units.buffers()[2], np.uint8)[bounds[0] : bounds[-1]] if len(units) else np.zeros(0, np.uint8)
+    bounds = bounds - bounds[0]
+    return spans(raw.astype(np.uint64) + np.uint64(1), bounds[:-1], bounds[1:], _BASE)
+
+
+def _windows(raw: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of one to two times TOGETHER bytes, or all; they end at a text's end or white space, so no unit is cut."""
+    step = -(-len(raw) // max(1, len(raw) // TOGETHER))
+    first = 0
+    while first < len(raw):
+        at = min(first + step, len(raw))
+        last = int(edges[np.searchsorted(edges, at)])
+        for s in range(at, last, 1 << 16):
+            found = np.flatnonzero(_KINDS[raw[s : min(s + (1 << 16), last)]] == _SPACE)
+            if len(found):
+                last = s + int(found[0])
+                break
+        yield first, last
+        first = last
+
 
 class Encoder:
     """A tokenizer whose units are encoded once and remembered.
@@ -79,6 +105,9 @@ class Encoder:
         self.units = pa.array([], pa.binary())
         self.ids = np.zeros(0, np.uint32)
         self.bounds = np.zeros(1, np.int64)
+        #: The units' keys in order, and which unit each is of.
+        self.keys = np.zeros(0, np.uint64)
+        self.order = np.zeros(0, np.int32)
 
     def _learn(self, units: pa.Array) -> None:
         texts = [u.decode("utf-8", "replace") for u in units.to_pylist()]
@@ -98,17 +127,31 @@ class Encoder:
         self.ids = np.concatenate(parts)
         self.bounds = np.concatenate((self.bounds, self.bounds[-1] + np.cumsum(np.concatenate(sizes))))
 
+    def _known(self, units: pa.Array, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each unit is, and whether it is there; keys may clash, so units themselves are compared."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        place, there = self.order[at].astype(np.int64), self.keys[at] == keys
+        there[there] = pc.equal(self.units.take(pa.array(place[there])), units.filter(pa.array(there))).to_numpy(zero_copy_only=False)
+        return place, there
+
     def _find(self, units: pa.Array) -> np.ndarray:
         """Where each of some different units is among those remembered."""
-        at = pc.index_in(units, value_set=self.units)
-        if at.null_count and len(self.units) + at.null_count > CACHE:
+        keys = _keys(units)
+        place, there = self._known(units, keys)
+        more = len(units) - int(there.sum())
+        if more and (len(self.units) + more > CACHE or self.units.nbytes > 40 * CACHE):
             self._forget()
-            at = pc.index_in(units, value_set=self.units)
-        new = pc.is_null(at).to_numpy(zero_copy_only=False)
-        place = pc.fill_null(at, 0).to_numpy().astype(np.int64)
-        if new.any():
-            place[new] = len(self.units) + np.arange(new.sum())
-            self._learn(units.filter(pa.array(new)))
+            place, there = self._known(units, keys)
+        new = np.flatnonzero(~there)
+        if len(new):
+            place[new] = len(self.units) + np.arange(len(new))
+            new = new[np.argsort(keys[new])]
+            at = np.searchsorted(self.keys, keys[new])
+            self.keys, self.order = np.insert(self.keys, at, keys[new]), np.insert(self.order, at, place[new])
+            self._learn(units.filter(pa.array(~there)))
         return place
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -118,15 +161,27 @@ class Encoder:
         data = texts.buffers()[2]
         raw = np.frombuffer(data, np.uint8)[edges[0] : edges[-1]] if data else np.zeros(0, np.uint8)
         edges = (edges - edges[0]).astype(np.int64)
+        parts, n, ends = [np.zeros(0, np.uint32)], 0, np.zeros(len(edges), np.int64)
+        for first, last in _windows(raw, edges):
+            inside = slice(*np.searchsorted(edges, (first, last)))
+            ids, at = self._encode(raw[first:last], edges[inside] - first)
+            ends[inside] = n + at
+            parts.append(ids)
+            n += len(ids)
+        ends[edges == len(raw)] = n
+        return np.concatenate(parts), ends
+
+    def _encode(self, raw: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of some bytes, and where those from each edge on begin."""
         kind = _KINDS[raw]
         solid = kind != _SPACE
-        before = np.concatenate(([0], np.cumsum(solid, dtype=np.int64)))[edges]
+        before = np.where(edges > 0, np.cumsum(solid, dtype=np.int32)[edges - 1], 0)
         head = np.ones(len(raw) + 1, bool)
         head[1:-1] = ~solid[:-1]
         head[edges] = True
         raw, kind, head = raw[solid], kind[solid], head[:-1][solid]
         if not len(raw):
-            return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
+            return np.zeros(0, np.uint32), np.zeros(len(edges), np.int64)
         # The multiplication and the division sign, a capital whose small form is a letter and a mark, and the start of a special token.
         pair = (raw[:-1] == 0xC3) & ((raw[1:] == 0x97) | (raw[1:] == 0xB7)) | (raw[:-1] == 0xC4) & (raw[1:] == 0xB0) | (raw[:-1] == 60) & (raw[1:] == 124)
         kind[:-1][pair] = _ODD
@@ -159,8 +214,8 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         held.append(batch)
         if sum(b.nbytes for b in held) >= TOGETHER:
-            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
-            held = []
+            whole, held = pa.Table.from_batches(held).combine_chunks(), []
+            yield from whole.to_batches()
     if held:
         yield from pa.Table.from_batches(held).combine_chunks().to_batches()
 

@@ -63,6 +63,42 @@ def test_a_small_memory_changes_nothing(monkeypatch, tokenizer):
             assert ids[s:e].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("together", [1, 7, 300])
+@pytest.mark.parametrize("clash", [False, True])
+def test_windows_and_clashing_keys_change_nothing(monkeypatch, tokenizer, together, clash):
+    import pyarrow as pa
+
+    monkeypatch.setattr(packing, "TOGETHER", together)
+    if clash:
+        monkeypatch.setattr(packing, "_keys", lambda units: np.arange(len(units), dtype=np.uint64) % np.uint64(3))
+    own = packing.Encoder(PATH)
+    texts = [t for _, t in ODD] + ["x" * 200, " ", "  y", "z  ", prose(300, 1), None, prose(300, 2) + "\n" + "don't" * 50, "ab,cd" * 100, "", prose(300, 1)]
+    for some in (texts, texts[::-1], texts[9:12], ["", ""], [None], texts[3:5]):
+        ids, offsets = own.encode(pa.array(some, pa.string()))
+        assert len(offsets) == len(some) + 1 and offsets[-1] == len(ids)
+        for t, s, e in zip(some, offsets[:-1].tolist(), offsets[1:].tolist()):
+            assert ids[s:e].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("texts", [1, 2000])
+def test_memory_does_not_grow_with_the_texts_at_once(texts):
+    import tracemalloc
+
+    import pyarrow as pa
+
+    own = packing.Encoder(PATH)
+    words = prose(1000, 3)
+    each = (words + " ") * (8_000_000 // texts // len(words) or 1)
+    some = pa.array([each] * texts, pa.string())
+    own.encode(pa.array([words]))
+    tracemalloc.start()
+    ids, _ = own.encode(some)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # The ids themselves are there twice for a moment, as parts and as a whole.
+    assert peak < 8 * len(ids) + 50_000_000
+
+
 def test_an_empty_table(spark):
     assert packing.query(documents(spark, []), PATH).count() == 0
 
