@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import release, spans, written
+from .common import release, written
 
 SIZE = 4096
 END = 1
@@ -57,15 +57,10 @@ _KINDS[39] = _ODD  # an apostrophe may begin a contraction
 # U+00C0 to U+023F are letters but for two signs; these are their first bytes, and all that follow.
 _KINDS[0xC3:0xC9] = _KINDS[0x80:0xC0] = _LETTER
 
-_BASE = 0x9E3779B97F4A7C15
-
 
 def _keys(units: pa.Array) -> np.ndarray:
     """A 64-bit hash of each unit's bytes."""
-    bounds = np.frombuffer(units.buffers()[1], np.int32)[units.offset : units.offset + len(units) + 1]
-    raw = np.frombuffer(units.buffers()[2], np.uint8)[bounds[0] : bounds[-1]] if len(units) else np.zeros(0, np.uint8)
-    bounds = bounds - bounds[0]
-    return spans(raw.astype(np.uint64) + np.uint64(1), bounds[:-1], bounds[1:], _BASE)
+    return pd.util.hash_array(np.array(units.to_pylist(), object), categorize=False)
 
 
 def _windows(raw: np.ndarray, edges: np.ndarray) -> Iterator[tuple[int, int]]:

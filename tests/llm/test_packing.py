@@ -99,6 +99,19 @@ def test_memory_does_not_grow_with_the_texts_at_once(texts):
     assert peak < 8 * len(ids) + 50_000_000
 
 
+def test_a_long_unit_takes_no_many_times_its_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    units = pa.array([b"a", b"x'" * 4_000_000], pa.binary())
+    tracemalloc.start()
+    packing._keys(units)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 24_000_000
+
+
 def test_an_empty_table(spark):
     assert packing.query(documents(spark, []), PATH).count() == 0
 
