@@ -4,9 +4,12 @@ A replicate draws as many units as there are, with repeats.  Its correlation nee
 how often the unit was drawn, so rows are read once and only units meet replicates.  Draws come from
 
 * ``mt19937``: Python's generator on the driver, in order of the units' first rows; refused beyond ``DRIVER_DRAWS``;
-* ``hash``: MD5 of seed, replicate and draw, on the executors; every SQL engine gets the same;
-* ``poisson``: for more than ``HASH_UNITS`` units, a weight for each unit and replicate made where the unit's sums are,
-  from an MD5 of seed and unit, so nothing but a replicate's sums moves.  The numbers differ from the others', so the mode is a result column.
+* ``hash``: MD5 of seed, replicate and draw, on the executors; every SQL engine gets the same.  Up to ``SENT_UNITS`` units'
+  sums go to the draws, and beyond that the draws, one row each, go to the sums;
+* ``poisson``: a weight for each unit and replicate made where the unit's sums are, from an MD5 of seed and unit, so nothing
+  but a replicate's sums moves.  The numbers differ from the others', so the mode is a result column.
+
+``auto`` is ``hash`` up to ``HASH_UNITS`` units, and ``poisson`` for more.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from __future__ import annotations
 import math
 import random
 from collections import Counter
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -27,6 +31,10 @@ from .estimators import Estimator
 
 REPLICATES, SEED, LEVEL = 2000, 20260815, 0.95
 HASH_UNITS = 10_000
+#: Rows of units' sums that every executor may get (about 200 bytes each).
+SENT_UNITS = 200_000
+#: Draws that a task hashes, on average.
+TASK_DRAWS = 500_000
 DRIVER_DRAWS = 20_000_000
 #: Rows that a re-ranking estimator may send to every executor (16 bytes each).
 SENT_ROWS = 2_000_000
@@ -61,18 +69,22 @@ def moments(pairs: DataFrame, means: DataFrame | None = None) -> DataFrame:
     return grouped.unionByName(alone)
 
 
-def hash_draws(units: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """claim, rep, u, w for units(claim, g), g being the number of units."""
-    drawn = units.select("claim", "g", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("rep"))
-    drawn = drawn.select("claim", "g", "rep", F.explode(F.expr("sequence(0L, g - 1)")).alias("k"))
+def hash_draws(spark: SparkSession, sizes: Iterable[int], replicates: int, seed: int) -> DataFrame:
+    """g, rep, u, one row for each draw from g units.  Claims of as many units have the same draws; slices of them are dealt out."""
+    sizes = sorted(set(sizes))
+    slices = [(g, at, min(at + TASK_DRAWS, g * replicates) - 1) for g in sizes for at in range(0, g * replicates, TASK_DRAWS)]
+    tasks = math.ceil(sum(sizes) * replicates / TASK_DRAWS)
+    dealt = small_table(spark, slices, "g long, first long, last long")
+    dealt = dealt.repartition(tasks) if tasks > 1 else dealt
+    drawn = dealt.select("g", F.explode(F.sequence("first", "last")).alias("at")).selectExpr("g", "cast(at div g as int) as rep", "at % g as k")
     text = F.concat_ws(":", F.lit(str(seed)), "rep", "k")
     # Twelve hex digits stay below 2^53, so the remainder is exact in any engine.
     u = F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long") % F.col("g")
-    return drawn.select("claim", "rep", u.alias("u")).groupBy("claim", "rep", "u").agg(F.count(F.lit(1)).cast("double").alias("w"))
+    return drawn.select("g", "rep", u.alias("u"))
 
 
 def mt19937_draws(spark: SparkSession, sizes: dict[int, int], replicates: int, seed: int) -> DataFrame:
-    """The same columns, drawn on the driver, each claim from a fresh generator."""
+    """claim, rep, u, w, drawn on the driver, each claim from a fresh generator."""
     if sum(sizes.values()) * replicates > DRIVER_DRAWS:
         raise AttestError(f"mt19937 draws on the driver, which is kept below {DRIVER_DRAWS} draws; use the hash mode")
     rows = []
@@ -114,9 +126,24 @@ def poisson_weights(units: DataFrame, replicates: int, seed: int) -> DataFrame:
     return drawn.withColumn("w", weight.cast("double")).drop("_a", "_b").filter("w > 0")
 
 
-def _indexed(units: DataFrame, order: str) -> DataFrame:
-    """Units by number from 0; only for at most HASH_UNITS (or the driver's limit) of them a claim."""
-    return units.withColumn("u", F.expr(f"cast(row_number() over (partition by claim order by {order}) - 1 as long)"))
+def _indexed(units: DataFrame, order: str, most: int) -> DataFrame:
+    """Units by number from 0.  If a claim has more than HASH_UNITS, ranges of units are numbered apart, each from the count before it."""
+    if most <= HASH_UNITS:
+        return units.withColumn("u", F.expr(f"cast(row_number() over (partition by claim order by {order}) - 1 as long)"))
+    dealt = settled(units.repartitionByRange("claim", order).withColumn("_range", F.spark_partition_id()))
+    counts = dealt.groupBy("claim", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.selectExpr("claim", "_range", "coalesce(sum(_n) over (partition by claim order by _range rows between unbounded preceding and 1 preceding), 0) as _before")
+    number = f"_before + row_number() over (partition by claim, _range order by {order}) - 1"
+    return dealt.join(F.broadcast(before), ["claim", "_range"]).withColumn("u", F.expr(number)).drop("_range", "_before")
+
+
+def _hashed(units: DataFrame, info: DataFrame, sizes: dict[int, int], replicates: int, seed: int) -> DataFrame:
+    """units, once per draw, with rep and a w of 1."""
+    numbered = _indexed(units, "unit", max(sizes.values())).join(F.broadcast(info.select("claim", "g")), "claim")
+    draws = hash_draws(units.sparkSession, sizes.values(), replicates, seed)
+    # Spark takes draws for as few as their slices, so it is told which side to send, or to send neither.
+    sums = F.broadcast(numbered) if sum(sizes.values()) <= SENT_UNITS else numbered.hint("merge")
+    return draws.join(sums, ["g", "u"]).withColumn("w", F.lit(1.0))
 
 
 def _from_sums(weighted: DataFrame) -> DataFrame:
@@ -137,23 +164,23 @@ def replicates_of(
     units = settled(moments(pairs, means))
     sizes = {r.claim: r.g for r in units.groupBy("claim").agg(F.count(F.lit(1)).alias("g")).collect()}  # one row a claim
     modes = {c: mode if mode != "auto" else "hash" if g <= HASH_UNITS else "poisson" for c, g in sizes.items()}
-    if any(m == "hash" and sizes[c] > HASH_UNITS for c, m in modes.items()):
-        raise AttestError(f"the hash mode is kept below {HASH_UNITS} units; use poisson")
     info = small_table(spark, [(c, sizes[c], modes[c]) for c in sorted(sizes)], "claim int, g long, mode string")
     by_sums, by_rows = [], []
     for m in sorted(set(modes.values())):
-        mine = [c for c in modes if modes[c] == m]
-        some = units.filter(F.col("claim").isin(mine))
+        mine = {c: sizes[c] for c in modes if modes[c] == m}
+        some = units.filter(F.col("claim").isin(list(mine)))
         if m == "poisson":
             weights = poisson_weights(some, replicates, seed)
+        elif m == "hash":
+            weights = _hashed(some, info, mine, replicates, seed)
         else:
-            numbered = _indexed(some, "row" if m == "mt19937" else "unit")
-            draws = mt19937_draws(spark, {c: sizes[c] for c in mine}, replicates, seed) if m == "mt19937" else hash_draws(info.filter(F.col("claim").isin(mine)), replicates, seed)
-            weights = draws.join(F.broadcast(numbered), ["claim", "u"])  # at most HASH_UNITS rows a claim
+            numbered = _indexed(some, "row", max(mine.values()))
+            weights = mt19937_draws(spark, mine, replicates, seed).join(F.broadcast(numbered), ["claim", "u"])  # units below the driver's limit
         if estimator.weighted is None:
             by_sums.append(_from_sums(weights))
         else:
-            by_rows.append(_from_rows(pairs.filter(F.col("claim").isin(mine)), weights.select("claim", "rep", "unit", "w"), estimator))
+            weights = weights.groupBy("claim", "rep", "unit").agg(F.sum("w").alias("w")) if m == "hash" else weights.select("claim", "rep", "unit", "w")
+            by_rows.append(_from_rows(pairs.filter(F.col("claim").isin(list(mine))), weights, estimator))
     parts = by_sums + by_rows
     if not parts:
         return small_table(spark, [], "claim int, rep int, r double"), info
