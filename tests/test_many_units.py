@@ -44,3 +44,11 @@ def test_hashed_draws_of_many_units(spark, many, monkeypatch, sent):
         monkeypatch.setattr(bootstrap, "SENT_UNITS", sent)
     (row,) = held(spark, many, "bootstrap_ci_supplier")
     assert row["n_units"] == UNITS and row["ci_lo"] < row["ci_hi"]
+
+
+def test_every_reason_with_many_units(spark, many):
+    """Claims over several numbers of units, one of them with units of its own for each row."""
+    rows = {r["id"]: r for r in held(spark, many, "claim_reasons")}
+    assert {rows[k]["n_units"] for k in ("no_link", "constant", "nearly_one")} == {UNITS}
+    assert (rows["two_units"]["n_units"], rows["blank_unit"]["n_units"], rows["mostly_constant"]["n_units"]) == (2, 1, 5)
+    assert len({r["reason_code"] for r in rows.values()}) > 10
