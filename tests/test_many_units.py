@@ -52,3 +52,8 @@ def test_every_reason_with_many_units(spark, many):
     assert {rows[k]["n_units"] for k in ("no_link", "constant", "nearly_one")} == {UNITS}
     assert (rows["two_units"]["n_units"], rows["blank_unit"]["n_units"], rows["mostly_constant"]["n_units"]) == (2, 1, 5)
     assert len({r["reason_code"] for r in rows.values()}) > 10
+
+
+def test_verdicts_with_many_units(spark, many):
+    rows = {r["id"]: r for r in held(spark, many, "claim_verdicts")}
+    assert rows["strong_link"]["n_units"] == UNITS and rows["strong_link"]["verdict"] == "refuted"
