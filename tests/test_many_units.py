@@ -57,3 +57,7 @@ def test_every_reason_with_many_units(spark, many):
 def test_verdicts_with_many_units(spark, many):
     rows = {r["id"]: r for r in held(spark, many, "claim_verdicts")}
     assert rows["strong_link"]["n_units"] == UNITS and rows["strong_link"]["verdict"] == "refuted"
+
+
+def test_tallies_with_many_units(spark, many):
+    assert sum(r["n"] for r in held(spark, many, "verdict_tallies")) == 6
